@@ -136,6 +136,7 @@ def anomalies(logs: DataFrame, minutes: int = 5, threshold: float = 3.0) -> Data
         with_history(rows, ["service"], "bucket", order, depth)
         .withColumn("baseline", F.avg("count").over(frame))
         .where(~F.col("carried") & (F.col("rank") < depth))
+        .where(F.col("baseline").isNotNull())
         .where(F.col("count") > threshold * F.greatest(F.col("baseline"), F.lit(1.0)))
         .select("service", "ms", "rank", "count", "baseline")
     )

@@ -1,5 +1,5 @@
 """Registered queries: operators applied to the given tables, with their SQL checks."""
 
-from . import logs
+from . import logs, scans
 
-ALL = (logs,)
+ALL = (logs, scans)
