@@ -1,5 +1,5 @@
 """Registered queries: operators applied to the given tables, with their SQL checks."""
 
-from . import logs, scans
+from . import history, inventory, logs, scans
 
-ALL = (logs, scans)
+ALL = (logs, scans, inventory, history)
