@@ -1,5 +1,5 @@
 """Registered queries: operators applied to the given tables, with their SQL checks."""
 
-from . import history, inventory, logs, scans
+from . import history, inventory, logs, scans, stores
 
-ALL = (logs, scans, inventory, history)
+ALL = (logs, scans, inventory, history, stores)
