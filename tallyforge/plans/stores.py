@@ -184,19 +184,19 @@ def memory_candidates(t):
 
 
 @query("promoted_memories", with_sql("experiences failures", TOPIC_SQL + """
-, h AS (SELECT *, left(sha256(trim(replace(context, chr(10), ' '))), 16) AS context_hash FROM cand WHERE confidence >= 40),
+, h AS (SELECT *, left(sha256(trim(replace(context, chr(10), ' '))), 16) AS context_hash FROM cand WHERE confidence >= 200),
 r AS (SELECT *, row_number() OVER (PARTITION BY context_hash ORDER BY topic) AS rn FROM h)
-SELECT topic, confidence, context_hash FROM r WHERE rn = 1 AND context_hash NOT IN (SELECT context_hash FROM h WHERE confidence % 5 = 0)"""))
+SELECT topic, confidence, context_hash FROM r WHERE rn = 1 AND context_hash NOT IN (SELECT context_hash FROM h WHERE confidence % 3 = 0)"""))
 def promoted_memories(t):
-    """Durable facts so far: candidates whose confidence is a multiple of five."""
+    """Durable facts so far: candidates whose confidence is a multiple of three."""
     c = candidates(t)
-    durable = c.where("confidence >= 40 AND confidence % 5 = 0").select(M.context_hash(F.col("context")).alias("context_hash"))
-    return M.promote(c, durable, 40).select("topic", "confidence", "context_hash")
+    durable = c.where("confidence >= 200 AND confidence % 3 = 0").select(M.context_hash(F.col("context")).alias("context_hash"))
+    return M.promote(c, durable, 200).select("topic", "confidence", "context_hash")
 
 
-@query("staged_memories", with_sql("experiences failures", TOPIC_SQL + "SELECT topic, confidence FROM cand WHERE confidence < 40"))
+@query("staged_memories", with_sql("experiences failures", TOPIC_SQL + "SELECT topic, confidence FROM cand WHERE confidence < 200"))
 def staged_memories(t):
-    return M.staged(candidates(t), 40).select("topic", "confidence")
+    return M.staged(candidates(t), 200).select("topic", "confidence")
 
 
 # --- memories ------------------------------------------------------------------------
@@ -309,7 +309,7 @@ def visible_messages(t):
 
 
 @query("clipped_messages", with_sql("messages", """
-, r AS (SELECT id, recipient, repeat(content, 40) AS c FROM messages), k AS (SELECT id, recipient, CASE WHEN length(c) > 50000 THEN left(c, 50000) || chr(10) || '... [Truncated: Exceeded 50KB limit]' ELSE c END AS c FROM r)
+, r AS (SELECT id, recipient, repeat(content, 200) AS c FROM messages), k AS (SELECT id, recipient, CASE WHEN length(c) > 50000 THEN left(c, 50000) || chr(10) || '... [Truncated: Exceeded 50KB limit]' ELSE c END AS c FROM r)
 SELECT id, sha256(CASE WHEN recipient = 'all' AND length(c) > 10000 THEN '[BROADCAST WARNING] Large broadcasts degrade performance. Please target specific agents if possible.' || chr(10) || chr(10) || c ELSE c END) AS digest FROM k"""))
 def clipped_messages(t):
     big = B.messages(t).withColumn("content", F.repeat("content", F.lit(40)))
