@@ -121,7 +121,7 @@ def identifiers(content: Column) -> Column:
 def imports_of(content: Column) -> Column:
     """Import statements at line starts, trimmed."""
     found = captures(content, r"(?m)(^import\s+[\s\S]*?from\s+['\"][^'\"]+['\"];?)")
-    return F.transform(found, F.trim)
+    return F.transform(found, lambda x: F.trim(x))
 
 
 def used_libraries(content: Column) -> Column:

@@ -1,5 +1,5 @@
 """Registered queries: operators applied to the given tables, with their SQL checks."""
 
-from . import history, inventory, logs, quality, scans, stores
+from . import history, inventory, logs, quality, scans, specs, stores
 
-ALL = (logs, scans, inventory, history, stores, quality)
+ALL = (logs, scans, inventory, history, stores, quality, specs)
