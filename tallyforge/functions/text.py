@@ -59,15 +59,12 @@ def topic(text: Column) -> Column:
     t = F.regexp_replace(t, r"at\s+.*:\d+:\d+", " ")
     t = F.regexp_replace(t, r"[a-fA-F0-9-]{16,}", " ")
     t = F.regexp_replace(F.lower(t), r"[^a-z0-9\s]", " ")
-    stop = F.array(*[F.lit(w) for w in words.TOPIC_STOP_WORDS])
     kept = F.filter(
         F.split(t, r"\s+"),
-        lambda w: (F.length(w) > 2) & ~F.array_contains(stop, w) & ~w.rlike(r"^\d+$"),
-    )
-    first = F.slice(F.array_distinct(kept), 1, 4)
-    return F.when(F.size(first) == 0, F.lit("general_operations")).otherwise(
-        F.array_join(first, "_")
+        lambda w: (F.length(w) > 2) & ~w.isin(*words.TOPIC_STOP_WORDS) & ~w.rlike(r"^\d+$"),
     )
+    named = F.array_join(F.slice(F.array_distinct(kept), 1, 4), "_")
+    return F.coalesce(F.nullif(named, F.lit("")), F.lit("general_operations"))
 
 
 # --- names ---------------------------------------------------------------------------

@@ -13,8 +13,15 @@ from .history import first_rows
 MAX_QUERIES = 500
 
 
-def _has(col: Column, needle: str) -> Column:
-    return F.contains(F.lower(col), F.lit(needle))
+def _has(low: Column, needle: str) -> Column:
+    return F.contains(low, F.lit(needle))
+
+
+def _lowered(kb: DataFrame) -> DataFrame:
+    """Adds the lower-case fields once; every query of a scan reads these."""
+    return kb.withColumns({
+        **{f"_{c}": F.lower(c) for c in ("topic", "library", "content")},
+        **{f"_{c}": F.transform(c, lambda x: F.lower(x)) for c in ("relevance", "tags")}})
 
 
 def _array_points(values: Column, query: str, words: Sequence[str], full: int, each: int) -> Column:
@@ -42,13 +49,13 @@ def relevance_parts(query: str, now: Column) -> tuple[Column, Column]:
         return zero, zero
     score = zero
     for field, full, each in (("topic", 10, 5), ("library", 8, 4)):
-        score = score + F.when(_has(F.col(field), text), full).otherwise(0)
+        score = score + F.when(_has(F.col(f"_{field}"), text), full).otherwise(0)
         for w in words:
-            score = score + F.when(_has(F.col(field), w), each).otherwise(0)
-    score = score + _array_points(F.col("relevance"), text, words, 6, 3)
-    score = score + _array_points(F.col("tags"), text, words, 5, 2)
-    score = score + F.when(_has(F.col("content"), text), 3).otherwise(0)
-    low = F.lower("content")
+            score = score + F.when(_has(F.col(f"_{field}"), w), each).otherwise(0)
+    score = score + _array_points(F.col("_relevance"), text, words, 6, 3)
+    score = score + _array_points(F.col("_tags"), text, words, 5, 2)
+    low = F.col("_content")
+    score = score + F.when(_has(low, text), 3).otherwise(0)
     for w in words:
         hits = (F.length(low) - F.length(F.replace(low, F.lit(w), F.lit("")))) / F.lit(len(w))
         score = score + F.least(hits * 0.5, F.lit(5.0))
@@ -64,13 +71,17 @@ def relevance(kb: DataFrame, queries: Sequence[str], now: Column, compat: bool =
     """
     if len(queries) > MAX_QUERIES:
         raise ValueError(f"at most {MAX_QUERIES} queries per scan")
+    rows = _lowered(kb)
+    parts = [relevance_parts(text, now) for text in queries]
+    # content scores are computed once per query before they are tested
+    rows = rows.withColumns({f"_s{i}": base for i, (base, _) in enumerate(parts)})
     scored = []
-    for text in queries:
-        base, fresh = relevance_parts(text, now)
+    for i, text in enumerate(queries):
+        base, fresh = F.col(f"_s{i}"), parts[i][1]
         ok = (base + fresh >= K.MIN_SCORE) & (F.lit(compat) | (base > 0))
         scored.append(F.when(ok, F.struct(F.lit(text).alias("query"), (base + fresh).alias("score"))))
     hits = F.filter(F.array(*scored), lambda s: s.isNotNull())
-    return kb.withColumn("_q", F.explode(hits)).select("_q.query", "_q.score", *kb.columns)
+    return rows.withColumn("_q", F.explode(hits)).select("_q.query", "_q.score", *kb.columns)
 
 
 def query_knowledge(kb: DataFrame, queries: Sequence[str], now: Column, k: int = K.MAX_RESULTS) -> DataFrame:

@@ -220,7 +220,8 @@ def hardcoded_candidates(files: DataFrame) -> DataFrame:
     kind 0 = between markup tags outside code blocks, 1 = spoken by console/throw, 2 = quoted
     sentence on lines that speak nothing. The code-block state looks at the ten lines above.
     """
-    split = files.withColumn("_ls", F.split("content", "\n"))
+    split = files.withColumn("_ls", F.split("content", "\n")).withColumn(
+        "_tagged", F.contains("content", F.lit("<code")))
 
     def in_code(x: Column, i: Column) -> Column:
         above = F.slice(F.col("_ls"), F.greatest(i - 9, F.lit(1)), F.least(i, F.lit(10)))
@@ -229,7 +230,7 @@ def hardcoded_candidates(files: DataFrame) -> DataFrame:
             lambda acc, line: F.when(line.contains("</code>"), F.lit(False))
             .when(line.rlike(r"<code[\s>]"), F.lit(True)).otherwise(acc),
         )
-        return x.rlike(r"<code[\s>]|</code>") | opened
+        return F.when(F.col("_tagged"), x.rlike(r"<code[\s>]") | opened).otherwise(F.lit(False)) | x.contains("</code>")
 
     row = F.transform(
         "_ls", lambda x, i: F.struct((i + 1).alias("line"), x.alias("text"), in_code(x, i).alias("code"))
@@ -239,25 +240,26 @@ def hardcoded_candidates(files: DataFrame) -> DataFrame:
     spoken = F.col("_spoken")
 
     def tagged(values: Column, kind: int) -> Column:
-        return F.transform(values, lambda v, i: F.struct(F.lit(kind).alias("kind"), i.alias("seq"), v.alias("value")))
+        # stripped before the explode, so that the skip tests read a finished column
+        return F.transform(
+            values, lambda v, i: F.struct(F.lit(kind).alias("kind"), i.alias("seq"), strip(v).alias("value")))
 
     markup = F.when(
-        text.rlike(ascii_bounds(MARKUP_LINE)) & ~F.col("code"),
+        text.contains("<") & ~F.col("code") & text.rlike(ascii_bounds(MARKUP_LINE)),
         F.filter(F.transform(captures(text, r">([^<]+)<"), strip), lambda v: v != ""),
     ).otherwise(F.array().cast("array<string>"))
     said = F.when(spoken, F.array(F.regexp_extract(text, SPOKEN_TEXT, 2))).otherwise(
         F.array().cast("array<string>")
     )
     quoted = F.when(~spoken, captures(text, QUOTED_TEXT, 2)).otherwise(F.array().cast("array<string>"))
-    value = strip(F.col("_c.value"))
     skip = F.length("value") <= 15
     for p in SKIP_STRINGS:
         skip = skip | F.col("value").rlike(p)
     return (
-        lines.withColumn("_spoken", text.rlike(SPOKEN_TEXT))
+        lines.withColumn("_spoken", (text.contains("console.") | text.contains("throw")) & text.rlike(SPOKEN_TEXT))
         .select("repo", "path", "line", F.left(strip(text), F.lit(120)).alias("context"),
                 F.explode(F.concat(tagged(markup, 0), tagged(said, 1), tagged(quoted, 2))).alias("_c"))
-        .select("repo", "path", "line", "_c.kind", "_c.seq", value.alias("value"), "context")
+        .select("repo", "path", "line", "_c.kind", "_c.seq", "_c.value", "context")
         .where(~skip)
         .withColumn("key", kebab(F.col("value")))
     )

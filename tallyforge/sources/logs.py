@@ -70,20 +70,16 @@ def parse_spans(lines: DataFrame, text: str = "text") -> DataFrame:
 
     A numeric ``timestamp`` is both ends; else startTime/endTime; else 0..duration.
     """
-    from ..functions.jsons import json_type
-
-    doc = F.col("_doc")
-
-    def num(name: str):
-        # only JSON numbers count; a quoted number is not a time
-        return F.when(json_type(doc, name) == "number", F.try_variant_get(doc, f"$.{name}", "double"))
-
-    ids = [F.try_variant_get(doc, p, "string") for p in ("$.traceId", "$.trace_id", "$.trace.id")]
-    stamp, start, end, dur = num("timestamp"), num("startTime"), num("endTime"), num("duration")
+    schema = (
+        "traceId string, trace_id string, trace struct<id:string>, timestamp double, startTime double, "
+        "endTime double, duration double")
+    # a quoted number does not fit DOUBLE and stays null; inline keeps the parse to one per line,
+    # where a filter pushed below a projection would repeat it for every field
+    stamp, start, end, dur = (F.col(f) for f in ("timestamp", "startTime", "endTime", "duration"))
     ranged = start.isNotNull() | end.isNotNull()
+    ids = [F.col("traceId"), F.col("trace_id"), F.col("trace.id")]
     return (
-        lines.withColumn("_doc", F.try_parse_json(F.col(text)))
-        .where(F.col("_doc").isNotNull())
+        lines.select(F.inline(F.array(F.from_json(F.col(text), schema))))
         .select(
             F.coalesce(*[F.nullif(i, F.lit("")) for i in ids]).alias("trace_id"),
             F.when(stamp.isNotNull(), stamp).when(ranged, start)
