@@ -1,5 +1,5 @@
 """Registered queries: operators applied to the given tables, with their SQL checks."""
 
-from . import history, inventory, logs, quality, scans, sessions, specs, stores
+from . import history, inventory, logs, quality, scans, sessions, specs, stores, streams
 
-ALL = (logs, scans, inventory, history, stores, quality, specs, sessions)
+ALL = (logs, scans, inventory, history, stores, quality, specs, sessions, streams)
