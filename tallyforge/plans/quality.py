@@ -39,7 +39,7 @@ LEFT JOIN pref_libs USING (repo)""", ("features", "code_files", "pref_libs"))
 
 
 @query("pattern_profile", with_sql("style_profile", """
-SELECT repo, import_style, error_handling, file_organization, component_structure, test_pattern, array_to_string(preferred_libs, ',') AS libs FROM style_profile"""))
+SELECT repo, import_style, error_handling, file_organization, component_structure, test_pattern, coalesce(array_to_string(preferred_libs, ','), '') AS libs FROM style_profile"""))
 def pattern_profile(t):
     p = P.pattern_profile(B.code_files(t))
     return p.withColumn("libs", F.array_join("preferred_libs", ",")).drop("preferred_libs")

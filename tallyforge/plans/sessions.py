@@ -143,7 +143,7 @@ def compacted_code(t):
 
 
 @query("compacted_prose", """
-WITH b AS (SELECT doc_id, repeat(text || chr(10), 40) AS t FROM documents), l AS (SELECT doc_id, t, string_split(t, chr(10)) AS ls FROM b)
+WITH b AS (SELECT doc_id, array_to_string(list_transform(generate_series(1, 40), lambda i: text || chr(10)), '') AS t FROM documents), l AS (SELECT doc_id, t, string_split(t, chr(10)) AS ls FROM b)
 SELECT doc_id, sha256(CASE WHEN len(ls) > 500 THEN array_to_string(list_concat(ls[1:250], ['… [' || (len(ls) - 500) || ' lines collapsed]'], ls[-250:]), chr(10)) ELSE t END) AS digest FROM l""")
 def compacted_prose(t):
     big = F.repeat(F.concat("text", F.lit("\n")), F.lit(40))
