@@ -39,30 +39,18 @@ def json_type(doc: Column, path: str) -> Column:
 def flatten_keys(df: DataFrame, doc: str, keep: Sequence[str], depth: int = 4) -> DataFrame:
     """Leaf strings of a nested JSON object as (keep..., key, value) rows with dot keys.
 
-    One lateral explode per level; objects deeper than ``depth`` raise no error and
-    simply end the walk at that level, so callers choose depth from their format.
+    One pipeline of ``depth`` lateral explodes: objects open up, leaves pass through, so the
+    input is read and parsed once. Objects deeper than ``depth`` end the walk at that level.
     """
-    level = df.select(*keep, F.lit("").alias("_prefix"), F.col(doc).alias("_v"))
-    leaves = []
+    spark = df.sparkSession
+    v, prefix = F.col("_v"), F.col("_prefix")
+    rows = df.select(*keep, F.lit("").alias("_prefix"), F.col(doc).alias("_v"))
     for _ in range(depth):
-        step = level.lateralJoin(
-            df.sparkSession.tvf.variant_explode(F.col("_v").outer())
-        ).where(F.col("key").isNotNull())
-        named = step.select(
-            *keep,
-            F.when(F.col("_prefix") == "", F.col("key"))
-            .otherwise(F.concat_ws(".", "_prefix", "key"))
-            .alias("_prefix"),
-            F.col("value").alias("_v"),
-            F.schema_of_variant("value").alias("_t"),
-        )
-        leaves.append(
-            named.where(F.col("_t") == "STRING").select(
-                *keep, F.col("_prefix").alias("key"), F.variant_get("_v", "$", "string").alias("value")
-            )
-        )
-        level = named.where(F.col("_t").startswith("OBJECT")).drop("_t")
-    out = leaves[0]
-    for more in leaves[1:]:
-        out = out.unionByName(more)
-    return out
+        rows = rows.withColumn("_open", F.coalesce(F.schema_of_variant(v).startswith("OBJECT"), F.lit(False)))
+        nested = spark.tvf.variant_explode_outer(F.when(F.col("_open"), v).outer())
+        path = F.when(prefix == "", F.col("key")).otherwise(F.concat_ws(".", prefix, "key"))
+        rows = rows.lateralJoin(nested).select(
+            *keep, F.when(F.col("_open"), path).otherwise(prefix).alias("_prefix"),
+            F.when(F.col("_open"), F.col("value")).otherwise(v).alias("_v"))
+    return rows.where(F.schema_of_variant(v) == "STRING").select(
+        *keep, prefix.alias("key"), F.variant_get(v, "$", "string").alias("value"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.arrays import lookup, present
 from .codestats import key_changes
@@ -23,16 +23,16 @@ SAFE_CHANGES = ("endpoint-added",)
 
 def _paired(before: DataFrame, after: DataFrame, attrs: tuple[str, ...]) -> DataFrame:
     """(entity, field, b, a, had, has): both states of a field, and whether its entity existed
-    on each side. One exchange on (entity, field), one small window per entity."""
+    on each side. Everything is a mergeable aggregate, so a very wide entity stays distributed."""
 
     def side(df: DataFrame, name: str) -> DataFrame:
         return df.select("entity", "field", F.lit(name).alias("_side"), F.struct(*attrs).alias("_v"))
 
     both = side(before, "b").unionByName(side(after, "a")).groupBy("entity", "field").agg(
         *[F.max(F.when(F.col("_side") == s, F.col("_v"))).alias(s) for s in ("b", "a")])
-    whole = W.partitionBy("entity")
-    return both.withColumns({
-        "had": F.max(F.col("b").isNotNull()).over(whole), "has": F.max(F.col("a").isNotNull()).over(whole)})
+    sides = side(before, "b").unionByName(side(after, "a")).groupBy("entity").agg(
+        F.bool_or(F.col("_side") == "b").alias("had"), F.bool_or(F.col("_side") == "a").alias("has"))
+    return both.join(sides, "entity")
 
 
 def schema_diff(before: DataFrame, after: DataFrame) -> DataFrame:
@@ -171,30 +171,31 @@ def api_diff(endpoints: DataFrame, params: DataFrame, responses: DataFrame, befo
     responses of endpoints present on both sides. An empty side makes everything added or removed.
     """
 
-    def side(df: DataFrame, v: str) -> DataFrame:
-        return df.where(F.col("version") == v).drop("version")
-
     ep = ["path", "method"]
-    changed = key_changes(side(endpoints, before), side(endpoints, after), ep)
+    old, new = F.col("version") == before, F.col("version") == after
+
+    def paired(df: DataFrame, keys: list[str], value: Column) -> DataFrame:
+        """Both versions of a row side by side (b, a); each table is read once."""
+        return df.where(old | new).groupBy(*keys).agg(
+            F.any_value(F.when(old, value), ignoreNulls=True).alias("b"), F.any_value(F.when(new, value), ignoreNulls=True).alias("a"))
+
+    b, a = F.col("b"), F.col("a")
+    known = paired(endpoints, ep, F.lit(True))
     call = F.concat(F.upper("method"), F.lit(" "), "path")
-    ends = changed.select(
-        F.concat(F.lit("endpoint-"), "change").alias("type"), *ep, F.concat(F.lit("Endpoint "), call, F.lit(" was "), "change").alias("detail"))
-    both = side(endpoints, before).select(*ep).distinct().join(side(endpoints, after).select(*ep).distinct(), ep)
+    word = F.when(a.isNull(), "removed").otherwise("added")
+    ends = known.where(b.isNull() | a.isNull()).select(
+        F.concat(F.lit("endpoint-"), word).alias("type"), *ep, F.concat(F.lit("Endpoint "), call, F.lit(" was "), word).alias("detail"))
+    both = known.where(b.isNotNull() & a.isNotNull()).select(*ep)
 
-    pk = [*ep, "name", "location"]
-    pb, pa = side(params, before), side(params, after)
     label = F.concat(F.lit("'"), "name", F.lit("' ("), "location", F.lit(")"))
-    gone = pb.join(pa.select(*pk), pk, "left_anti").select(
-        *ep, F.concat(F.when(F.col("required"), "Required").otherwise("Optional"), F.lit(" parameter "), label, F.lit(" was removed")).alias("detail"))
-    fresh = pa.where("required").join(pb.select(*pk), pk, "left_anti").select(
-        *ep, F.concat(F.lit("New required parameter "), label, F.lit(" was added")).alias("detail"))
-    moved = gone.unionByName(fresh).join(both, ep, "left_semi").select(F.lit("param-removed").alias("type"), *ep, "detail")
-
-    rk = [*ep, "code"]
-    rb = side(responses, before).select(*rk, F.struct("type", "ref", "props", "required").alias("b"))
-    ra = side(responses, after).select(*rk, F.struct("type", "ref", "props", "required").alias("a"))
-    r = rb.join(ra, rk, "left").join(both, ep, "left_semi")
-    b, a = F.col("b"), F.col("a")
+    gone, fresh = a.isNull(), b.isNull() & a
+    said = F.when(gone, F.concat(F.when(b, "Required").otherwise("Optional"), F.lit(" parameter "), label, F.lit(" was removed"))).otherwise(
+        F.concat(F.lit("New required parameter "), label, F.lit(" was added")))
+    moved = (
+        paired(params, [*ep, "name", "location"], F.col("required")).where(gone | fresh)
+        .select(F.lit("param-removed").alias("type"), *ep, said.alias("detail")).join(both, ep, "left_semi"))
+
+    r = paired(responses, [*ep, "code"], F.struct("type", "ref", "props", "required")).where(b.isNotNull()).join(both, ep, "left_semi")
     lost = F.size(F.array_except(F.map_keys(b["props"]), F.map_keys(a["props"]))) > 0
     retyped = F.exists(F.map_entries(b["props"]), lambda e: F.try_element_at(a["props"], e["key"]) != e["value"])
     relaxed = F.size(F.array_except(b["required"], a["required"])) > 0
