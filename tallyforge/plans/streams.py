@@ -68,12 +68,20 @@ def candidate_stream(t):
 def decay_events(t):
     kind = F.when(F.col("event_type") == "purchase", "applied").otherwise("match")
     return t.events.where("event_type IN ('purchase', 'error', 'view')").select(
-        F.concat(F.lit("c"), (F.col("user_id") % 3).cast("string")).alias("correction_id"), kind.alias("kind"), "ts")
-
-
-@query("correction_decay_stream")
+        F.concat(F.lit("c"), F.col("user_id").cast("string")).alias("correction_id"), kind.alias("kind"),
+        # the log's pace quickened, so that re-matches fall within the two minutes
+        F.timestamp_micros((F.unix_micros("ts") / 400).cast("bigint")).alias("ts"))
+
+
+@query("correction_decay_stream", """
+WITH e AS (SELECT 'c' || user_id AS id, CASE event_type WHEN 'purchase' THEN 'applied' ELSE 'match' END AS kind, epoch_us(ts) // 400 AS us FROM events WHERE event_type IN ('purchase', 'error', 'view')),
+u AS (SELECT *, last_value(CASE WHEN kind = 'applied' THEN us END IGNORE NULLS) OVER (PARTITION BY id ORDER BY us, kind ROWS UNBOUNDED PRECEDING) AS used FROM e),
+m AS (SELECT id, us, coalesce(us - used < 120000000, false) AS near FROM u WHERE kind = 'match'),
+g AS (SELECT *, sum((NOT near)::INT) OVER (PARTITION BY id ORDER BY us ROWS UNBOUNDED PRECEDING) AS k FROM m),
+f AS (SELECT *, sum(near::INT) OVER (PARTITION BY id, k ORDER BY us ROWS UNBOUNDED PRECEDING) AS failed FROM g),
+r AS (SELECT *, min(CASE WHEN failed > 3 THEN us END) OVER (PARTITION BY id) AS gone FROM f)
+SELECT id AS correction_id, us, CASE WHEN failed > 3 THEN 'revoked' WHEN near THEN 'failed' ELSE 'ok' END AS outcome FROM r WHERE gone IS NULL OR us <= gone""")
 def correction_decay_stream(t):
-    """A keyed state machine; the tests compare it with a sequential model."""
     return R.drain(S.correction_decay_stream(decay_events(live(t))), "decay")
 
 

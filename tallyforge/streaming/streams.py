@@ -88,16 +88,13 @@ def correction_decay_stream(events: DataFrame, watermark: str = WATERMARK) -> Da
     """(correction_id, ts, outcome) per match of events(correction_id, kind, ts).
 
     A match within two minutes of the last use counts a failure, more than three revoke the
-    correction, a later match resets the count. The state is three numbers per correction; an
-    event-time timer drops idle counts. A micro-batch's rows of one correction are ordered in
-    memory, so bound the trigger's input (maxFilesPerTrigger / maxBytesPerTrigger).
+    correction, a later match resets the count; idle time alone changes nothing. The state is
+    three numbers per correction. A micro-batch's rows of one correction are ordered in memory, so
+    bound the trigger's input (maxFilesPerTrigger / maxBytesPerTrigger).
     """
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         used, failed, revoked = state.get if state.exists else (-1, 0, False)
-        if state.hasTimedOut:
-            state.update((used, 0, revoked))
-            return
         out = []
         rows = pd.concat(list(batches)).sort_values(["us", "kind"])
         for us, kind in zip(rows["us"], rows["kind"], strict=True):
@@ -111,16 +108,12 @@ def correction_decay_stream(events: DataFrame, watermark: str = WATERMARK) -> Da
             revoked = failed > MAX_FAILURES
             out.append((key[0], int(us), "revoked" if revoked else "failed" if near else "ok"))
         state.update((used, failed, revoked))
-        if not revoked and used >= 0:
-            due = used // 1000 + REMATCH_SECONDS * 1000
-            if due > state.getCurrentWatermarkMs():
-                state.setTimeoutTimestamp(due)
-        yield pd.DataFrame(out, columns=["correction_id", "us", "outcome"])
+        yield pd.DataFrame(out, columns=["correction_id", "us", "outcome"]).astype({"us": "int64"})
 
     rows = events.withWatermark("ts", watermark).select("correction_id", "kind", "ts", F.unix_micros("ts").alias("us"))
     return rows.groupBy("correction_id").applyInPandasWithState(
         step, "correction_id string, us bigint, outcome string", "used bigint, failed int, revoked boolean", "append",
-        GroupStateTimeout.EventTimeTimeout)
+        GroupStateTimeout.NoTimeout)
 
 
 def dedup_stream(rows: DataFrame, key: str = "content_hash", ts: str = "created_at", watermark: str = WATERMARK) -> DataFrame:
