@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.maths import half_up
+from ..functions.rx import ascii_bounds
 from ..functions.text import escaped_symptom, failure_key, pattern_name
 from .history import first_rows
 from .match import Rule, usable
@@ -131,9 +132,11 @@ def match_corrections(errors: DataFrame, corrections: DataFrame) -> DataFrame:
         part = ordered.offset(offset).limit(RULES_PER_PASS).collect()
         rules = usable(spark, [Rule(str(r["id"]), "", "", r["symptom"], ("*",), ignore_case=True) for r in part])
         if rules:
-            hit = F.lit(None).cast("string")
-            for rule in reversed(rules):
-                hit = F.when(F.col("error").rlike("(?i)" + rule.pattern), rule.rule_id).otherwise(hit)
+            # one flat CASE: the first matching branch wins, later patterns are not tried
+            hit = None
+            for rule in rules:
+                test = F.col("error").rlike("(?i)" + ascii_bounds(rule.pattern))
+                hit = F.when(test, rule.rule_id) if hit is None else hit.when(test, rule.rule_id)
             out = out.withColumn("correction_id", F.coalesce("correction_id", hit))
         if len(part) < RULES_PER_PASS:
             break

@@ -89,6 +89,21 @@ def query_knowledge(kb: DataFrame, queries: Sequence[str], now: Column, k: int =
     return first_rows(relevance(kb, queries, now), ["query"], [F.col("score").desc(), F.col("id")], k)
 
 
+def knowledge_rows(rows: DataFrame, source: str) -> DataFrame:
+    """Knowledge rows for insertion from rows(ts, topic, library, content, url, tags).
+
+    The id is derived from the content, so a retried insert adds nothing new; the relevance terms
+    are the lower-case topic words and the library. Rows without content are refused.
+    """
+    if source not in ("context7", "web", "manual"):
+        raise ValueError(f"unknown source {source}")
+    identity = F.concat_ws("|", F.lit(source), "library", "topic", "content")
+    words = F.filter(F.split(F.lower("topic"), r"\s+"), lambda w: F.length(w) > 2)
+    return rows.where(F.trim(F.coalesce("content", F.lit(""))) != "").select(
+        F.concat(F.lit("know-"), F.left(F.sha2(identity, 256), F.lit(16))).alias("id"), "ts", "topic", "library", F.lit(source).alias("source"),
+        "content", "url", F.array_distinct(F.concat(words, F.array(F.lower("library")))).alias("relevance"), "tags")
+
+
 def practices(kb: DataFrame, rules: Sequence[tuple] = K.PRACTICES) -> DataFrame:
     return kb.sparkSession.createDataFrame(list(rules), "task string, framework string, priority string, title string")
 

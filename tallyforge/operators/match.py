@@ -17,16 +17,27 @@ from ..rules.bugs import RULES, Rule
 MAX_RULES = 2000
 
 
+def _accepted(spark: SparkSession, patterns: list[str]) -> bool:
+    tests = ", ".join(f"rlike('', :p{i})" for i in range(len(patterns)))
+    try:
+        spark.sql(f"SELECT {tests}", args={f"p{i}": p for i, p in enumerate(patterns)}).head()
+        return True
+    except PySparkException:
+        return False
+
+
 def usable(spark: SparkSession, rules: Sequence[Rule]) -> list[Rule]:
-    """Rules whose regex the JVM accepts; a broken one is left out, the others still run."""
-    kept = []
-    for rule in rules:
-        try:
-            spark.sql("SELECT rlike('', :p)", args={"p": ascii_bounds(rule.pattern)}).head()
-            kept.append(rule)
-        except PySparkException:
-            continue
-    return kept
+    """Rules whose regex the JVM accepts; a broken one is left out, the others still run.
+
+    All patterns are tried together; a failing set is halved until the broken ones are alone.
+    """
+    rules = list(rules)
+    if not rules or _accepted(spark, [ascii_bounds(r.pattern) for r in rules]):
+        return rules
+    if len(rules) == 1:
+        return []
+    half = len(rules) // 2
+    return usable(spark, rules[:half]) + usable(spark, rules[half:])
 
 
 def active_rules(rules: Iterable[Rule] = RULES, suppressed: Iterable[str] = ()) -> list[Rule]:

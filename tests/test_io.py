@@ -84,3 +84,28 @@ def test_debt_classification(spark):
     df = spark.createDataFrame([(k,) for k in cases], "message string")
     got = {r["message"]: (r["type"], r["severity"]) for r in DB.with_class(df).collect()}
     assert got == cases
+
+
+def test_git_tables_under_declared_schemas(spark, tmp_path):
+    from tallyforge.sources.tables import read_commits
+
+    root = tree(tmp_path, {"c.json": '{"repo":"r","hash":"h","author":"a","ts":"2024-01-01T00:00:00Z","message":"fix: x"}\n{"repo":\n'})
+    rows = read_commits(spark, f"{root}/c.json", "json").cache()
+    assert rows.where("hash = 'h'").first()["ts"] == dt.datetime(2024, 1, 1)
+    assert rows.where("_corrupt_record IS NOT NULL").count() == 1
+
+
+def test_knowledge_rows(spark):
+    from tallyforge.operators.knowledge import knowledge_rows
+
+    rows = spark.createDataFrame([(dt.datetime(2024, 1, 1), "Pool of connections", "Prisma", "text", None, ["a"]), (dt.datetime(2024, 1, 1), "t", "l", " ", None, [])],
+                                 "ts timestamp, topic string, library string, content string, url string, tags array<string>")
+    got = knowledge_rows(rows, "manual").collect()
+    assert len(got) == 1 and got[0]["relevance"] == ["pool", "connections", "prisma"] and got[0]["source"] == "manual"
+
+
+def test_schemas_parse():
+    from pyspark.sql.types import StructType
+    from tallyforge.schemas import SCHEMAS
+
+    assert all(StructType.fromDDL(ddl).fields for ddl in SCHEMAS.values())
