@@ -382,7 +382,7 @@ SELECT conv_id || '-' || turn AS id,
        text AS content, conv_id, turn
 FROM conversations""")
 
-PLATFORMS = ["claude", "codex", "gemini", "cursor"]
+PLATFORMS = ["desk", "shell", "web", "editor"]
 MEMORY_TYPES = ["decision", "experience", "intent", "concept", "data", "external"]
 
 

@@ -249,10 +249,10 @@ def synced_memory_counts(t):
 @query("memory_search", with_sql("memories", """
 , s AS (SELECT content_hash, arg_min(struct_pack(id, name, description, content, tags, platform, memory_type), (created_at, id)) AS e, list(DISTINCT agent) AS agents,
   epoch_us(max(first)) AS u FROM (SELECT *, min(created_at) OVER (PARTITION BY content_hash, agent) AS first FROM memories) GROUP BY 1)
-SELECT e.id AS id, e.name AS name FROM s WHERE e.platform IN ('claude', 'codex') AND list_contains(agents, 'user') AND e.memory_type IN ('intent')
+SELECT e.id AS id, e.name AS name FROM s WHERE e.platform IN ('desk', 'shell') AND list_contains(agents, 'user') AND e.memory_type IN ('intent')
  AND (list_contains(e.tags, 'user') OR list_contains(e.tags, 'Tag1')) AND contains(lower(e.content), 'en') ORDER BY u DESC, e.id LIMIT 20"""))
 def memory_search(t):
-    found = M.query_memory(M.new_store(B.memories(t)), ["claude", "codex"], "USE", "intent", ["USER", "tag1"], "EN", 20)
+    found = M.query_memory(M.new_store(B.memories(t)), ["desk", "shell"], "USE", "intent", ["USER", "tag1"], "EN", 20)
     return found.select("id", "name")
 
 
