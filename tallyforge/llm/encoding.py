@@ -38,7 +38,7 @@ class Memo(dict):
             self.old = dict(self)
             self.clear()
         todo = []
-        for k in set(keys).difference(self):
+        for k in [k for k in set(keys) if k not in self]:
             v = self.old.get(k)
             if v is None:
                 todo.append(k)
