@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from . import counts, packing, repair
+from . import counts, langid, packing, pseudonyms, quality, repair, sketches
 from .encoding import default_path
 from .frames import table
 
@@ -19,11 +19,38 @@ def query(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSessio
     return fn
 
 
+def held_out() -> Column:
+    """Documents kept from every fit: crc32 of the id as text leaves 2 modulo 4."""
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2, F.lit(False))
+
+
+def pseudonym_key(spark: SparkSession) -> bytes:
+    """Secret of the pseudonyms; production sets it, the default serves tests."""
+    return spark.conf.get("spark.tallyforge.pseudonym.key", "no secret").encode()
+
+
+@query
+def op1_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pseudonyms.report(table(spark, sf_dir, "documents"), pseudonym_key(spark))
+
+
+@query
+def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sketches.fingerprints(table(spark, sf_dir, "documents"))
+
+
 @query
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), default_path("byte_bpe_50k.json"), end_id=1)
 
 
+@query
+def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = langid.predict(docs, langid.learn(docs.where(~held_out())))
+    return found.select("doc_id", held_out().alias("held_out"), "lang_pred", "score", "entropy")
+
+
 @query
 def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = repair.write_token_files(table(spark, sf_dir, "documents"), default_path("word_bpe_49k.json"), end_id=2)
@@ -33,3 +60,10 @@ def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.token_counts(table(spark, sf_dir, "documents"), default_path("byte_bpe_50k.json"), limit=1024)
+
+
+@query
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = quality.learn(docs, table(spark, sf_dir, "labels").where(~held_out()))
+    return quality.score(docs, model).select("doc_id", held_out().alias("held_out"), "score", "predicted")
