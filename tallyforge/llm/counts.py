@@ -176,9 +176,7 @@ def token_counts(docs: DataFrame, path: str, limit: int = 1024) -> DataFrame:
     def step(batch):
         memo = _unit_counts(path)
         rows = batch.column("text").to_pylist()
-        units = [spaced_units(t) for t in rows]
-        memo.learn(k for u in units for k in u)
-        n = [sum(map(memo.__getitem__, u)) for u in units]
+        n = [sum(values) for values in memo.take(map(spaced_units, rows))]
         yield {"doc_id": batch.column("doc_id"), "n_bytes": [len(t.encode()) for t in rows], "n_tokens": n,
                "over_limit": [x > limit for x in n]}
 

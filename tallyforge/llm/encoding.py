@@ -14,7 +14,16 @@ from functools import cache
 
 import numpy as np
 
+#: Units encoded by one call of the library.
+CALL_UNITS = 100
+#: Opens the key of a unit that no blank precedes.
+LITERAL = "\x01"
 _RUN = re.compile(r"\s\s")
+_BEYOND_LATIN = re.compile("[^\x00-\xff]")
+#: A stop or comma that another mark precedes belongs to a run of marks.
+_MARKS = re.compile(r"[^\w \n][.,]|_[.,]")
+#: Or stands apart from the word before it.
+_APART = re.compile(r"\W[.,]|_[.,]")
 _BEFORE_RUN = re.compile(r"(?<=\S)(?=\s)")
 
 
@@ -26,36 +35,51 @@ def default_path(name: str) -> str:
 
 
 class Memo(dict):
-    """Bounded memo: two generations of at most ``limit`` keys; a key asked for again moves to the new one."""
+    """Bounded memo: two generations of about ``limit`` keys; a key asked for again moves to the new one."""
 
-    def __init__(self, fill: Callable[[list], Iterable], limit: int = 300_000):
+    def __init__(self, fill: Callable[[list], Iterable], limit: int = 400_000):
         super().__init__()
         self.fill, self.limit, self.old = fill, limit, {}
+        self.todo: list = []
 
-    def learn(self, keys: Iterable) -> None:
-        """Make every key of ``keys`` present."""
+    def __missing__(self, key):
+        known = self.old.get(key)
+        if known is None:
+            self.todo.append(key)
+        else:
+            self[key] = known
+        return known
+
+    def take(self, keys: Iterable[list]) -> list[list]:
+        """Values of each list of keys; those not known are filled in one call."""
         if len(self) > self.limit:
             self.old = dict(self)
             self.clear()
-        todo = []
-        for k in [k for k in set(keys) if k not in self]:
-            v = self.old.get(k)
-            if v is None:
-                todo.append(k)
-            else:
-                self[k] = v
-        if todo:
+        keys = list(keys)
+        out = [list(map(self.__getitem__, ks)) for ks in keys]
+        if self.todo:
+            todo = list(dict.fromkeys(self.todo))
+            self.todo = []
             self.update(zip(todo, self.fill(todo), strict=True))
+            out = [[self[k] if v is None else v for k, v in zip(ks, vs, strict=True)] if None in vs else vs
+                   for ks, vs in zip(keys, out, strict=True)]
+        return out
 
 
 def spaced_units(text: str) -> list:
-    """Keys of the units of a text for a vocabulary that keeps white space; see ``unit_text``."""
-    if not _RUN.search(text):
+    """Keys of the units of a text for a vocabulary that keeps white space; see ``unit_text``.
+
+    Where no mark precedes them, stops and commas at a word's end are units of their own, which leaves fewer words.
+    """
+    if not _RUN.search(text) and LITERAL not in text:
+        if not _APART.search(text):
+            for mark in (". ", ", ", ".\n", ",\n"):
+                text = text.replace(mark, f" {LITERAL}{mark}")
         first, *rest = text.replace("\n", " \n").split(" ")
         return [(first,), *rest] if first else rest
     out: list = []
     for u in _BEFORE_RUN.split(text):
-        if not u[:1].isspace():
+        if not u[:1].isspace() or LITERAL in u:
             out.append((u,))
         elif u[0] == " " and not u[1:2].isspace():
             out.append(u[1:])
@@ -65,15 +89,25 @@ def spaced_units(text: str) -> list:
 
 
 def unit_text(key) -> str:
-    """The characters a key stands for: a tuple holds a text's opening unit, a key that begins with white space
-    is literal, any other follows one blank."""
+    """The characters a key stands for: a tuple and what follows ``LITERAL`` or begins with white space is literal, any
+    other key follows one blank."""
     if isinstance(key, tuple):
         return key[0]
+    if key[:1] == LITERAL:
+        return key[1:]
     return key if key[:1].isspace() else " " + key
 
 
 def blank_units(text: str) -> list[str]:
-    """Units of a text for a vocabulary that drops white space."""
+    """Units of a text for a lower-casing vocabulary that drops white space.
+
+    In plain Western text the case is dropped and a full stop or comma at a word's end is parted here, which leaves fewer
+    different units; the library does the same to any other text.
+    """
+    if not _BEYOND_LATIN.search(text) and not _MARKS.search(text):
+        text = text.lower()
+        for mark in (". ", ", ", ".\n", ",\n"):
+            text = text.replace(mark, f" {mark}")
     return text.replace("\n", " ").split(" ")
 
 
@@ -90,15 +124,47 @@ def encoder(path: str, spaced: bool) -> Callable[[list[str]], list[bytes]]:
     """``texts -> ids of each as little-endian unsigned 32-bit bytes``, one per worker and vocabulary."""
     tok = load(path)
 
-    def fill(keys: list) -> list[bytes]:
-        found = tok.encode_batch_fast([unit_text(k) for k in keys] if spaced else keys, add_special_tokens=False)
-        return [np.asarray(e.ids, "<u4").tobytes() for e in found]
+    # the library encodes what stands between two special tokens as a text of its own: many units go in one call
+    mark = next((a.content for a in tok.get_added_tokens_decoder().values() if a.special), None)
+    mark_id = None if mark is None else tok.token_to_id(mark)
 
-    memo, cut = Memo(fill), spaced_units if spaced else blank_units
+    def alone(units: list[str]) -> list[bytes]:
+        return [np.asarray(e.ids, "<u4").tobytes() for e in tok.encode_batch_fast(units, add_special_tokens=False)]
 
-    def encode(texts: list[str]) -> list[bytes]:
-        units = [cut(t) for t in texts]
-        memo.learn(k for u in units for k in u)
-        return [b"".join(map(memo.__getitem__, u)) for u in units]
+    def words(units: list[str]) -> list[bytes]:
+        # every unit is one word, and a word's last piece is marked
+        ids = np.asarray(tok.encode_batch_fast([" ".join(units)], add_special_tokens=False)[0].ids, "<u4")
+        cuts = [0, *(np.flatnonzero(ends[ids]) + 1).tolist()]
+        raw = ids.tobytes()
+        return [raw[4 * a:4 * b] for a, b in zip(cuts, cuts[1:], strict=False)]
 
-    return encode
+    names = tok.get_vocab()
+    ends = np.zeros(max(names.values()) + 1, bool)
+    ends[[i for name, i in names.items() if name.endswith("</w>")]] = True
+
+    def fill(keys: list) -> list[bytes]:
+        if not spaced and ends.any():
+            plain = [k for k in keys if k.isalpha() and k.isascii()]
+            known = {}
+            for at in range(0, len(plain), 10 * CALL_UNITS):
+                part = plain[at:at + 10 * CALL_UNITS]
+                known.update(zip(part, words(part), strict=True))
+            rest = [k for k in keys if k not in known]
+            known.update(zip(rest, marked(rest), strict=True))
+            return [known[k] for k in keys]
+        return marked([unit_text(k) for k in keys] if spaced else keys)
+
+    def marked(units: list[str]) -> list[bytes]:
+        if mark is None or any(mark in u for u in units):
+            return alone(units)
+        out: list[bytes] = []
+        for at in range(0, len(units), CALL_UNITS):
+            part = units[at:at + CALL_UNITS]
+            ids = np.asarray(tok.encode_batch_fast([mark.join(part)], add_special_tokens=False)[0].ids, "<u4")
+            cuts = [-1, *np.flatnonzero(ids == mark_id).tolist(), len(ids)]
+            raw = ids.tobytes()
+            out += [raw[4 * a + 4:4 * b] for a, b in zip(cuts, cuts[1:], strict=False)]
+        return out
+
+    memo, cut = Memo(fill), spaced_units if spaced else blank_units
+    return lambda texts: [b"".join(values) for values in memo.take(map(cut, texts))]

@@ -111,9 +111,7 @@ def _parser(samples: tuple[tuple[str, str], ...]) -> tuple[Memo, list[float]]:
 def entropies(text: str, samples: dict[str, str]) -> dict[str, float]:
     """Bits per letter under each language; empty if the text has no letter."""
     memo, bits = _parser(tuple(sorted(samples.items())))
-    words = text.lower().split()
-    memo.learn(words)
-    total = sum(map(memo.__getitem__, words))
+    total = sum(memo.take([text.lower().split()])[0])
     letters = total & _MASK
     if not letters:
         return {}

@@ -53,11 +53,9 @@ def shingle_sets(texts: list[str | None]) -> list[np.ndarray]:
     """Distinct shingle hashes, ascending, of each text: A-Z lowered, words between white space, ``WORDS`` at a time."""
     # bytes.lower and bytes.split know A-Z and the six ASCII blanks only
     words = [(t or "").encode().lower().split() for t in texts]
-    memo = _word_hashes()
-    memo.learn(w for ws in words for w in ws)
     out = []
-    for ws in words:
-        h = np.fromiter(map(memo.__getitem__, ws), np.uint64, len(ws))
+    for known in _word_hashes().take(words):
+        h = np.array(known, np.uint64)
         width = min(WORDS, len(h))
         if not width:
             out.append(h)
