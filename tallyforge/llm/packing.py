@@ -23,6 +23,8 @@ from .frames import SLICE_ROWS, arrow, in_order, record, settle, texts
 WINDOW = 2048
 SENTENCE_COST = 4
 ID_COST = 32
+#: Powers of two below the window that a sequence may have as its length without padding; shorter ones waste a place.
+POWERS = 3
 #: Ids solved at once; the last window of a block is carried into the next block, so only a shard's end is padded.
 BLOCK_IDS = 500_000
 SCHEMA = ("doc_id long, start long, length long, ids_crc32 long, doc_tokens long, shard int, local_id long, "
@@ -36,7 +38,7 @@ def padding(length: int, window: int = WINDOW) -> int:
 
 def best_cuts(cuts: list[int], costs: list[int], window: int = WINDOW) -> list[int]:
     """Cheapest chain of cuts from 0 to the last of ``cuts`` (ascending, gaps at most ``window``)."""
-    powers = [1 << k for k in range(window.bit_length() - 1)]
+    powers = [window >> k for k in range(1, POWERS + 1) if window >> k]
     best: dict[int, int] = {0: 0}
     back: dict[int, int] = {}
     queue: deque[tuple[int, int]] = deque([(0, 0)])  # (f(i) + i, i), values ascending
