@@ -74,9 +74,15 @@ class Transducer:
         self.byte_of = {i: b for b, i in self.bytes.items()}
         plain = [i for i in range(self.size) if not (sp.is_byte(i) or sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i))]
         self.pieces = {self.names[i]: (i, sp.get_score(i)) for i in plain}
-        self.longest = max(map(len, self.pieces))
         if any(MARK in p.lstrip(MARK) for p in self.pieces):
             raise ValueError("a piece runs into the next unit")
+        # longest piece that ends in the given two characters (or is the one)
+        self.reach: dict[str, int] = {}
+        for p in self.pieces:
+            self.reach[p[-2:]] = max(self.reach.get(p[-2:], 1), len(p))
+        self.start = {"": ((0, 0.0), "", -1)}
+        self.table = dict(self.start)
+        self.written = [self._spelled(i) for i in range(self.size)]
         self.follows: dict[tuple[str, str], bool] = {}
         self.memo = Memo(lambda units: [np.asarray(self.shortest(u), "<u4").tobytes() for u in units])
 
@@ -119,8 +125,8 @@ class Transducer:
         return known
 
     def arcs(self, unit: str, end: int):
-        """Arcs into ``end``: start, piece, lost score; a character that is no piece has one arc of its own."""
-        for start in range(max(0, end - self.longest), end):
+        """Arcs into ``end``, longest first: start, piece, lost score; a character that is no piece has one of its own."""
+        for start in range(max(0, end - self.reach.get(unit[max(0, end - 2):end], 1)), end):
             piece = unit[start:end]
             known = self.pieces.get(piece)
             if known:
@@ -128,25 +134,32 @@ class Transducer:
         if unit[end - 1:end] not in self.pieces:
             yield end - 1, unit[end - 1:end], 0.0
 
+    def lightest(self, unit: str, end: int) -> tuple[tuple[int, float], str, int]:
+        """Weight, last piece and its start of the lightest path to ``end``; those of shorter prefixes are in the table."""
+        top = None
+        for start, piece, lost in self.arcs(unit, end):
+            (barred, weight), before, _ = self.table[unit[:start]]
+            barred += bool(before) and not self.may_follow(before, piece)
+            found = ((barred, weight + lost), piece, start)
+            if top is None or found[0] < top[0]:
+                top = found
+            if self.merges and not barred:
+                break  # at most one path of a prefix is free of barred arcs
+        return top
+
     def shortest(self, unit: str) -> list[int]:
-        """Ids along the lightest path of the lattice of one unit."""
-        best: list[tuple[tuple[int, float], str, int]] = [((0, 0.0), "", -1)]
-        for end in range(1, len(unit) + 1):
-            top = None
-            for start, piece, lost in self.arcs(unit, end):
-                (barred, weight), before, _ = best[start]
-                barred += bool(before) and not self.may_follow(before, piece)
-                found = ((barred, weight + lost), piece, start)
-                if top is None or found[0] < top[0]:
-                    top = found
-                if self.merges and not barred:
-                    break  # at most one path of a prefix is free of barred arcs
-            best.append(top)
+        """Ids along the lightest path of the lattice of one unit; units share the states of their common beginnings."""
+        if len(self.table) > TABLE_LIMIT:
+            self.table = dict(self.start)
+        end = len(unit)
+        while unit[:end] not in self.table:
+            end -= 1
+        for e in range(end + 1, len(unit) + 1):
+            self.table[unit[:e]] = self.lightest(unit, e)
         out, at = [], len(unit)
         while at:
-            _, piece, start = best[at]
+            _, piece, at = self.table[unit[:at]]
             out += self.emitted(piece)[::-1]
-            at = start
         return out[::-1]
 
     def emitted(self, piece: str) -> list[int]:
@@ -159,17 +172,16 @@ class Transducer:
 
     def encode(self, text: str) -> bytes:
         """Ids of a whole text as little-endian unsigned 32-bit bytes."""
-        units = self.units(text)
-        self.memo.learn(units)
-        return b"".join(map(self.memo.__getitem__, units))
+        return b"".join(self.memo.take([self.units(text)])[0])
+
+    def _spelled(self, i: int) -> bytes:
+        if i in self.byte_of:
+            return bytes([self.byte_of[i]])
+        return self.names[i].encode() if self.names[i] in self.pieces else b" \xe2\x81\x87 "
 
     def decode(self, ids: list[int]) -> str:
         """The inverse transducer: bytes joined, markers to blanks, the leading one dropped."""
-        out: list[bytes] = []
-        for i in ids:
-            b = self.byte_of.get(i)
-            out.append(bytes([b]) if b is not None else self.names[i].encode() if self.names[i] in self.pieces else b" \xe2\x81\x87 ")
-        text = b"".join(out).decode("utf-8", "replace").replace(MARK, " ")
+        text = b"".join(map(self.written.__getitem__, ids)).decode("utf-8", "replace").replace(MARK, " ")
         return text[1:] if self.prefix and text[:1] == " " else text
 
 
