@@ -48,8 +48,8 @@ def pattern_name(key: Column) -> Column:
 
 
 def escaped_symptom(error: Column) -> Column:
-    """Regex-escaped error text, first 100 characters."""
-    return F.left(F.regexp_replace(error, r"([|\\{}()\[\]^$+?.])", r"\\$1"), F.lit(100))
+    """First 100 characters of the error text, regex-escaped after the cut."""
+    return F.regexp_replace(F.left(error, F.lit(100)), r"([|\\{}()\[\]^$+?.])", r"\\$1")
 
 
 def topic(text: Column) -> Column:

@@ -20,8 +20,7 @@ ADVICE = (
 )
 ADVICE_OTHER = ("investigate", "look into the recurring error")
 
-# Analysed window, group size, and rules evaluated per pass.
-ANALYSED = 50
+# Group size, and rules evaluated per pass.
 MIN_GROUP = 2
 RULES_PER_PASS = 500
 
@@ -91,13 +90,18 @@ def advice(key: Column) -> Column:
     return out
 
 
-def failure_suggestions(failures: DataFrame, window: int = ANALYSED) -> DataFrame:
-    """Recurring error keys among the latest unprocessed failures with name, symptom and advice."""
-    latest = unprocessed(failures).orderBy(F.col("ts").desc(), "id").limit(window)
+def failure_suggestions(failures: DataFrame, since: Column | None = None) -> DataFrame:
+    """Recurring error keys among the unprocessed failures (from ``since`` on, if given) with name, symptom and advice.
+
+    The symptom is that of the latest failure, of equal times the least id as text.
+    """
+    rows = unprocessed(failures)
+    rows = rows if since is None else rows.where(F.col("ts") >= since)
+    latest = F.min(F.struct((-F.unix_micros("ts")).alias("age"), F.col("id").cast("string").alias("id"), "error"))["error"]
     groups = (
-        latest.where(F.col("error").isNotNull() & (F.col("error") != ""))
+        rows.where(F.col("error").isNotNull() & (F.col("error") != ""))
         .groupBy(failure_key(F.col("error")).alias("error_key"))
-        .agg(F.count(F.lit(1)).alias("n"), F.max_by("error", F.struct("ts", -F.col("id"))).alias("_e"),
+        .agg(F.count(F.lit(1)).alias("n"), latest.alias("_e"),
              F.array_join(F.array_sort(F.collect_set("tool")), ", ").alias("tools"))
         .where(F.col("n") >= MIN_GROUP)
     )

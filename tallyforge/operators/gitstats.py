@@ -20,8 +20,12 @@ def recent_commits(commits: DataFrame, days: int, now: Column, repo: str | None
 
 
 def sprint_report(commits: DataFrame, files: DataFrame, since: Column) -> DataFrame:
-    """Commits, files changed, insertions and deletions per author plus a ``(total)`` row."""
-    sizes = files.groupBy("hash").agg(
+    """Commits, files changed, insertions and deletions per author plus a ``(total)`` row.
+
+    Files of earlier commits are left out before they are summed.
+    """
+    recent = commits.where(F.col("ts") >= since).select("hash")
+    sizes = files.join(recent, "hash", "left_semi").groupBy("hash").agg(
         F.count(F.lit(1)).alias("_f"), F.sum("additions").alias("_a"), F.sum("deletions").alias("_d"))
     return (
         commits.where(F.col("ts") >= since).select("hash", "author")
@@ -64,16 +68,16 @@ def pr_readiness(prs: DataFrame, checks: DataFrame, reviews: DataFrame) -> DataF
 
 
 def bus_factor(blame: DataFrame, threshold: int = 2) -> DataFrame:
-    """Files written by at most ``threshold`` authors, with those authors and a risk label.
+    """Files of a repo written by at most ``threshold`` authors, with those authors and a risk label.
 
     At most threshold + 1 authors per file are ever brought together.
     """
-    authors = blame.where(F.length(F.trim("author")) > 0).select("path", "author").distinct()
-    few = first_rows(authors, ["path"], [F.col("author")], threshold + 1)
+    authors = blame.where(F.length(F.trim("author")) > 0).select("repo", "path", "author").distinct()
+    few = first_rows(authors, ["repo", "path"], [F.col("author")], threshold + 1)
     return (
-        few.groupBy("path").agg(F.sort_array(F.collect_list("author")).alias("_a"))
+        few.groupBy("repo", "path").agg(F.sort_array(F.collect_list("author")).alias("_a"))
         .where(F.size("_a") <= threshold)
-        .select("path", F.array_join("_a", ",").alias("authors"), F.size("_a").alias("n_authors"),
+        .select("repo", "path", F.array_join("_a", ",").alias("authors"), F.size("_a").alias("n_authors"),
                 F.when(F.size("_a") <= 1, "high").otherwise("medium").alias("risk"))
     )
 
@@ -100,7 +104,8 @@ def standup(commits: DataFrame) -> DataFrame:
 
 
 def change_summary(files: DataFrame) -> DataFrame:
-    return files.groupBy("path").agg(
+    """Lines added and deleted per file of a repo."""
+    return files.groupBy("repo", "path").agg(
         F.sum("additions").alias("additions"), F.sum("deletions").alias("deletions"))
 
 
@@ -165,11 +170,11 @@ def changelog(commits: DataFrame, tags: DataFrame) -> DataFrame:
 
 
 def change_risk(changes: DataFrame, sizes: DataFrame, now: Column) -> DataFrame:
-    """Regression risk per changed path: type, depth, commits, recency and size points.
+    """Regression risk per changed file of a repo: type, depth, commits, recency and size points.
 
-    changes(path, hash, ts), sizes(path, n_bytes).
+    changes(repo, path, hash, ts), sizes(repo, path, n_bytes).
     """
-    per = changes.groupBy("path").agg(F.countDistinct("hash").alias("commits"), F.max("ts").alias("_last"))
+    per = changes.groupBy("repo", "path").agg(F.countDistinct("hash").alias("commits"), F.max("ts").alias("_last"))
     ext = extension(F.col("path"))
     depth = F.size(F.split("path", "/"))
     n = F.col("commits")
@@ -181,14 +186,14 @@ def change_risk(changes: DataFrame, sizes: DataFrame, now: Column) -> DataFrame:
         + F.when(F.col("n_bytes") > 100_000, 10).when(F.col("n_bytes") > 50_000, 5).otherwise(0)
     )
     return (
-        per.join(sizes.select("path", "n_bytes"), "path", "left")
-        .select("path", "commits", points.alias("score"))
+        per.join(sizes.select("repo", "path", "n_bytes"), ["repo", "path"], "left")
+        .select("repo", "path", "commits", points.alias("score"))
         .withColumn("band", F.when(F.col("score") >= 20, "high").when(F.col("score") >= 10, "medium").otherwise("low"))
     )
 
 
 def high_risk(scored: DataFrame, k: int = 50) -> DataFrame:
-    return scored.where(F.col("band") == "high").orderBy(F.col("score").desc(), "path").limit(k)
+    return scored.where(F.col("band") == "high").orderBy(F.col("score").desc(), "repo", "path").limit(k)
 
 
 def infer_commit_type(files: DataFrame, commits: DataFrame) -> DataFrame:

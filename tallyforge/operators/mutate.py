@@ -69,14 +69,20 @@ def store_originals(df: DataFrame, existing: DataFrame | None = None, min_ratio:
 def restore(store: DataFrame, wanted: DataFrame) -> DataFrame:
     """Originals by exact store id, or by hash prefix where no exact id exists.
 
-    wanted(store_id). The prefix case joins on the leading characters both sides share.
+    wanted(store_id). A prefix of four or more characters joins on its first four; for each shorter length the store is
+    first reduced to the least id per prefix. The empty prefix finds nothing.
     """
     exact = wanted.join(store, "store_id").select(F.col("store_id").alias("wanted"), "store_id", "content")
     rest = wanted.select(F.col("store_id").alias("wanted")).join(
         exact.select("wanted"), "wanted", "left_anti")
-    short = rest.withColumn("_k", F.left("wanted", F.lit(4)))
-    hits = short.join(store.withColumn("_k", F.left("store_id", F.lit(4))), "_k").where(
+    long = rest.where(F.length("wanted") >= 4).withColumn("_k", F.left("wanted", F.lit(4)))
+    hits = long.join(store.withColumn("_k", F.left("store_id", F.lit(4))), "_k").where(
         F.col("store_id").startswith(F.col("wanted")))
     prefix = hits.groupBy("wanted").agg(F.min_by(F.struct("store_id", "content"), "store_id").alias("_s")).select(
         "wanted", "_s.store_id", "_s.content")
+    for n in (1, 2, 3):
+        least = store.groupBy(F.left("store_id", F.lit(n)).alias("wanted")).agg(
+            F.min_by(F.struct("store_id", "content"), "store_id").alias("_s"))
+        short = rest.where(F.length("wanted") == n).join(least, "wanted")
+        prefix = prefix.unionByName(short.select("wanted", "_s.store_id", "_s.content"))
     return exact.unionByName(prefix)

@@ -42,7 +42,6 @@ PERMISSION_PATTERNS = (
     r"(?i)(?:can|allow|grant|access)\s*[:=]\s*[\"']([^\"']+)[\"']",
 )
 PERMISSION_FILE = r"(?i)\.(ts|js|json|yaml|yml|toml)$"
-PERMISSION_MAX_BYTES = 1_000_000
 
 # Structural weights of a SQL migration.
 MIGRATION_WEIGHTS = (
@@ -88,7 +87,7 @@ def feature_flags(lines: DataFrame) -> DataFrame:
     """Per flag: mentions, files, and whether its first sighting looks enabled."""
     return flag_sightings(lines).groupBy("flag").agg(
         F.count(F.lit(1)).alias("mentions"),
-        F.countDistinct("path").alias("files"),
+        F.countDistinct("repo", "path").alias("files"),
         F.min_by("enabled", F.struct("repo", "path", "line", "seq")).alias("enabled"),
     )
 
@@ -155,7 +154,7 @@ def event_map(lines: DataFrame) -> DataFrame:
     return event_sites(lines).groupBy("event").agg(
         F.sum("emits").cast("bigint").alias("emitters"),
         F.sum("listens").cast("bigint").alias("listeners"),
-        F.countDistinct("path").alias("files"),
+        F.countDistinct("repo", "path").alias("files"),
     )
 
 
@@ -167,13 +166,11 @@ def permission_risk(name: Column) -> Column:
 
 
 def permission_sites(files: DataFrame) -> DataFrame:
-    """Distinct (permission, repo, path); config and script files up to the size bound only."""
+    """Distinct (permission, repo, path) of config and script files, whatever their size."""
     content = F.col("content")
-    small = files.where(
-        F.col("path").rlike(PERMISSION_FILE) & (F.octet_length(content) <= PERMISSION_MAX_BYTES)
-    )
+    scripts = files.where(F.col("path").rlike(PERMISSION_FILE))
     names = F.concat(*[captures(content, p) for p in PERMISSION_PATTERNS])
-    return small.select("repo", "path", F.explode(names).alias("permission")).distinct()
+    return scripts.select("repo", "path", F.explode(names).alias("permission")).distinct()
 
 
 def permission_audit(files: DataFrame) -> DataFrame:
@@ -204,14 +201,13 @@ def migration_complexity(files: DataFrame) -> DataFrame:
     )
 
 
-def keyword_search(lines: DataFrame, query: str, k: int = 1000) -> DataFrame:
-    """First k lines containing the text, ignoring case, with a 200-character snippet."""
-    return (
+def keyword_search(lines: DataFrame, query: str, k: int | None = None) -> DataFrame:
+    """Lines containing the text, ignoring case, with a 200-character snippet; with ``k`` the first k in order."""
+    found = (
         lines.where(F.contains(F.lower("text"), F.lit(query.lower())))
         .select("repo", "path", "line", F.left(strip(F.col("text")), F.lit(200)).alias("content"))
-        .orderBy("repo", "path", "line")
-        .limit(k)
     )
+    return found if k is None else found.orderBy("repo", "path", "line").limit(k)
 
 
 def hardcoded_candidates(files: DataFrame) -> DataFrame:

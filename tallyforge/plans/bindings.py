@@ -343,6 +343,7 @@ CHANGE_EXTS = [".ts", ".js", ".json", ".md", ".spec.ts", ".yaml", ".py"]
 def commit_files(t: Tables) -> DataFrame:
     key = F.col("l_partkey")
     return t.lineitem.select(
+        F.concat(F.lit("r"), (F.col("l_suppkey") % 3).cast("string")).alias("repo"),
         F.col("l_orderkey").cast("string").alias("hash"),
         F.concat(pick(CHANGE_DIRS, key % 5), F.lit("/p"), key.cast("string"),
                  pick(CHANGE_EXTS, key % 7)).alias("path"),
@@ -354,7 +355,7 @@ def commit_files(t: Tables) -> DataFrame:
 
 
 define("commit_files", f"""
-SELECT l_orderkey::VARCHAR AS hash,
+SELECT 'r' || (l_suppkey % 3) AS repo, l_orderkey::VARCHAR AS hash,
        list_extract({lit_list(CHANGE_DIRS)}, (l_partkey % 5)::INT + 1) || '/p' || l_partkey
        || list_extract({lit_list(CHANGE_EXTS)}, (l_partkey % 7)::INT + 1) AS path,
        l_quantity::BIGINT AS additions, l_linenumber::BIGINT AS deletions, l_shipdate AS ts,

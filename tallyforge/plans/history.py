@@ -61,8 +61,8 @@ def pr_readiness(t):
 
 
 @query("bus_factor", with_sql("commit_files", """
-, a AS (SELECT path, string_agg(author, ',' ORDER BY author) AS authors, count(*)::INT AS n_authors FROM (SELECT DISTINCT path, author FROM commit_files) GROUP BY 1)
-SELECT path, authors, n_authors, CASE WHEN n_authors <= 1 THEN 'high' ELSE 'medium' END AS risk FROM a WHERE n_authors <= 20"""))
+, a AS (SELECT repo, path, string_agg(author, ',' ORDER BY author) AS authors, count(*)::INT AS n_authors FROM (SELECT DISTINCT repo, path, author FROM commit_files) GROUP BY ALL)
+SELECT repo, path, authors, n_authors, CASE WHEN n_authors <= 1 THEN 'high' ELSE 'medium' END AS risk FROM a WHERE n_authors <= 20"""))
 def bus_factor(t):
     return G.bus_factor(B.commit_files(t), 20)
 
@@ -89,7 +89,7 @@ def standup_counts(t):
 
 
 @query("change_summary", with_sql("commit_files", """
-SELECT path, sum(additions)::BIGINT AS additions, sum(deletions)::BIGINT AS deletions FROM commit_files GROUP BY 1"""))
+SELECT repo, path, sum(additions)::BIGINT AS additions, sum(deletions)::BIGINT AS deletions FROM commit_files GROUP BY ALL"""))
 def change_summary(t):
     return G.change_summary(B.commit_files(t))
 
@@ -134,35 +134,35 @@ def pull_request_buckets(t):
 
 
 define("path_sizes", """
-SELECT path, max(additions * 3000)::BIGINT AS n_bytes FROM commit_files GROUP BY 1""", ("commit_files",))
+SELECT repo, path, max(additions * 3000)::BIGINT AS n_bytes FROM commit_files GROUP BY ALL""", ("commit_files",))
 define("scored_changes", r"""
-, p AS (SELECT path, count(DISTINCT hash) AS commits, max(ts) AS last FROM commit_files GROUP BY 1),
-s AS (SELECT path, commits, CASE WHEN regexp_matches(path, '\.(ts|tsx|js|jsx)$') THEN 10 WHEN regexp_matches(path, '\.(json|yaml|yml|toml)$') THEN 5 ELSE 0 END
+, p AS (SELECT repo, path, count(DISTINCT hash) AS commits, max(ts) AS last FROM commit_files GROUP BY ALL),
+s AS (SELECT repo, path, commits, CASE WHEN regexp_matches(path, '\.(ts|tsx|js|jsx)$') THEN 10 WHEN regexp_matches(path, '\.(json|yaml|yml|toml)$') THEN 5 ELSE 0 END
  + CASE WHEN len(string_split(path, '/')) >= 4 THEN 10 WHEN len(string_split(path, '/')) >= 3 THEN 5 ELSE 0 END
  + CASE WHEN commits >= 3 THEN 15 WHEN commits = 2 THEN 8 ELSE 0 END
  + CASE WHEN epoch(TIMESTAMP '2001-06-01') - epoch(last) <= 86400 THEN 10 WHEN epoch(TIMESTAMP '2001-06-01') - epoch(last) <= 7 * 86400 THEN 5 ELSE 0 END
- + CASE WHEN n_bytes > 100000 THEN 10 WHEN n_bytes > 50000 THEN 5 ELSE 0 END AS score FROM p JOIN path_sizes USING (path))
+ + CASE WHEN n_bytes > 100000 THEN 10 WHEN n_bytes > 50000 THEN 5 ELSE 0 END AS score FROM p JOIN path_sizes USING (repo, path))
 """.lstrip(), ("path_sizes",))
 _SCORED = __import__("tallyforge.plans.bindings", fromlist=["x"])._SQL.pop("scored_changes")[1]
 
 
 def scored(t):
     files = B.commit_files(t)
-    sizes = files.groupBy("path").agg((F.max("additions") * 3000).alias("n_bytes"))
+    sizes = files.groupBy("repo", "path").agg((F.max("additions") * 3000).alias("n_bytes"))
     return G.change_risk(files, sizes, F.lit("2001-06-01").cast("timestamp"))
 
 
 _BAND = "CASE WHEN score >= 20 THEN 'high' WHEN score >= 10 THEN 'medium' ELSE 'low' END"
 
 
-@query("change_risk", with_sql("path_sizes", _SCORED + f"SELECT path, commits, score, {_BAND} AS band FROM s"))
+@query("change_risk", with_sql("path_sizes", _SCORED + f"SELECT repo, path, commits, score, {_BAND} AS band FROM s"))
 def change_risk(t):
     return scored(t)
 
 
-@query("high_risk_changes", with_sql("path_sizes", _SCORED + "SELECT path, score FROM s WHERE score >= 20 ORDER BY score DESC, path LIMIT 50"))
+@query("high_risk_changes", with_sql("path_sizes", _SCORED + "SELECT repo, path, score FROM s WHERE score >= 20 ORDER BY score DESC, repo, path LIMIT 50"))
 def high_risk_changes(t):
-    return G.high_risk(scored(t)).select("path", "score")
+    return G.high_risk(scored(t)).select("repo", "path", "score")
 
 
 @query("change_risk_counts", with_sql("path_sizes", _SCORED + f"SELECT {_BAND} AS band, count(*) AS n FROM s GROUP BY 1"))

@@ -10,20 +10,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
-# tables whose rows are parsed or scanned by many expressions
-SPREAD = ("documents", "pages", "conversations", "events", "lineitem")
-
-
-def spread(df: DataFrame) -> DataFrame:
-    """Use every core on an input that arrives in fewer splits than there are cores.
-
-    A large input already has more splits than cores and is returned as it is, without an
-    exchange.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
-
-
 class Tables:
     """Lazy parquet readers: ``t.events`` scans ``<sf_dir>/events.parquet``."""
 
@@ -35,8 +21,6 @@ class Tables:
         if name.startswith("_"):
             raise AttributeError(name)
         df = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
-        if name in SPREAD:
-            df = spread(df)
         # zone-less stamps are UTC
         zoneless = {f.name: F.col(f.name).cast("timestamp") for f in df.schema.fields
                     if f.dataType.typeName() == "timestamp_ntz"}

@@ -339,7 +339,7 @@ FROM (
 
 @query("feature_flags", with_sql("flag_rows", """
 , o AS (SELECT *, row_number() OVER (PARTITION BY flag ORDER BY repo, path, line, seq) AS rn FROM flag_rows)
-SELECT flag, count(*) AS mentions, count(DISTINCT path) AS files, bool_or(enabled) FILTER (rn = 1) AS enabled FROM o GROUP BY 1"""))
+SELECT flag, count(*) AS mentions, count(DISTINCT (repo, path)) AS files, bool_or(enabled) FILTER (rn = 1) AS enabled FROM o GROUP BY 1"""))
 def feature_flags(t):
     return S.feature_flags(lines(t))
 
@@ -364,10 +364,10 @@ def async_risks(t):
 
 
 @query("event_map", with_sql("code_lines", r"""
-, s AS (SELECT path, regexp_extract(text, '[''"]([^''"]+)[''"]', 1) AS event,
+, s AS (SELECT repo, path, regexp_extract(text, '[''"]([^''"]+)[''"]', 1) AS event,
   regexp_matches(text, '\.emit\s*\(')::INT + regexp_matches(text, '\.publish\s*\(')::INT + regexp_matches(text, 'EventEmitter')::INT AS e,
   regexp_matches(text, '\.on\s*\(')::INT + regexp_matches(text, '\.subscribe\s*\(')::INT + regexp_matches(text, '\.addListener\s*\(')::INT + regexp_matches(text, '\.once\s*\(')::INT AS l FROM code_lines)
-SELECT event, sum(e)::BIGINT AS emitters, sum(l)::BIGINT AS listeners, count(DISTINCT path) AS files FROM s WHERE event <> '' AND (e > 0 OR l > 0) GROUP BY 1"""))
+SELECT event, sum(e)::BIGINT AS emitters, sum(l)::BIGINT AS listeners, count(DISTINCT (repo, path)) AS files FROM s WHERE event <> '' AND (e > 0 OR l > 0) GROUP BY 1"""))
 def event_map(t):
     return S.event_map(lines(t))
 
@@ -375,7 +375,7 @@ def event_map(t):
 @query("permission_audit", with_sql("code_files", r"""
 , p AS (SELECT DISTINCT unnest(list_concat(regexp_extract_all(content, '(?i)(?:permission|scope|role)[s:]?\s*[:=]\s*["'']([^"'']+)["'']', 1),
    regexp_extract_all(content, '(?i)(?:can|allow|grant|access)\s*[:=]\s*["'']([^"'']+)["'']', 1))) AS permission, repo, path
-  FROM code_files WHERE regexp_matches(path, '(?i)\.(ts|js|json|yaml|yml|toml)$') AND strlen(content) <= 1000000)
+  FROM code_files WHERE regexp_matches(path, '(?i)\.(ts|js|json|yaml|yml|toml)$'))
 SELECT permission, count(*) AS files, CASE WHEN regexp_matches(lower(permission), 'admin|root|superuser|\*') OR lower(permission) = 'all' THEN 'high'
   WHEN regexp_matches(lower(permission), 'write|delete|manage') THEN 'medium' ELSE 'low' END AS risk FROM p GROUP BY 1"""))
 def permission_audit(t):
@@ -385,10 +385,10 @@ def permission_audit(t):
 @query("widest_permissions", with_sql("code_files", r"""
 , p AS (SELECT DISTINCT unnest(list_concat(regexp_extract_all(content, '(?i)(?:permission|scope|role)[s:]?\s*[:=]\s*["'']([^"'']+)["'']', 1),
    regexp_extract_all(content, '(?i)(?:can|allow|grant|access)\s*[:=]\s*["'']([^"'']+)["'']', 1))) AS permission, repo, path
-  FROM code_files WHERE regexp_matches(path, '(?i)\.(ts|js|json|yaml|yml|toml)$') AND strlen(content) <= 1000000)
-SELECT permission, count(*) AS files FROM p GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 50"""))
+  FROM code_files WHERE regexp_matches(path, '(?i)\.(ts|js|json|yaml|yml|toml)$'))
+SELECT permission, count(*) AS files FROM p GROUP BY 1"""))
 def widest_permissions(t):
-    return S.permission_audit(B.code_files(t)).orderBy(F.col("files").desc(), "permission").limit(50).select("permission", "files")
+    return S.permission_audit(B.code_files(t)).select("permission", "files")
 
 
 @query("migration_complexity", with_sql("code_files", r"""
@@ -405,7 +405,7 @@ def migration_complexity(t):
 
 @query("keyword_search", with_sql("code_lines", r"""
 SELECT repo, path, line, left(regexp_replace(text, '^\s+|\s+$', '', 'g'), 200) AS content FROM code_lines
-WHERE contains(lower(text), 'token') ORDER BY repo, path, line LIMIT 1000"""))
+WHERE contains(lower(text), 'token')"""))
 def keyword_search(t):
     return S.keyword_search(lines(t), "Token")
 

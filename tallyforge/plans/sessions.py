@@ -198,11 +198,11 @@ def stored_originals(t):
 
 
 @query("restored_originals", _STORE + """
-, w AS (SELECT CASE WHEN id % 2 = 0 THEN store_id ELSE left(store_id, 8) END AS wanted FROM o)
+, w AS (SELECT CASE WHEN id % 2 = 0 THEN store_id WHEN id % 3 = 0 THEN left(store_id, (id % 4)::INT + 1) ELSE left(store_id, 8) END AS wanted FROM o)
 SELECT DISTINCT w.wanted, arg_min(o.store_id, o.store_id) OVER (PARTITION BY w.wanted) AS store_id FROM (SELECT DISTINCT wanted FROM w) w JOIN o ON o.store_id = w.wanted OR (starts_with(o.store_id, w.wanted) AND w.wanted NOT IN (SELECT store_id FROM o))""")
 def restored_originals(t):
     store = stored(t)
-    wanted = store.select(F.when(F.col("id") % 2 == 0, F.col("store_id")).otherwise(F.left("store_id", F.lit(8))).alias("store_id")).distinct()
+    wanted = store.select(F.when(F.col("id") % 2 == 0, F.col("store_id")).when(F.col("id") % 3 == 0, F.left("store_id", (F.col("id") % 4 + 1).cast("int"))).otherwise(F.left("store_id", F.lit(8))).alias("store_id")).distinct()
     return U.restore(store, wanted).select("wanted", "store_id")
 
 

@@ -63,13 +63,13 @@ def experience_stats(t):
 _KEY = r"left(regexp_replace(error, '\d+', '0', 'g'), 80)"
 define("suggestions", rf"""
 SELECT k AS error_key, n, CASE WHEN name = '' THEN 'recurring_error_' || n ELSE name END AS pattern,
- left(regexp_replace(e, '([|\\{{}}()\[\]^$+?.])', '\\\1', 'g'), 100) AS symptom, tools,
+ regexp_replace(left(e, 100), '([|\\{{}}()\[\]^$+?.])', '\\\1', 'g') AS symptom, tools,
  CASE WHEN contains(lower(k), 'timeout') THEN 'timeout' WHEN contains(lower(k), 'not found') OR contains(lower(k), 'enoent') THEN 'path'
   WHEN contains(lower(k), 'rate limit') OR contains(lower(k), '429') THEN 'rate_limit' WHEN contains(lower(k), 'permission') OR contains(lower(k), 'denied') THEN 'permission'
   WHEN contains(lower(k), 'parse') OR contains(lower(k), 'syntax') THEN 'parse' ELSE 'investigate' END AS kind
-FROM (SELECT k, count(*) AS n, arg_max(error, (ts, -id)) AS e, string_agg(DISTINCT tool, ', ' ORDER BY tool) AS tools,
+FROM (SELECT k, count(*) AS n, arg_min(error, (-epoch_us(ts), id::VARCHAR)) AS e, string_agg(DISTINCT tool, ', ' ORDER BY tool) AS tools,
   left(regexp_replace(lower(array_to_string(regexp_split_to_array(regexp_replace(k, '[^a-zA-Z0-9 ]', '', 'g'), '\s+')[1:5], '_')), '_+', '_', 'g'), 60) AS name
- FROM (SELECT *, {_KEY} AS k FROM failures WHERE processed_at IS NULL ORDER BY ts DESC, id LIMIT 50) GROUP BY k HAVING count(*) >= 2)""", ("failures",))
+ FROM (SELECT *, {_KEY} AS k FROM failures WHERE processed_at IS NULL) GROUP BY k HAVING count(*) >= 2)""", ("failures",))
 
 
 @query("failure_suggestions", with_sql("suggestions", "SELECT * FROM suggestions"))
