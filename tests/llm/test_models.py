@@ -77,7 +77,7 @@ def test_quality_of_odd_rows(spark):
     score = {r["doc_id"]: r["score"] for r in out}
     assert score[4] > score[10]
     none = quality.learn(docs, labels.where("false"))
-    assert {r["score"] for r in as_dicts(quality.score(docs, none))} == {pytest.approx(0.7)}
+    assert all(r["score"] == pytest.approx(0.7) for r in as_dicts(quality.score(docs, none)))
     assert as_dicts(quality.score(empty(spark), model)) == []
 
 
