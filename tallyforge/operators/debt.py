@@ -118,18 +118,14 @@ def enrich_blame(items: DataFrame, blame: DataFrame, now: Column) -> DataFrame:
 
 
 def todo_rollup(items: DataFrame) -> DataFrame:
-    """Counts by tag, file and author in one pass: (dim, key, n); missing authors are ``unknown``."""
-    named = items.select("tag", "path", F.coalesce("author", F.lit("unknown")).alias("author"))
-    dims = ["tag", "path", "author"]
-    grouped = named.groupingSets([[d] for d in dims], *dims).agg(
-        F.count(F.lit(1)).alias("n"), F.grouping_id().alias("_g")
-    )
+    """Counts by tag, file of a repo and author in one pass: (dim, repo, key, n); missing authors are ``unknown``."""
+    named = items.select("tag", "repo", "path", F.coalesce("author", F.lit("unknown")).alias("author"))
+    grouped = named.groupingSets([["tag"], ["repo", "path"], ["author"]], "tag", "repo", "path", "author").agg(
+        F.count(F.lit(1)).alias("n"), F.grouping("tag").alias("_t"), F.grouping("path").alias("_p"))
+    is_tag, is_path = F.col("_t") == 0, F.col("_p") == 0
     return grouped.select(
-        F.when(F.col("_g") == 3, "tag").when(F.col("_g") == 5, "path").otherwise("author").alias("dim"),
-        F.when(F.col("_g") == 3, F.col("tag")).when(F.col("_g") == 5, F.col("path"))
-        .otherwise(F.col("author")).alias("key"),
-        "n",
-    )
+        F.when(is_tag, "tag").when(is_path, "path").otherwise("author").alias("dim"), "repo",
+        F.when(is_tag, F.col("tag")).when(is_path, F.col("path")).otherwise(F.col("author")).alias("key"), "n")
 
 
 def todo_summary(items: DataFrame) -> DataFrame:
@@ -173,21 +169,20 @@ def debt_score(items: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
 
 
 def debt_breakdown(items: DataFrame) -> DataFrame:
-    """Open items by severity, type and module: (dim, key, n); every severity and type listed."""
-    live = open_debts(items).select("severity", "type", module_of(F.col("path")).alias("module"))
-    dims = ["severity", "type", "module"]
-    counts = live.groupingSets([[d] for d in dims], *dims).agg(
-        F.count(F.lit(1)).alias("n"), F.grouping_id().alias("_g")
+    """Open items by severity, type and module of a repo: (dim, repo, key, n); every severity and type listed."""
+    live = open_debts(items).select("severity", "type", "repo", module_of(F.col("path")).alias("module"))
+    counts = live.groupingSets([["severity"], ["type"], ["repo", "module"]], "severity", "type", "repo", "module").agg(
+        F.count(F.lit(1)).alias("n"), F.grouping("severity").alias("_s"), F.grouping("type").alias("_t")
     ).select(
-        F.when(F.col("_g") == 3, "severity").when(F.col("_g") == 5, "type").otherwise("module").alias("dim"),
+        F.when(F.col("_s") == 0, "severity").when(F.col("_t") == 0, "type").otherwise("module").alias("dim"), "repo",
         F.coalesce("severity", "type", "module").alias("key"),
         "n",
     )
     fixed = [("severity", s) for s in R.SEVERITY_WEIGHTS] + [("type", k) for k in R.TYPE_PATTERNS]
-    zeros = items.sparkSession.createDataFrame(fixed, "dim string, key string").withColumn(
-        "n", F.lit(0).cast("bigint")
+    zeros = items.sparkSession.createDataFrame(fixed, "dim string, key string").withColumns(
+        {"repo": F.lit(None).cast("string"), "n": F.lit(0).cast("bigint")}
     )
-    return counts.unionByName(zeros).groupBy("dim", "key").agg(F.sum("n").alias("n"))
+    return counts.unionByName(zeros).groupBy("dim", "repo", "key").agg(F.sum("n").alias("n"))
 
 
 def debt_budget(items: DataFrame, threshold: int = 100) -> DataFrame:

@@ -104,27 +104,23 @@ def bug_findings_diff(diffs: DataFrame, rules: Sequence[Rule] = RULES) -> DataFr
 
 
 def finding_rollup(findings: DataFrame) -> DataFrame:
-    """Counts by severity, category, rule and file in one pass: (dim, key, n)."""
+    """Counts by severity, category, rule and file of a repo in one pass: (dim, repo, key, n)."""
     dims = ["severity", "category", "rule_id", "path"]
-    grouped = findings.groupingSets([[d] for d in dims], *dims).agg(
-        F.count(F.lit(1)).alias("n"), F.grouping_id().alias("_g")
-    )
-    # grouping_id has one bit per column, most significant first, 0 where the column is grouped
-    full = (1 << len(dims)) - 1
-    dim = F.lit(None).cast("string")
-    key = F.lit(None).cast("string")
-    for i, d in enumerate(dims):
-        mask = full ^ (1 << (len(dims) - 1 - i))
-        dim = F.when(F.col("_g") == mask, d).otherwise(dim)
-        key = F.when(F.col("_g") == mask, F.col(d)).otherwise(key)
-    return grouped.select(dim.alias("dim"), key.alias("key"), "n")
+    sets = [[d] if d != "path" else ["repo", "path"] for d in dims]
+    grouped = findings.groupingSets(sets, *dims, "repo").agg(
+        F.count(F.lit(1)).alias("n"), *(F.grouping(d).alias(f"_{d}") for d in dims))
+    dim, key = F.lit(None).cast("string"), F.lit(None).cast("string")
+    for d in dims:
+        dim = F.when(F.col(f"_{d}") == 0, d).otherwise(dim)
+        key = F.when(F.col(f"_{d}") == 0, F.col(d)).otherwise(key)
+    return grouped.select(dim.alias("dim"), "repo", key.alias("key"), "n")
 
 
 def finding_stats(findings: DataFrame) -> DataFrame:
     """Totals: findings, distinct files, and those critical or high."""
     return findings.agg(
         F.count(F.lit(1)).alias("total_findings"),
-        F.countDistinct("path").alias("files"),
+        F.countDistinct("repo", "path").alias("files"),
         F.count_if(F.col("severity").isin("critical", "high")).alias("unresolved"),
     )
 

@@ -130,9 +130,9 @@ def vulnerability_counts(t):
 
 
 @query("ranked_vulnerabilities", with_sql("vulns", """
-SELECT repo, package, id, severity FROM vulns ORDER BY CASE severity WHEN 'CRITICAL' THEN 0 WHEN 'HIGH' THEN 1 WHEN 'MEDIUM' THEN 2 ELSE 3 END, repo, package, version, ecosystem LIMIT 100"""))
+SELECT repo, package, id, severity FROM vulns"""))
 def ranked_vulnerabilities(t):
-    return D.rank_sort(vulns(t), "severity", P.SEVERITIES, "repo", "package", "version", "ecosystem").limit(100).select(
+    return D.rank_sort(vulns(t), "severity", P.SEVERITIES, "repo", "package", "version", "ecosystem").select(
         "repo", "package", "id", "severity")
 
 

@@ -105,9 +105,9 @@ def todo_blame(t):
 
 
 @query("todo_rollup", with_sql("blamed_todos", """
-SELECT 'tag' AS dim, tag AS key, count(*) AS n FROM blamed_todos GROUP BY 2
-UNION ALL SELECT 'path', path, count(*) FROM blamed_todos GROUP BY 2
-UNION ALL SELECT 'author', coalesce(author, 'unknown'), count(*) FROM blamed_todos GROUP BY 2"""))
+SELECT 'tag' AS dim, NULL AS repo, tag AS key, count(*) AS n FROM blamed_todos GROUP BY 3
+UNION ALL SELECT 'path', repo, path, count(*) FROM blamed_todos GROUP BY 2, 3
+UNION ALL SELECT 'author', NULL, coalesce(author, 'unknown'), count(*) FROM blamed_todos GROUP BY 3"""))
 def todo_rollup(t):
     return D.todo_rollup(blamed_todos(t))
 
@@ -203,12 +203,12 @@ def debt_score_by_repo(t):
 
 
 @query("debt_breakdown", with_sql("debt_store", """
-, o AS (SELECT severity, type, CASE WHEN contains(path, '/') THEN split_part(path, '/', 1) ELSE '(root)' END AS module FROM debt_store WHERE status = 'open'),
+, o AS (SELECT severity, type, repo, CASE WHEN contains(path, '/') THEN split_part(path, '/', 1) ELSE '(root)' END AS module FROM debt_store WHERE status = 'open'),
 z AS (SELECT 'severity' AS dim, unnest(['critical', 'major', 'minor']) AS key UNION ALL
       SELECT 'type', unnest(['bug', 'security', 'performance', 'refactor', 'documentation', 'enhancement'])),
-c AS (SELECT 'severity' AS dim, severity AS key, count(*) AS n FROM o GROUP BY 2 UNION ALL SELECT 'type', type, count(*) FROM o GROUP BY 2
-      UNION ALL SELECT 'module', module, count(*) FROM o GROUP BY 2)
-SELECT coalesce(c.dim, z.dim) AS dim, coalesce(c.key, z.key) AS key, coalesce(n, 0) AS n FROM c FULL JOIN z ON c.dim = z.dim AND c.key = z.key"""))
+c AS (SELECT 'severity' AS dim, NULL AS repo, severity AS key, count(*) AS n FROM o GROUP BY 3 UNION ALL SELECT 'type', NULL, type, count(*) FROM o GROUP BY 3
+      UNION ALL SELECT 'module', repo, module, count(*) FROM o GROUP BY 2, 3)
+SELECT coalesce(c.dim, z.dim) AS dim, repo, coalesce(c.key, z.key) AS key, coalesce(n, 0) AS n FROM c FULL JOIN z ON c.dim = z.dim AND c.key = z.key"""))
 def debt_breakdown(t):
     return D.debt_breakdown(debt_store(t))
 
@@ -286,27 +286,25 @@ def bug_findings_suppressed(t):
 
 
 @query("finding_rollup", with_sql("findings", """
-SELECT 'severity' AS dim, severity AS key, count(*) AS n FROM findings GROUP BY 2 UNION ALL
-SELECT 'category', category, count(*) FROM findings GROUP BY 2 UNION ALL SELECT 'rule_id', rule_id, count(*) FROM findings GROUP BY 2
-UNION ALL SELECT 'path', path, count(*) FROM findings GROUP BY 2"""))
+SELECT 'severity' AS dim, NULL AS repo, severity AS key, count(*) AS n FROM findings GROUP BY 3 UNION ALL
+SELECT 'category', NULL, category, count(*) FROM findings GROUP BY 3 UNION ALL SELECT 'rule_id', NULL, rule_id, count(*) FROM findings GROUP BY 3
+UNION ALL SELECT 'path', repo, path, count(*) FROM findings GROUP BY 2, 3"""))
 def finding_rollup(t):
     return M.finding_rollup(findings(t))
 
 
 @query("finding_stats", with_sql("findings", """
-SELECT count(*) AS total_findings, count(DISTINCT path) AS files, count(*) FILTER (severity IN ('critical', 'high')) AS unresolved FROM findings"""))
+SELECT count(*) AS total_findings, count(DISTINCT (repo, path)) AS files, count(*) FILTER (severity IN ('critical', 'high')) AS unresolved FROM findings"""))
 def finding_stats(t):
     return M.finding_stats(findings(t))
 
 
 @query("stored_critical_findings", with_sql("findings", """
-SELECT repo, path, line, category FROM findings WHERE severity = 'critical' AND category = 'security'
-ORDER BY line DESC, repo, path, rule_id LIMIT 500"""))
+SELECT repo, path, line, category FROM findings WHERE severity = 'critical' AND category = 'security'"""))
 def stored_critical_findings(t):
     """Category looked up again from the rule id, as for findings stored without one."""
     stored = M.with_category(findings(t).drop("category")).withColumn("ts", F.col("line"))
-    picked = M.select_findings(stored, "critical", "security")
-    return picked.orderBy(F.col("ts").desc(), "repo", "path", "rule_id").limit(500).select("repo", "path", "line", "category")
+    return M.select_findings(stored, "critical", "security").select("repo", "path", "line", "category")
 
 
 @query("bug_findings_in_diff", with_sql("code_files lang_lines", f"""

@@ -343,15 +343,15 @@ def purged_failures(t):
 
 
 @query("stale_parts", """
-WITH u AS (SELECT 'p' || l_partkey AS name, max(l_shipdate) AS last FROM lineitem WHERE l_linenumber = 7 GROUP BY 1),
+WITH u AS (SELECT 'p' || l_partkey AS name, max(l_shipdate) AS last FROM lineitem GROUP BY 1),
 i AS (SELECT 'p' || p_partkey AS name, TIMESTAMP '1999-01-01' + INTERVAL (p_size) DAY AS modified FROM part)
 SELECT name, floor((epoch_us(TIMESTAMP '2001-01-01') - epoch_us(coalesce(last, modified))) / 86400000000.0)::BIGINT AS idle_days FROM i LEFT JOIN u USING (name)
-WHERE (epoch_us(TIMESTAMP '2001-01-01') - epoch_us(coalesce(last, modified))) / 86400000000.0 > 300""")
+WHERE (epoch_us(TIMESTAMP '2001-01-01') - epoch_us(coalesce(last, modified))) / 86400000000.0 > 50""")
 def stale_parts(t):
     items = t.part.select(F.concat(F.lit("p"), F.col("p_partkey").cast("string")).alias("name"),
                           (F.lit("1999-01-01").cast("timestamp") + F.make_dt_interval(F.col("p_size"))).alias("modified_at"))
-    usage = t.lineitem.where("l_linenumber = 7").select(F.concat(F.lit("p"), F.col("l_partkey").cast("string")).alias("name"), F.col("l_shipdate").alias("ts"))
-    return U.stale_items(items, usage, F.lit("2001-01-01").cast("timestamp"), 300).select("name", "idle_days")
+    usage = t.lineitem.select(F.concat(F.lit("p"), F.col("l_partkey").cast("string")).alias("name"), F.col("l_shipdate").alias("ts"))
+    return U.stale_items(items, usage, F.lit("2001-01-01").cast("timestamp"), 50).select("name", "idle_days")
 
 
 # --- knowledge -----------------------------------------------------------------------
