@@ -24,29 +24,25 @@ def coverage_totals(cov: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
 
 
 def merge_coverage(cov: DataFrame, compat: bool = False) -> DataFrame:
-    """One row per path over all tools.
+    """One row per file of a repo over all tools.
 
-    Default: largest raw counts, and a line is uncovered only if every report of the path that
-    lists lines misses it. ``compat``: largest rounded percentages and the union of uncovered
-    lines. Uncovered lines travel as (path, line) rows until the end, so they are counted on the
-    map side and one path never gathers more than its own lines.
+    Default: largest raw counts, and a line is uncovered if every report of the file misses it. ``compat``: largest rounded
+    percentages and the union of uncovered lines. The input is read once: a report's counts ride on its first line, lines
+    are counted per (repo, path, line) and then gathered, one file never more than its own lines.
     """
     per = coverage_files(cov) if compat else cov
-    if compat:
-        sums = per.groupBy("path").agg(*[F.max(f"{k}_pct").alias(f"{k}_pct") for k in KINDS], F.count(F.lit(1)).alias("reports"))
-    else:
-        raw = per.groupBy("path").agg(
-            *[F.max(f"{s}_{k}").alias(f"{s}_{k}") for k in KINDS for s in ("total", "covered")], F.count(F.lit(1)).alias("reports"))
-        sums = raw.select("path", "reports", *[
-            pct(F.col(f"covered_{k}"), F.col(f"total_{k}"), 0, 100.0).alias(f"{k}_pct") for k in KINDS])
-    missed = per.select("path", F.explode(F.array_distinct("uncovered_lines")).alias("line")).groupBy("path", "line").agg(
-        F.count(F.lit(1)).alias("n"))
-    if not compat:
-        missed = missed.join(sums.select("path", "reports"), "path").where(F.col("n") == F.col("reports"))
-    lines = missed.groupBy("path").agg(F.sort_array(F.collect_list("line")).alias("uncovered_lines"))
-    return sums.join(lines, "path", "left").select(
-        "path", *[f"{k}_pct" for k in KINDS],
-        F.coalesce("uncovered_lines", F.array().cast("array<int>")).alias("uncovered_lines"))
+    stats = [f"{k}_pct" for k in KINDS] if compat else [f"{s}_{k}" for k in KINDS for s in ("total", "covered")]
+    lined = per.select("repo", "path", *stats, F.posexplode_outer(F.array_distinct("uncovered_lines")).alias("_at", "line"))
+    head = F.col("_at").isNull() | (F.col("_at") == 0)
+    counted = lined.groupBy("repo", "path", "line").agg(
+        F.count(F.lit(1)).alias("_n"), F.count_if(head).alias("_r"), *(F.max(F.when(head, F.col(c))).alias(c) for c in stats))
+    seen = F.when(F.col("line").isNotNull(), F.struct("line", F.col("_n").alias("n")))
+    files = counted.groupBy("repo", "path").agg(
+        F.sum("_r").alias("reports"), F.collect_list(seen).alias("_l"), *(F.max(c).alias(c) for c in stats))
+    missed = F.col("_l") if compat else F.filter("_l", lambda x: x["n"] == F.col("reports"))
+    lines = F.sort_array(F.transform(missed, lambda x: x["line"])).alias("uncovered_lines")
+    shares = stats if compat else [pct(F.col(f"covered_{k}"), F.col(f"total_{k}"), 0, 100.0).alias(f"{k}_pct") for k in KINDS]
+    return files.select("repo", "path", *shares, lines)
 
 
 def coverage_failures(files: DataFrame, threshold: float) -> DataFrame:

@@ -89,34 +89,31 @@ def coverage(t):
     ln = F.col("l_linenumber")
     part = lambda k: F.least(q + k, F.lit(50))
     return t.lineitem.select(
-        F.col("l_returnflag").alias("tool"), F.concat(lit("p"), s("l_partkey")).alias("path"),
+        F.concat(lit("r"), s(F.col("l_suppkey") % 2)).alias("repo"), F.col("l_returnflag").alias("tool"), F.concat(lit("p"), s("l_partkey")).alias("path"),
         lit(50).alias("total_statements"), part(0).alias("covered_statements"), lit(50).alias("total_branches"), part(1).alias("covered_branches"),
         lit(50).alias("total_functions"), part(2).alias("covered_functions"), lit(50).alias("total_lines"), part(3).alias("covered_lines"),
         F.sequence(ln, ln + 40).alias("uncovered_lines"))
 
 
 define("coverage", """
-SELECT l_returnflag AS tool, 'p' || l_partkey AS path, least(l_quantity::INT, 50) AS c0, least(l_quantity::INT + 1, 50) AS c1, least(l_quantity::INT + 2, 50) AS c2, least(l_quantity::INT + 3, 50) AS c3,
+SELECT 'r' || (l_suppkey % 2) AS repo, l_returnflag AS tool, 'p' || l_partkey AS path, least(l_quantity::INT, 50) AS c0, least(l_quantity::INT + 1, 50) AS c1, least(l_quantity::INT + 2, 50) AS c2, least(l_quantity::INT + 3, 50) AS c3,
  generate_series(l_linenumber, l_linenumber + 40) AS u FROM lineitem""")
 
 
 @query("merged_coverage", with_sql("coverage", """
-, m AS (SELECT path, line FROM (SELECT path, unnest(u) AS line FROM coverage) GROUP BY ALL HAVING count(*) = (SELECT count(*) FROM coverage c WHERE c.path = any_value(path))),
-k AS (SELECT path, count(*) AS n, max(c0) AS c0, max(c1) AS c1, max(c2) AS c2, max(c3) AS c3 FROM coverage GROUP BY 1),
-m2 AS (SELECT x.path, string_agg(line::VARCHAR, ',' ORDER BY line) AS missed FROM (SELECT path, line, count(*) AS n FROM (SELECT path, unnest(u) AS line FROM coverage) GROUP BY ALL) x JOIN k ON k.path = x.path AND k.n = x.n GROUP BY 1)
-SELECT path, floor(c0 / 50.0::DOUBLE * 100 + 0.5)::DOUBLE AS statements_pct, floor(c1 / 50.0::DOUBLE * 100 + 0.5)::DOUBLE AS branches_pct, floor(c2 / 50.0::DOUBLE * 100 + 0.5)::DOUBLE AS functions_pct,
- floor(c3 / 50.0::DOUBLE * 100 + 0.5)::DOUBLE AS lines_pct, coalesce(missed, '') AS missed FROM k LEFT JOIN m2 USING (path)""".replace(
-    """
-, m AS (SELECT path, line FROM (SELECT path, unnest(u) AS line FROM coverage) GROUP BY ALL HAVING count(*) = (SELECT count(*) FROM coverage c WHERE c.path = any_value(path))),
-k AS""", "\n, k AS")))
+, k AS (SELECT repo, path, count(*) AS n, max(c0) AS c0, max(c1) AS c1, max(c2) AS c2, max(c3) AS c3 FROM coverage GROUP BY ALL),
+l AS (SELECT repo, path, line, count(*) AS n FROM (SELECT repo, path, unnest(u) AS line FROM coverage) GROUP BY ALL),
+m AS (SELECT repo, path, string_agg(line::VARCHAR, ',' ORDER BY line) AS missed FROM l JOIN k USING (repo, path, n) GROUP BY ALL)
+SELECT repo, path, floor(c0 / 50.0::DOUBLE * 100 + 0.5)::DOUBLE AS statements_pct, floor(c1 / 50.0::DOUBLE * 100 + 0.5)::DOUBLE AS branches_pct, floor(c2 / 50.0::DOUBLE * 100 + 0.5)::DOUBLE AS functions_pct,
+ floor(c3 / 50.0::DOUBLE * 100 + 0.5)::DOUBLE AS lines_pct, coalesce(missed, '') AS missed FROM k LEFT JOIN m USING (repo, path)"""))
 def merged_coverage(t):
     return CV.merge_coverage(coverage(t)).withColumn("missed", F.array_join("uncovered_lines", ",")).drop("uncovered_lines")
 
 
 @query("merged_coverage_compat", with_sql("coverage", """
-, k AS (SELECT path, max(floor(c0 / 50.0::DOUBLE * 100 + 0.5)::DOUBLE) AS statements_pct, max(floor(c1 / 50.0::DOUBLE * 100 + 0.5)::DOUBLE) AS branches_pct, max(floor(c2 / 50.0::DOUBLE * 100 + 0.5)::DOUBLE) AS functions_pct,
- max(floor(c3 / 50.0::DOUBLE * 100 + 0.5)::DOUBLE) AS lines_pct FROM coverage GROUP BY 1), m AS (SELECT path, string_agg(line::VARCHAR, ',' ORDER BY line) AS missed FROM (SELECT DISTINCT path, unnest(u) AS line FROM coverage) GROUP BY 1)
-SELECT k.*, missed FROM k JOIN m USING (path)"""))
+, k AS (SELECT repo, path, max(floor(c0 / 50.0::DOUBLE * 100 + 0.5)::DOUBLE) AS statements_pct, max(floor(c1 / 50.0::DOUBLE * 100 + 0.5)::DOUBLE) AS branches_pct, max(floor(c2 / 50.0::DOUBLE * 100 + 0.5)::DOUBLE) AS functions_pct,
+ max(floor(c3 / 50.0::DOUBLE * 100 + 0.5)::DOUBLE) AS lines_pct FROM coverage GROUP BY ALL), m AS (SELECT repo, path, string_agg(line::VARCHAR, ',' ORDER BY line) AS missed FROM (SELECT DISTINCT repo, path, unnest(u) AS line FROM coverage) GROUP BY ALL)
+SELECT k.*, missed FROM k JOIN m USING (repo, path)"""))
 def merged_coverage_compat(t):
     return CV.merge_coverage(coverage(t), compat=True).withColumn("missed", F.array_join("uncovered_lines", ",")).drop("uncovered_lines")
 
@@ -129,7 +126,7 @@ def coverage_totals(t):
 
 
 @query("coverage_failures", with_sql("coverage", """
-SELECT path, max(floor(c3 / 50.0::DOUBLE * 100 + 0.5)::DOUBLE) AS percent, 99.0::DOUBLE AS threshold FROM coverage GROUP BY 1 HAVING max(floor(c3 / 50.0::DOUBLE * 100 + 0.5)::DOUBLE) < 99"""))
+SELECT repo, path, max(floor(c3 / 50.0::DOUBLE * 100 + 0.5)::DOUBLE) AS percent, 99.0::DOUBLE AS threshold FROM coverage GROUP BY 1, 2 HAVING max(floor(c3 / 50.0::DOUBLE * 100 + 0.5)::DOUBLE) < 99"""))
 def coverage_failures(t):
     return CV.coverage_failures(CV.merge_coverage(coverage(t)), 99)
 
