@@ -87,7 +87,18 @@ def correction_decay_stream(t):
 
 @query("dedup_stream", with_sql("memories", "SELECT DISTINCT content_hash FROM memories"))
 def dedup_stream(t):
-    return R.drain(S.dedup_stream(B.memories(live(t)).select("content_hash", "created_at")), "dedup").select("content_hash")
+    folder = scratch_path(t.spark, "dedup")
+    R.start_dedup(B.memories(live(t)).select("content_hash", "created_at"), f"{folder}/store", f"{folder}/checkpoint").awaitTermination()
+    return t.spark.read.parquet(f"{folder}/store").select("content_hash")
+
+
+@query("promoted_stream", with_sql("experiences failures", TOPIC_SQL.replace(" WHERE processed_at IS NULL", "") + """
+SELECT DISTINCT left(sha256(trim(replace(context, chr(10), ' '))), 16) AS context_hash FROM cand WHERE confidence >= 3"""))
+def promoted_stream(t):
+    s, folder = live(t), scratch_path(t.spark, "promoted")
+    none = t.spark.createDataFrame([], "context_hash string")
+    R.start_promotion(S.candidate_stream(B.experiences(s), B.failures(s)), none, f"{folder}/store", f"{folder}/checkpoint").awaitTermination()
+    return t.spark.read.parquet(f"{folder}/store").select("context_hash")
 
 
 @query("session_metrics_stream", with_sql("session_events", f"""

@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 
-from ..operators.memory import memory_candidates
+from ..operators.history import distinct_first
+from ..operators.memory import PROMOTE_AT, memory_candidates, promote
 from ..session import scratch_path
 
 
@@ -59,6 +60,53 @@ def start_consolidation(
     return (writer.trigger(availableNow=True) if now else writer.trigger(processingTime="1 minute")).start()
 
 
+def _earlier(spark: SparkSession, folder: str, fields: StructType, batch: int) -> DataFrame:
+    """Rows that batches before ``batch`` have written below ``folder``; none before the first has."""
+    from pyspark.errors import AnalysisException
+
+    schema = StructType([*fields.fields, StructField("batch", LongType())])
+    try:
+        return spark.read.schema(schema).parquet(folder).where(F.col("batch") < batch).drop("batch")
+    except AnalysisException:
+        return spark.createDataFrame([], fields)
+
+
+def start_dedup(
+    rows: DataFrame, folder: str, checkpoint: str, key: str = "content_hash", order: tuple[str, ...] = ("created_at",), now: bool = True,
+) -> StreamingQuery:
+    """Store the first row of every key that no earlier batch has stored, however long ago.
+
+    A batch writes ``<folder>/batch=<n>`` after an anti-join with the batches before it; replayed, it overwrites its own
+    folder. Rows without a key are stored once.
+    """
+
+    def handle(df: DataFrame, batch: int) -> None:
+        first = distinct_first(df, [key], [F.col(c) for c in order])
+        known = _earlier(df.sparkSession, folder, df.select(key).schema, batch).withColumnRenamed(key, "_key")
+        fresh = first.join(known, first[key].eqNullSafe(known["_key"]), "left_anti")
+        fresh.write.mode("overwrite").parquet(f"{folder}/batch={batch}")
+
+    writer = rows.writeStream.option("checkpointLocation", checkpoint).foreachBatch(handle)
+    return (writer.trigger(availableNow=True) if now else writer.trigger(processingTime="1 minute")).start()
+
+
+def start_promotion(
+    candidates: DataFrame, durable: DataFrame, folder: str, checkpoint: str, at: int = PROMOTE_AT, now: bool = True,
+) -> StreamingQuery:
+    """Promote running candidates (update mode) that reach ``at`` and are durable neither yet nor by an earlier batch.
+
+    Batches write ``<folder>/batch=<n>`` as ``start_dedup`` does.
+    """
+
+    def handle(df: DataFrame, batch: int) -> None:
+        ready = promote(df, durable, at)
+        known = _earlier(df.sparkSession, folder, ready.select("context_hash").schema, batch)
+        ready.join(known, "context_hash", "left_anti").write.mode("overwrite").parquet(f"{folder}/batch={batch}")
+
+    writer = candidates.writeStream.option("checkpointLocation", checkpoint).outputMode("update").foreachBatch(handle)
+    return (writer.trigger(availableNow=True) if now else writer.trigger(processingTime="1 minute")).start()
+
+
 def _last(spark: SparkSession, path: str, column: str, below: int) -> int:
     """Highest partition value under a folder that is lower than ``below``; -1 without any."""
     from pyspark.errors import AnalysisException

@@ -117,7 +117,7 @@ def correction_decay_stream(events: DataFrame, watermark: str = WATERMARK) -> Da
 
 
 def dedup_stream(rows: DataFrame, key: str = "content_hash", ts: str = "created_at", watermark: str = WATERMARK) -> DataFrame:
-    """First arrival per key within the watermark horizon."""
+    """First arrival per key within the watermark horizon; ``runs.start_dedup`` remembers every key."""
     return rows.withWatermark(ts, watermark).dropDuplicatesWithinWatermark([key])
 
 

@@ -61,6 +61,27 @@ def test_dedup_keeps_first(spark):
     assert sorted(r["content_hash"] for r in out.collect()) == ["h1", "h2"]
 
 
+def test_dedup_remembers_over_hours_and_restarts(spark):
+    rows = [[("h1", at(0)), ("h2", at(1)), ("h1", at(2))], [("h3", at(40_000)), ("h1", at(40_001))], [("h2", at(90_000)), (None, at(90_001))], [(None, at(5))]]
+    folder = scratch_path(spark, "dedup-store")
+    stream = land(spark, rows, "content_hash string, created_at timestamp", "dedup-in")
+    for _ in range(2):  # the second start finds nothing new
+        R.start_dedup(stream, f"{folder}/store", f"{folder}/checkpoint").awaitTermination()
+    out = spark.read.parquet(f"{folder}/store").collect()
+    assert sorted((r["content_hash"] or "", r["created_at"]) for r in out) == [("", at(90_001)), ("h1", at(0)), ("h2", at(1)), ("h3", at(40_000))]
+
+
+def test_promotion_waits_for_confidence_and_happens_once(spark):
+    schema = "id bigint, ts timestamp, error string"
+    rows = [[(i, at(i), "disk full on node")] for i in range(6)]
+    lessons = land(spark, [[(99, at(0), ["keep the build small"])]], "id bigint, ts timestamp, lessons array<string>", "lesson-in")
+    folder, durable = scratch_path(spark, "promotion"), spark.createDataFrame([], "context_hash string")
+    found = S.candidate_stream(lessons, land(spark, rows, schema, "fail-in"))
+    R.start_promotion(found, durable, f"{folder}/store", f"{folder}/checkpoint", 3).awaitTermination()
+    out = spark.read.parquet(f"{folder}/store")
+    assert out.count() == 1 and out.first()["confidence"] == 3
+
+
 def test_scan_equals_batch(spark):
     from tallyforge.operators.debt import comment_items
     from tallyforge.sources.files import to_lines
