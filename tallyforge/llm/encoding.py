@@ -35,9 +35,14 @@ def default_path(name: str) -> str:
 
 
 class Memo(dict):
-    """Bounded memo: two generations of about ``limit`` keys; a key asked for again moves to the new one."""
+    """Bounded memo: two generations of about ``limit`` keys; a key asked for again moves to the new one.
 
-    def __init__(self, fill: Callable[[list], Iterable], limit: int = 400_000):
+    A worker serves many operators in turn; only the memo in use keeps its keys.
+    """
+
+    in_use: Memo | None = None
+
+    def __init__(self, fill: Callable[[list], Iterable], limit: int = 300_000):
         super().__init__()
         self.fill, self.limit, self.old = fill, limit, {}
         self.todo: list = []
@@ -52,6 +57,11 @@ class Memo(dict):
 
     def take(self, keys: Iterable[list]) -> list[list]:
         """Values of each list of keys; those not known are filled in one call."""
+        if Memo.in_use is not self:
+            if Memo.in_use is not None:
+                Memo.in_use.clear()
+                Memo.in_use.old = {}
+            Memo.in_use = self
         if len(self) > self.limit:
             self.old = dict(self)
             self.clear()

@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import math
 import re
-from functools import cache
+from functools import lru_cache
 
 from pyspark.sql import DataFrame, Window, functions as F
 
@@ -93,7 +93,7 @@ def learn(docs: DataFrame) -> dict[str, str]:
     return {lang: s[:SAMPLE_CHARS] for lang, s in samples.items() if s.strip()}
 
 
-@cache
+@lru_cache(maxsize=1)
 def _parser(samples: tuple[tuple[str, str], ...]) -> tuple[Memo, list[float]]:
     own = [Automaton(s) for _, s in samples]
 
