@@ -10,8 +10,11 @@ from __future__ import annotations
 
 import math
 import re
+import sys
+import unicodedata
 from functools import lru_cache
 
+import numpy as np
 from pyspark.sql import DataFrame, Window, functions as F
 
 from .encoding import Memo
@@ -23,7 +26,13 @@ SAMPLE_DOCS, SAMPLE_CHARS = 64, 30_000
 MAX_LANGUAGES = 64
 #: Sharpness of the score: base-2 weight of one bit per letter.
 SHARPNESS = 8.0
-_LETTERS = re.compile(r"[^\W\d_]+")
+#: Labelled texts a language whose entropies give its bounds, about so many of least hash, none of them in the sample.
+CHECK_DOCS = 1000
+#: Quantile of their entropies and the texts a length band needs for it; texts of fewer letters are not judged.
+QUANTILE, BAND_DOCS, SHORT = 0.99, 20, 32
+# Vowel signs, accents and joiners stand within words; re has no class of them.
+_MARKS = "\u200c\u200d" + "".join(c for c in map(chr, range(sys.maxunicode + 1)) if unicodedata.category(c)[0] == "M")
+_LETTERS = re.compile(rf"[^\W\d_](?:[^\W\d_]|[{_MARKS}])*")
 _FIELD = 44
 _MASK = (1 << _FIELD) - 1
 
@@ -73,7 +82,7 @@ class Automaton:
 
 
 def words_of(text: str) -> list[str]:
-    """Runs of letters, in lower case."""
+    """Runs of letters with their combining marks, in lower case."""
     return _LETTERS.findall(text.lower())
 
 
@@ -82,15 +91,86 @@ def learn(docs: DataFrame) -> dict[str, str]:
 
     Reads the documents of least hash of each language, at most ``SAMPLE_DOCS``, until ``SAMPLE_CHARS`` letters.
     """
-    known = docs.where("lang is not null and text is not null").select("lang", "text", F.xxhash64("text", "doc_id").alias("h"))
+    return _learn(docs)[0]
+
+
+def learn_bounded(docs: DataFrame) -> tuple[dict[str, str], dict[str, dict[int, float]]]:
+    """The samples of ``learn`` and the most bits a letter of a text of each language, by length band.
+
+    The bounds come from the labelled texts of ``docs`` outside the samples, each text once: their entropies under
+    their own language.
+    """
+    samples, read = _learn(docs)
+    if not samples:
+        return samples, {}
+    known = _known(docs).where(F.col("lang").isin(list(samples))).withColumn("t", F.xxhash64("text"))
+    sizes = known.groupBy("lang").agg(F.approx_count_distinct("t").alias("n")).collect()
+    # hashes are even over their range: its first part holds about CHECK_DOCS texts
+    share = [F.when(F.col("lang") == r.lang, F.lit(min(CHECK_DOCS / r.n, 1.0))) for r in sizes]
+    least = F.col("t") <= F.lit(-2.0 ** 63) + F.lit(2.0 ** 64) * F.coalesce(*share)
+    picked = known.where(least & ~F.col("t").isin(sorted(read))).dropDuplicates(["lang", "t"]).select("lang", "text")
+
+    def step(batch):
+        langs, bits, sizes = batch.column("lang").to_pylist(), [], []
+        for lang, t in zip(langs, batch.column("text").to_pylist(), strict=True):
+            letters, found = _parse(t, samples)
+            bits.append(found.get(lang))
+            sizes.append(letters)
+        yield {"lang": langs, "letters": sizes, "entropy": bits}
+
+    rows = map_slices(picked, "lang string, letters long, entropy double", step).where("entropy is not null").collect()
+    return samples, bounds([tuple(r) for r in rows], {lang: math.log2(len(s)) for lang, s in samples.items()})
+
+
+def bounds(rows: list[tuple[str, int, float]], apart: dict[str, float]) -> dict[str, dict[int, float]]:
+    """``language -> length band -> most bits a letter`` from (language, letters, entropy) of labelled texts.
+
+    Halfway from their ``QUANTILE`` to ``apart``, the bits of a text whose letters are phrases each, and at least as far
+    beyond the quantile as that is from the median: the tail of odd texts of the language stays in, texts no part of
+    which is known go. A band of fewer than ``BAND_DOCS`` texts has none.
+    """
+    bands: dict[tuple[str, int], list[float]] = {}
+    for lang, letters, bits in rows:
+        bands.setdefault((lang, band(letters)), []).append(bits)
+    most: dict[str, dict[int, float]] = {}
+    for (lang, k), bits in bands.items():
+        if len(bits) >= BAND_DOCS:
+            high = np.quantile(bits, QUANTILE)
+            most.setdefault(lang, {})[k] = float(max(2 * high - np.median(bits), (high + apart[lang]) / 2))
+    return most
+
+
+def band(letters: int) -> int:
+    """Length band: letters by powers of two."""
+    return letters.bit_length()
+
+
+def explained(letters: int, bits: float, own: dict[int, float]) -> bool:
+    """Whether a text is within its language's bounds: that of its band, else of the next shorter one, whose texts vary more.
+
+    True if there is none, or of fewer than ``SHORT`` letters.
+    """
+    k = max((k for k in own if k <= band(letters)), default=None)
+    return letters < SHORT or k is None or bits <= own[k]
+
+
+def _known(docs: DataFrame) -> DataFrame:
+    return docs.where("lang is not null and text is not null").select("lang", "text", F.xxhash64("text", "doc_id").alias("h"))
+
+
+def _learn(docs: DataFrame) -> tuple[dict[str, str], set[int]]:
+    """Samples and the hashes of the texts they were read from."""
+    known = _known(docs)
     top = Window.partitionBy("lang").orderBy("h", "text")
     langs = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES)
-    picked = known.withColumn("k", F.row_number().over(top)).where(F.col("k") <= SAMPLE_DOCS)
+    picked = known.withColumn("k", F.row_number().over(top)).where(F.col("k") <= SAMPLE_DOCS).withColumn("t", F.xxhash64("text"))
     samples: dict[str, str] = {}
-    for lang, text, _ in picked.join(langs, "lang", "left_semi").select("lang", "text", "k").sort("lang", "k").toLocalIterator():
+    read: set[int] = set()
+    for lang, text, _, t in picked.join(langs, "lang", "left_semi").select("lang", "text", "k", "t").sort("lang", "k").toLocalIterator():
         if len(samples.get(lang, "")) < SAMPLE_CHARS:
             samples[lang] = samples.get(lang, " ") + " ".join(words_of(text)) + " "
-    return {lang: s[:SAMPLE_CHARS] for lang, s in samples.items() if s.strip()}
+            read.add(t)
+    return {lang: s[:SAMPLE_CHARS] for lang, s in samples.items() if s.strip()}, read
 
 
 @lru_cache(maxsize=1)
@@ -108,14 +188,19 @@ def _parser(samples: tuple[tuple[str, str], ...]) -> tuple[Memo, list[float]]:
     return Memo(lambda keys: [packed(k) for k in keys]), [math.log2(len(s)) for _, s in samples]
 
 
-def entropies(text: str, samples: dict[str, str]) -> dict[str, float]:
-    """Bits per letter under each language; empty if the text has no letter."""
+def _parse(text: str, samples: dict[str, str]) -> tuple[int, dict[str, float]]:
+    """Letters of a text and its bits per letter under each language; none if it has no letter."""
     memo, bits = _parser(tuple(sorted(samples.items())))
     total = sum(memo.take([text.lower().split()])[0])
     letters = total & _MASK
     if not letters:
-        return {}
-    return {lang: bits[k] * (total >> _FIELD * (k + 1) & _MASK) / letters for k, lang in enumerate(sorted(samples))}
+        return 0, {}
+    return letters, {lang: bits[k] * (total >> _FIELD * (k + 1) & _MASK) / letters for k, lang in enumerate(sorted(samples))}
+
+
+def entropies(text: str, samples: dict[str, str]) -> dict[str, float]:
+    """Bits per letter under each language; empty if the text has no letter."""
+    return _parse(text, samples)[1]
 
 
 def decide(found: dict[str, float]) -> tuple[str, float]:
@@ -126,21 +211,22 @@ def decide(found: dict[str, float]) -> tuple[str, float]:
     return best, 1 / sum(2 ** (SHARPNESS * (found[best] - h)) for h in found.values())
 
 
-def predict(docs: DataFrame, samples: dict[str, str]) -> DataFrame:
-    """``doc_id, lang_pred, score, entropy`` of every whole text.
+def predict(docs: DataFrame, samples: dict[str, str], most: dict[str, dict[int, float]] | None = None) -> DataFrame:
+    """``doc_id, lang_pred, score, entropy, explained`` of every whole text.
 
-    ``und`` with score 0 if the text is null or has no letter, or nothing was learned. One row per input row; further
-    columns are ignored.
+    ``und`` with score 0 if the text is null or has no letter, or nothing was learned. ``explained``: not beyond the
+    bounds ``most`` of its language (see ``learn_bounded``). One row per input row; further columns are ignored.
     """
 
     def step(batch):
-        said, score, bits = [], [], []
+        said, score, bits, within = [], [], [], []
         for t in batch.column("text").to_pylist():
-            found = entropies(t, samples) if samples else {}
+            letters, found = _parse(t, samples) if samples else (0, {})
             lang, s = decide(found)
             said.append(lang)
             score.append(s)
             bits.append(found.get(lang))
-        yield {"doc_id": batch.column("doc_id"), "lang_pred": said, "score": score, "entropy": bits}
+            within.append(lang in found and explained(letters, found[lang], (most or {}).get(lang, {})))
+        yield {"doc_id": batch.column("doc_id"), "lang_pred": said, "score": score, "entropy": bits, "explained": within}
 
-    return map_slices(texts(docs), "doc_id long, lang_pred string, score double, entropy double", step)
+    return map_slices(texts(docs), "doc_id long, lang_pred string, score double, entropy double, explained boolean", step)

@@ -39,6 +39,20 @@ def test_entropy_adds_up_over_words():
     assert langid.entropies("12 !!", samples) == {}
 
 
+def test_words_keep_their_combining_marks():
+    assert langid.words_of("नमस्ते, दुनिया! Cafe\u0301 x2") == ["नमस्ते", "दुनिया", "cafe\u0301", "x"]
+    assert langid.words_of("\u0301 12 _") == []
+
+
+def test_bounds_by_length_band():
+    rows = [("x", 100, 1 + k / 100) for k in range(100)] + [("x", 5000, 9.0)]
+    own = langid.bounds(rows, {"x": 12.0})["x"]
+    assert set(own) == {langid.band(100)} and 6.9 < own[langid.band(100)] < 7
+    assert 2.4 < langid.bounds(rows, {"x": 1.0})["x"][langid.band(100)] < 2.5
+    assert langid.explained(100, 2.0, own) and not langid.explained(9999, 9.0, own)
+    assert langid.explained(40, 9.0, own) and langid.explained(3, 99.0, own) and langid.explained(9999, 99.0, {})
+
+
 def test_language_of_odd_rows(spark):
     docs = odd_documents(spark)
     samples = langid.learn(docs)
