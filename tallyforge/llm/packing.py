@@ -1,7 +1,8 @@
 """Order-preserving packing: where to cut the token stream of ordered documents into windows.
 
 Documents stand in ascending ``doc_id`` order as one stream of ids. Allowed cuts are document ends (free), sentence
-ends (``SENTENCE_COST``) and, where neither lies within a window, any id (``ID_COST``). The least total of padding
+ends (``SENTENCE_COST``) and, a whole window after a cut that has neither close before that place, the id there
+(``ID_COST``); in the last window of the stream any id, as nothing follows that could fill it. The least total of padding
 plus cut costs follows by dynamic programming over the allowed cuts: with f(i) the least cost of the stream up to cut
 i, f(j) = cost(j) + W - j + min(f(i) + i) over the cuts i in [j - W, j), a sliding minimum kept in a monotone queue;
 a window whose length is a power of two carries no padding and is one further transition per power.
@@ -23,8 +24,10 @@ from .frames import SLICE_ROWS, arrow, in_order, record, settle, texts
 WINDOW = 2048
 SENTENCE_COST = 4
 ID_COST = 32
-#: Powers of two below the window that a sequence may have as its length without padding; shorter ones waste a place.
-POWERS = 3
+#: Stops that no blank follows.
+WIDE_STOPS = "。！？｡"
+#: Powers of two below the window: all of them, as each is a length without padding.
+POWERS = WINDOW.bit_length() - 1
 #: Ids solved at once; the last window of a block is carried into the next block, so only a shard's end is padded.
 BLOCK_IDS = 500_000
 SCHEMA = ("doc_id long, start long, length long, ids_crc32 long, doc_tokens long, shard int, local_id long, "
@@ -38,7 +41,15 @@ def padding(length: int, window: int = WINDOW) -> int:
 
 def best_cuts(cuts: list[int], costs: list[int], window: int = WINDOW) -> list[int]:
     """Cheapest chain of cuts from 0 to the last of ``cuts`` (ascending, gaps at most ``window``)."""
-    powers = [window >> k for k in range(1, POWERS + 1) if window >> k]
+    at = np.asarray(cuts)
+    is_cut = np.zeros(at[-1] + 1, bool)
+    is_cut[0] = is_cut[at] = True
+    # most cuts have no other at a power of two before them: those that have are found at once
+    powers: dict[int, list[int]] = {}
+    for p in (1 << k for k in range(window.bit_length()) if 1 << k < window):
+        later = at[at >= p]
+        for j in later[is_cut[later - p]].tolist():
+            powers.setdefault(j, []).append(p)
     best: dict[int, int] = {0: 0}
     back: dict[int, int] = {}
     queue: deque[tuple[int, int]] = deque([(0, 0)])  # (f(i) + i, i), values ascending
@@ -47,10 +58,9 @@ def best_cuts(cuts: list[int], costs: list[int], window: int = WINDOW) -> list[i
             queue.popleft()
         value, i = queue[0]
         value += window - j
-        for p in powers:
-            known = best.get(j - p)
-            if known is not None and known < value:
-                value, i = known, j - p
+        for p in powers.get(j, ()):
+            if best[j - p] < value:
+                value, i = best[j - p], j - p
         value += extra
         best[j], back[j] = value, i
         key = value + j
@@ -64,30 +74,58 @@ def best_cuts(cuts: list[int], costs: list[int], window: int = WINDOW) -> list[i
 
 
 def allowed(doc_ends: np.ndarray, sentence_ends: np.ndarray, window: int = WINDOW) -> tuple[list[int], list[int]]:
-    """Ascending cuts and their costs; a gap wider than a window gets cuts at every ``window // 8`` ids."""
+    """Ascending cuts and their costs.
+
+    A cut at an id stands a window after any cut, unless a document or sentence end before that place costs no more in
+    padding: a later cut only fills the window, an earlier one pads it. Each such cut asks for the next in turn.
+    """
     soft = np.setdiff1d(sentence_ends, doc_ends, assume_unique=True)
     at = np.concatenate([doc_ends, soft])
     cost = np.concatenate([np.zeros(len(doc_ends), np.int64), np.full(len(soft), SENTENCE_COST)])
-    known = np.sort(at)
-    gaps = np.diff(known, prepend=0)
-    step = max(window // 8, 1)
-    hard = [np.arange(b - g + step, b, step) for b, g in zip(known[gaps > window], gaps[gaps > window], strict=True)]
-    if hard:
-        extra = np.concatenate(hard)
-        at, cost = np.concatenate([at, extra]), np.concatenate([cost, np.full(len(extra), ID_COST)])
+    known = np.concatenate([[0], np.sort(at)])
+    end = known[-1]
+    is_cut = np.zeros(end + 1, bool)
+    is_cut[known] = True
+    hard, new = [], known
+    while len(new):
+        new = new[new < end - window] + window
+        new = new[~is_cut[new]]
+        new = new[new - known[np.searchsorted(known, new) - 1] >= min(ID_COST - SENTENCE_COST, window)]
+        is_cut[new] = True
+        hard.append(new)
+    tail = np.arange(max(end - window, 0), end)
+    hard.append(tail[~is_cut[tail]])
+    extra = np.concatenate(hard)
+    at, cost = np.concatenate([at, extra]), np.concatenate([cost, np.full(len(extra), ID_COST)])
     order = np.argsort(at, kind="stable")
     return at[order].tolist(), cost[order].tolist()
 
 
 @cache
-def _marks(path: str) -> tuple[np.ndarray, np.ndarray]:
-    """By id: whether its piece ends a sentence, and whether it opens with white space."""
+def _marks(path: str) -> tuple[np.ndarray, np.ndarray, list[list[int]]]:
+    """By id: whether its piece ends a sentence, and whether one may follow it; the ids of wide stops of several pieces.
+
+    A stop of a script with blanks needs white space in the next piece; a wide stop needs none.
+    """
     tok = load(path)
-    n = tok.get_vocab_size()
-    pieces = [tok.decode([i]) for i in range(n)]
-    ends = np.array([p.rstrip()[-1:] in {".", "!", "?", "。"} and bool(p.strip()) for p in pieces])
+    pieces = [tok.decode([i]) for i in range(tok.get_vocab_size())]
+    ends = np.array([2 if p.rstrip()[-1:] in set(WIDE_STOPS) else p.rstrip()[-1:] in {".", "!", "?"} for p in pieces], np.int8)
+    ends[[not p.strip() for p in pieces]] = 0
     blank = np.array([p[:1].isspace() for p in pieces])
-    return ends, blank
+    wide = [tok.encode(c, add_special_tokens=False).ids for c in WIDE_STOPS]
+    return ends, blank, [ids for ids in wide if len(ids) > 1]
+
+
+def sentence_ends(stream: np.ndarray, path: str) -> np.ndarray:
+    """Places after a sentence's last id, ascending, without the end of the stream."""
+    ends, blank, wide = _marks(path)
+    top = np.minimum(stream, len(ends) - 1)
+    stop = (ends[top][:-1] == 2) | (ends[top][:-1] == 1) & blank[top][1:]
+    for ids in wide:
+        n = len(stream) - len(ids)
+        if n > 0:
+            stop[len(ids) - 1:] |= np.logical_and.reduce([stream[k:k + n] == x for k, x in enumerate(ids)])
+    return np.flatnonzero(stop) + 1
 
 
 class Packer:
@@ -115,10 +153,7 @@ class Packer:
             return
         stream = np.concatenate([ids[done:] for _, ids, done in self.docs])
         ends = np.cumsum([len(ids) - done for _, ids, done in self.docs])
-        sentence, blank = _marks(self.path)
-        top = np.minimum(stream, len(sentence) - 1)
-        stops = np.flatnonzero(sentence[top][:-1] & blank[top][1:]) + 1
-        chain = best_cuts(*allowed(ends, stops, self.window), self.window)
+        chain = best_cuts(*allowed(ends, sentence_ends(stream, self.path), self.window), self.window)
         if not last:
             chain = chain[:-1]
         self.place(chain)

@@ -117,6 +117,33 @@ def test_cuts_are_the_cheapest_chain():
         assert spent == least_cost(cuts, costs, window)
 
 
+def padded_by(ends, window):
+    cuts, costs = packing.allowed(np.asarray(ends), np.array([], np.int64), window)
+    chain = packing.best_cuts(cuts, costs, window)
+    return sum(packing.padding(j - i, window) for i, j in zip(chain, chain[1:], strict=False))
+
+
+def test_documents_without_sentence_ends_fill_their_windows():
+    assert padded_by(np.arange(1, 101) * 1100, 2048) < 2048
+    assert padded_by([2048 + 1024 + 512 + 16], 2048) == 0
+    r = np.random.default_rng(5)
+    for _ in range(5):
+        ends = np.cumsum(r.integers(1, 3000, 30))
+        assert padded_by(ends, 2048) < 0.02 * ends[-1]
+        every = np.arange(1, ends[-1] + 1)  # every id may be cut
+        cost = np.where(np.isin(every, ends), 0, packing.ID_COST)
+        chains = [packing.best_cuts(*c) for c in (packing.allowed(ends, np.array([], np.int64)), (every.tolist(), cost.tolist()))]
+        spent = [sum(packing.padding(j - i) + cost[j - 1] for i, j in zip(c, c[1:], strict=False)) for c in chains]
+        assert spent[1] <= spent[0] <= 1.2 * spent[1]
+
+
+def test_wide_stops_end_sentences():
+    text = "日本語の文。次の文！終わり A.b c. d"
+    ids = ids_of(BYTE, text, 1)
+    heads = [encoding.load(BYTE).decode(ids[:k].tolist()) for k in packing.sentence_ends(ids, BYTE)]
+    assert heads == ["日本語の文。", "日本語の文。次の文！", "日本語の文。次の文！終わり A.b c."]
+
+
 def test_shards_decode_any_span():
     r = np.random.default_rng(4)
     for kind in (3, 50, 40_000):
