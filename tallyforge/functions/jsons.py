@@ -39,18 +39,22 @@ def json_type(doc: Column, path: str) -> Column:
 def flatten_keys(df: DataFrame, doc: str, keep: Sequence[str], depth: int = 4) -> DataFrame:
     """Leaf strings of a nested JSON object as (keep..., key, value) rows with dot keys.
 
-    One pipeline of ``depth`` lateral explodes: objects open up, leaves pass through, so the
-    input is read and parsed once. Objects deeper than ``depth`` end the walk at that level.
+    Lateral explodes, ``depth`` at a time: objects open up, leaves pass through. They are repeated until no row holds an
+    object, which is asked of the data, so every level is reached and ``depth`` only sets how often it is asked.
     """
     spark = df.sparkSession
     v, prefix = F.col("_v"), F.col("_prefix")
+    is_object = F.coalesce(F.schema_of_variant(v).startswith("OBJECT"), F.lit(False))
     rows = df.select(*keep, F.lit("").alias("_prefix"), F.col(doc).alias("_v"))
-    for _ in range(depth):
-        rows = rows.withColumn("_open", F.coalesce(F.schema_of_variant(v).startswith("OBJECT"), F.lit(False)))
-        nested = spark.tvf.variant_explode_outer(F.when(F.col("_open"), v).outer())
-        path = F.when(prefix == "", F.col("key")).otherwise(F.concat_ws(".", prefix, "key"))
-        rows = rows.lateralJoin(nested).select(
-            *keep, F.when(F.col("_open"), path).otherwise(prefix).alias("_prefix"),
-            F.when(F.col("_open"), F.col("value")).otherwise(v).alias("_v"))
+    while True:
+        for _ in range(max(depth, 1)):
+            rows = rows.withColumn("_open", is_object)
+            nested = spark.tvf.variant_explode_outer(F.when(F.col("_open"), v).outer())
+            path = F.when(prefix == "", F.col("key")).otherwise(F.concat_ws(".", prefix, "key"))
+            rows = rows.lateralJoin(nested).select(
+                *keep, F.when(F.col("_open"), path).otherwise(prefix).alias("_prefix"),
+                F.when(F.col("_open"), F.col("value")).otherwise(v).alias("_v"))
+        if rows.where(is_object).isEmpty():
+            break
     return rows.where(F.schema_of_variant(v) == "STRING").select(
         *keep, prefix.alias("key"), F.variant_get(v, "$", "string").alias("value"))

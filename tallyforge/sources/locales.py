@@ -11,11 +11,12 @@ from .files import base_name
 # Locale file names and properties of a JS export.
 LOCALE_FILE = r"^([a-z]{2}(?:-[A-Z]{2})?)\.(json|js|cjs|mjs)$"
 JS_PROPERTY = r"[\"']?([a-zA-Z0-9_-]+)[\"']?\s*:\s*[\"']([^\"']*)[\"']"
+# Levels opened before the data is asked for deeper ones.
 DEPTH = 8
 
 
 def read_locales(files: DataFrame, depth: int = DEPTH) -> DataFrame:
-    """locales(repo, lang, key, value) of locale files(repo, path, content)."""
+    """locales(repo, lang, key, value) of locale files(repo, path, content), keys of every nesting depth."""
     name = base_name(F.col("path"))
     found = files.withColumn("lang", F.regexp_extract(name, LOCALE_FILE, 1)).withColumn(
         "_kind", F.regexp_extract(name, LOCALE_FILE, 2)).where(F.col("lang") != "")

@@ -109,3 +109,12 @@ def test_schemas_parse():
     from tallyforge.schemas import SCHEMAS
 
     assert all(StructType.fromDDL(ddl).fields for ddl in SCHEMAS.values())
+
+
+def test_locale_keys_of_every_depth(spark):
+    from tallyforge.sources.locales import read_locales
+
+    deep = '{"k":' * 19 + '"leaf"' + "}" * 19
+    files = spark.createDataFrame([("r", "l/en.json", '{"a": "x", "e": {}, "d": ' + deep + "}"), ("r", "l/de.json", '{"a": "y"}')], "repo string, path string, content string")
+    got = sorted(tuple(x) for x in read_locales(files).collect())
+    assert got == [("r", "de", "a", "y"), ("r", "en", "a", "x"), ("r", "en", "d" + ".k" * 19, "leaf")]
