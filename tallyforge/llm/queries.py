@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from . import counts, langid, neardup, packing, pieces, pseudonyms, quality, repair, sketches, topk
+from . import counts, langid, neardup, packing, pieces, pseudonyms, quality, repair, secret_spans, sketches, topk
 from .encoding import default_path
 from .frames import table
 
@@ -114,3 +114,9 @@ r AS (SELECT doc_id, doc_id AS c FROM d UNION SELECT l.b, r.c FROM r JOIN l ON l
 SELECT d.doc_id, coalesce(any_value(n.n), 0) AS n_shingles, min(r.c) AS component_id, min(r.c) = d.doc_id AS kept
 FROM d JOIN r USING (doc_id) LEFT JOIN n USING (doc_id) GROUP BY d.doc_id
 """
+
+
+@query
+def op11_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets of every document; see ``secret_spans``."""
+    return secret_spans.report(table(spark, sf_dir, "documents"))
