@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from . import counts, langid, neardup, packing, pieces, pseudonyms, quality, repair, secret_spans, sketches, topk
+from . import counts, langid, neardup, packing, pieces, pseudonyms, quality, repair, secret_spans, sketches, topk, turns
 from .encoding import default_path
 from .frames import table
 
@@ -120,3 +120,9 @@ FROM d JOIN r USING (doc_id) LEFT JOIN n USING (doc_id) GROUP BY d.doc_id
 def op11_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets of every document; see ``secret_spans``."""
     return secret_spans.report(table(spark, sf_dir, "documents"))
+
+
+@query
+def op12_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Repair of every conversation after damage; see ``turns``."""
+    return turns.report(table(spark, sf_dir, "conversations"))

@@ -87,7 +87,8 @@ def test_odd_rows(spark):
     assert len(out) == docs.count() and all(r["base_sha256"] for r in out)
     assert rows(ss.report(docs.repartition(7))) == sorted((tuple(r.values()) for r in out), key=repr)
     assert rows(ss.report(empty(spark))) == []
-    blob = "".join(random.Random(1).choice("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/") for _ in range(300_000))
+    r = random.Random(1)
+    blob = "".join(r.choice("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/") for _ in range(300_000))
     found = as_dicts(ss.find_secrets(documents(spark, [blob, LONG])))
     assert found[0]["spans"][0]["kind"] == "high_base64" and found[1]["spans"] == []
 
