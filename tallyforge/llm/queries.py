@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from . import counts, langid, neardup, packing, pieces, pseudonyms, quality, repair, secret_spans, sketches, topk, turns
+from . import counts, langid, neardup, packing, pieces, pseudonyms, quality, repair, secret_spans, sketches, spelling, topk, turns
 from .encoding import default_path
 from .frames import table
 
@@ -126,3 +126,9 @@ def op11_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op12_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Repair of every conversation after damage; see ``turns``."""
     return turns.report(table(spark, sf_dir, "conversations"))
+
+
+@query
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spelling variants of the words of all documents; see ``spelling``."""
+    return spelling.report(table(spark, sf_dir, "documents"))
