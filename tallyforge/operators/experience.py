@@ -5,10 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.maths import half_up
-from ..functions.rx import ascii_bounds
 from ..functions.text import escaped_symptom, failure_key, pattern_name
+from .contain import matching
 from .history import first_rows
-from .match import Rule, usable
 
 # Advice by words of the error key, first match wins.
 ADVICE = (
@@ -20,9 +19,8 @@ ADVICE = (
 )
 ADVICE_OTHER = ("investigate", "look into the recurring error")
 
-# Group size, and rules evaluated per pass.
+# Fixed value: group size.
 MIN_GROUP = 2
-RULES_PER_PASS = 500
 
 
 def select_failures(df: DataFrame, type: str | None = None, unresolved: bool = False, limit: int | None = None) -> DataFrame:
@@ -121,31 +119,15 @@ def learn_report(failures: DataFrame, corrections: DataFrame) -> DataFrame:
 def match_corrections(errors: DataFrame, corrections: DataFrame) -> DataFrame:
     """First correction (local before global, then by seq) whose symptom matches each error.
 
-    Corrections are configuration: they are read in slices of RULES_PER_PASS and become
-    expressions over the distinct error texts; later slices only see texts still unmatched.
-    Unusable patterns are skipped.
+    Distinct error texts meet the corrections that share a literal with them; the least in rank is kept by a mergeable
+    minimum. Unusable patterns are skipped.
     """
-    spark = errors.sparkSession
-    rank = F.when(F.col("scope") == "local", 0).otherwise(1)
-    ordered = corrections.select("id", "symptom", rank.alias("r"), "seq").orderBy("r", "seq", "id")
+    rank = F.struct(F.when(F.col("scope") == "local", 0).otherwise(1).alias("r"), "seq", F.col("id").cast("string").alias("id"))
+    book = corrections.select(
+        F.col("id").cast("string").alias("rule_id"), F.col("symptom").alias("pattern"), F.lit(True).alias("ignore_case"), rank.alias("_rank"))
     texts = errors.select("error").where(F.col("error").isNotNull()).distinct()
-    matched = F.lit(None).cast("string")
-    out = texts.withColumn("correction_id", matched)
-    offset = 0
-    while True:
-        part = ordered.offset(offset).limit(RULES_PER_PASS).collect()
-        rules = usable(spark, [Rule(str(r["id"]), "", "", r["symptom"], ("*",), ignore_case=True) for r in part])
-        if rules:
-            # one flat CASE: the first matching branch wins, later patterns are not tried
-            hit = None
-            for rule in rules:
-                test = F.col("error").rlike("(?i)" + ascii_bounds(rule.pattern))
-                hit = F.when(test, rule.rule_id) if hit is None else hit.when(test, rule.rule_id)
-            out = out.withColumn("correction_id", F.coalesce("correction_id", hit))
-        if len(part) < RULES_PER_PASS:
-            break
-        offset += RULES_PER_PASS
-    return errors.join(out, "error", "left")
+    first = matching(texts, F.col("error"), book).groupBy("error").agg(F.min("_rank")["id"].alias("correction_id"))
+    return errors.join(first, "error", "left")
 
 
 def upsert_corrections(store: DataFrame, suggestions: DataFrame) -> DataFrame:

@@ -1,6 +1,5 @@
-"""Rule tables as expressions: every rule is a predicate of one projection.
-
-Matching n rules costs one pass over the lines, no join and no line x rule product.
+"""Rules over lines. A short rule list becomes expressions: every rule is a predicate of one projection, so n rules cost
+one pass and no join. A rule table, or a longer list, goes through the literal index of ``contain``.
 """
 
 from __future__ import annotations
@@ -13,8 +12,10 @@ from pyspark.errors import PySparkException
 from ..functions.arrays import present
 from ..functions.rx import ascii_bounds
 from ..rules.bugs import RULES, Rule
+from .contain import matching
 
-MAX_RULES = 2000
+#: Rules that become expressions; more are looked up through their literals.
+INLINE_RULES = 200
 
 
 def _accepted(spark: SparkSession, patterns: list[str]) -> bool:
@@ -47,8 +48,6 @@ def active_rules(rules: Iterable[Rule] = RULES, suppressed: Iterable[str] = ())
 
 def rule_hits(text: Column, lang: Column, rules: Sequence[Rule]) -> Column:
     """Array of struct(rule_id, category, severity, fix) of the rules matching the text."""
-    if len(rules) > MAX_RULES:
-        raise ValueError(f"at most {MAX_RULES} rules per pass; split the rule table")
     options = []
     for r in rules:
         pattern = ("(?i)" if r.ignore_case else "") + ascii_bounds(r.pattern)
@@ -66,11 +65,33 @@ def strip(text: Column) -> Column:
     return F.regexp_replace(text, r"^\s+|\s+$", "")
 
 
+def rule_table(spark: SparkSession, rules: Iterable[Rule]) -> DataFrame:
+    """Rules as rows(rule_id, category, severity, fix, pattern, languages, ignore_case, active)."""
+    return spark.createDataFrame(
+        [(r.rule_id, r.category, r.severity, r.fix, r.pattern, list(r.languages), r.ignore_case, r.active) for r in rules],
+        "rule_id string, category string, severity string, fix string, pattern string, languages array<string>, ignore_case boolean, active boolean")
+
+
+def findings_by_table(lines: DataFrame, rules: DataFrame, suppressed: DataFrame | None = None) -> DataFrame:
+    """Findings of a rule table of any size, see ``rule_table``; suppressed(rule_id) are left out.
+
+    Each line meets only the rules one of whose literals it holds; unusable patterns are skipped.
+    """
+    book = rules.where("active").select("rule_id", "category", "severity", "pattern", "languages", "ignore_case")
+    if suppressed is not None:
+        book = book.join(suppressed.select("rule_id"), "rule_id", "left_anti")
+    spoken = F.array_contains("languages", F.lit("*")) | F.array_contains("languages", F.col("lang"))
+    hits = matching(lines.select("repo", "path", "line", "text", "lang"), F.col("text"), book, spoken)
+    return hits.select("repo", "path", "line", "rule_id", "category", "severity", strip(F.col("text")).alias("content"))
+
+
 def bug_findings(
     lines: DataFrame, rules: Sequence[Rule] = RULES, suppressed: Iterable[str] = ()
 ) -> DataFrame:
     """Findings of active rules on lines(repo, path, line, text, lang); one row per rule and line."""
     chosen = active_rules(rules, suppressed)
+    if len(chosen) > INLINE_RULES:
+        return findings_by_table(lines, rule_table(lines.sparkSession, chosen))
     return (
         lines.withColumn("_hit", F.explode(rule_hits(F.col("text"), F.col("lang"), chosen)))
         .select("repo", "path", "line", "_hit.rule_id", "_hit.category", "_hit.severity",

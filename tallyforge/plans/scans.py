@@ -285,6 +285,16 @@ def bug_findings_suppressed(t):
     return findings(t, ("sec-eval-usage", "err-empty-catch")).select("repo", "path", "line", "rule_id")
 
 
+@query("findings_by_rule_table", with_sql("findings", r"""
+SELECT repo, path, line, rule_id, severity FROM findings WHERE rule_id NOT IN ('sec-eval-usage', 'err-empty-catch')"""))
+def findings_by_rule_table(t):
+    """The rules as a table instead of expressions, with a table of suppressed ones."""
+    spark = t.spark
+    off = spark.createDataFrame([("sec-eval-usage",), ("err-empty-catch",)], "rule_id string")
+    found = M.findings_by_table(to_lines(with_language(B.code_files(t)), "lang"), M.rule_table(spark, M.RULES), off)
+    return found.select("repo", "path", "line", "rule_id", "severity")
+
+
 @query("finding_rollup", with_sql("findings", """
 SELECT 'severity' AS dim, NULL AS repo, severity AS key, count(*) AS n FROM findings GROUP BY 3 UNION ALL
 SELECT 'category', NULL, category, count(*) FROM findings GROUP BY 3 UNION ALL SELECT 'rule_id', NULL, rule_id, count(*) FROM findings GROUP BY 3
