@@ -17,7 +17,6 @@ HIGH_IS_BEST = {"low": 1, "medium": 2, "high": 3}
 # Similarity floor and result size.
 MIN_SIMILARITY = 0.1
 SIMILAR = 5
-MAX_CONTEXTS = 500
 
 
 def approach_score(a: Column, compat: bool = False) -> Column:
@@ -66,20 +65,46 @@ def tradeoff_stats(df: DataFrame) -> DataFrame:
     )
 
 
-def similar_contexts(entries: DataFrame, contexts: Sequence[str], k: int = SIMILAR, text: str = "context") -> DataFrame:
-    """The ``k`` entries most similar to each given context by token overlap.
+def similar_pairs(entries: DataFrame, contexts: DataFrame, least: float, text: str = "context", k: int | None = None) -> DataFrame:
+    """(query, id, similarity) of entries(id, text) and contexts(query) whose token sets' Jaccard exceeds ``least`` (over 0).
 
-    The entries are tokenised once and scored against all contexts in the same scan; only
-    scores above the floor leave it, and the rank limit runs before the exchange.
+    Prefix filter: two sets that similar share one of the first n - ceil(least * n) + 1 tokens of each in one common
+    order, rarest first; pairs meet at such tokens, are cut by length and counted at the first one they share. Equal
+    token sets count once; with ``k`` only the k least ids of one set are kept, which a top k needs no more of.
     """
-    if len(contexts) > MAX_CONTEXTS:
-        raise ValueError(f"at most {MAX_CONTEXTS} contexts per scan")
-    tokenised = entries.withColumn("_t", tokens(F.col(text)))
-    hits = [
-        F.struct(F.lit(c).alias("query"), jaccard(tokens(F.lit(c)), F.col("_t")).alias("similarity")) for c in contexts]
-    scored = (
-        tokenised.select("id", F.explode(F.filter(F.array(*hits), lambda h: h["similarity"] > MIN_SIMILARITY)).alias("_h"))
-        .select("_h.query", "id", "_h.similarity"))
+    def sets(df: DataFrame, key: str) -> DataFrame:
+        return df.select(F.col(key).alias("_key"), F.array_sort(tokens(F.col(text if key == "id" else "query"))).alias("_set")).where(F.size("_set") > 0)
+
+    mine, asked = sets(entries, "id"), sets(contexts.select("query").distinct(), "query")
+    ids = mine if k is None else first_rows(mine, ["_set"], [F.col("_key")], k)
+    spread = mine.select(F.explode("_set").alias("_tok")).groupBy("_tok").agg(F.count(F.lit(1)).alias("_df"))
+
+    def filed(df: DataFrame) -> DataFrame:
+        """_set, _prefix, one row per prefix token; tokens no entry holds come first and are dropped after the cut."""
+        distinct = df.select("_set").distinct()
+        ranked = distinct.select("_set", F.explode("_set").alias("_tok")).join(spread, "_tok", "left").groupBy("_set").agg(
+            F.array_sort(F.collect_list(F.struct(F.coalesce("_df", F.lit(0)).alias("df"), "_tok"))).alias("_r"))
+        n = F.size("_set")
+        # a margin keeps ceil right where the product is not exact
+        head = F.slice("_r", F.lit(1), n - F.ceil(n * F.lit(least) - F.lit(1e-9)).cast("int") + 1)
+        prefix = F.transform(F.filter(head, lambda r: r["df"] > 0), lambda r: r["_tok"])
+        return ranked.select("_set", prefix.alias("_prefix")).withColumn("_tok", F.explode("_prefix"))
+
+    a = filed(mine).select(F.col("_set").alias("_a"), F.col("_prefix").alias("_pa"), "_tok")
+    b = filed(asked).select(F.col("_set").alias("_b"), F.col("_prefix").alias("_pb"), "_tok")
+    na, nb = F.size("_a"), F.size("_b")
+    met = a.join(b, "_tok").where(
+        (na >= nb * F.lit(least)) & (nb >= na * F.lit(least)) & (F.get(F.array_intersect("_pa", "_pb"), F.lit(0)) == F.col("_tok")))
+    close = met.select("_a", "_b", jaccard(F.col("_a"), F.col("_b")).alias("similarity")).where(F.col("similarity") > least)
+    return (close.join(ids.select(F.col("_key").alias("id"), F.col("_set").alias("_a")), "_a")
+            .join(asked.select(F.col("_key").alias("query"), F.col("_set").alias("_b")), "_b").select("query", "id", "similarity"))
+
+
+def similar_contexts(entries: DataFrame, contexts: Sequence[str] | DataFrame, k: int = SIMILAR, text: str = "context") -> DataFrame:
+    """The ``k`` entries most similar to each given context, a list or a table(query), by token overlap above the floor."""
+    if not isinstance(contexts, DataFrame):
+        contexts = entries.sparkSession.createDataFrame([(c,) for c in contexts], "query string")
+    scored = similar_pairs(entries, contexts, MIN_SIMILARITY, text, k)
     return first_rows(scored, ["query"], [F.col("similarity").desc(), F.col("id")], k)
 
 

@@ -6,16 +6,15 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, functions as F
 
-from ..functions.arrays import present
 from ..functions.maths import half_up
 from ..functions.text import captures
 from ..sources.files import base_name
+from .contain import containing
 
 # Script files, and how tests are named.
 SCRIPT_EXT = r"\.(ts|tsx|js|jsx)$"
 SOURCE_EXT = r"\.(ts|tsx|js|jsx|mjs|cjs)$"
 TEST_EXT = r"\.(test|spec)\.(ts|tsx)$|\.(test|spec)\.js$"
-MAX_MODULES = 500
 
 
 def read_imports(files: DataFrame) -> DataFrame:
@@ -42,14 +41,18 @@ def dependents(imports: DataFrame, module: str) -> DataFrame:
     return imports.where(F.col("target") == module).select("repo", "src_path").distinct()
 
 
-def coupling(imports: DataFrame, modules: Sequence[str]) -> DataFrame:
-    """Importing files per module name; a module is hit when an import contains its name."""
-    if len(modules) > MAX_MODULES:
-        raise ValueError(f"at most {MAX_MODULES} modules per scan")
-    hits = present([F.when(F.contains("target", F.lit(m)), F.lit(m)) for m in modules])
+def coupling(imports: DataFrame, modules: Sequence[str] | DataFrame) -> DataFrame:
+    """Importing files per module name; a module is hit when an import contains its name. Modules may be a table(module).
+
+    Distinct targets are looked up in the gram index of the names; an empty name is in no target.
+    """
+    if not isinstance(modules, DataFrame):
+        modules = imports.sparkSession.createDataFrame([(m,) for m in modules], "module string")
+    targets = imports.select("target").distinct()
+    hits = containing(targets, F.col("target"), modules.select(F.col("module").alias("needle")))
     return (
-        imports.select("repo", "src_path", F.explode(hits).alias("module"))
-        .groupBy("module").agg(F.countDistinct("repo", "src_path").alias("imported_by")))
+        imports.select("repo", "src_path", "target").join(hits, "target")
+        .groupBy(F.col("needle").alias("module")).agg(F.countDistinct("repo", "src_path").alias("imported_by")))
 
 
 def untested(files: DataFrame) -> DataFrame:

@@ -8,9 +8,11 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.arrays import rank_of
 from ..rules import knowledge as K
+from .contain import containing
 from .history import first_rows
 
-MAX_QUERIES = 500
+#: Query texts that become expressions; more are looked up through the index.
+INLINE_QUERIES = 20
 
 
 def _has(low: Column, needle: str) -> Column:
@@ -59,18 +61,68 @@ def relevance_parts(query: str, now: Column) -> tuple[Column, Column]:
     for w in words:
         hits = (F.length(low) - F.length(F.replace(low, F.lit(w), F.lit("")))) / F.lit(len(w))
         score = score + F.least(hits * 0.5, F.lit(5.0))
+    return score, _freshness(now)
+
+
+def _freshness(now: Column) -> Column:
     days = (F.unix_micros(now) - F.unix_micros("ts")) / F.lit(86_400_000_000.0)
-    return score, F.when(days < 30, 2.0).when(days < 90, 0.5).otherwise(0.0)
+    return F.when(days < 30, 2.0).when(days < 90, 0.5).otherwise(0.0)
 
 
-def relevance(kb: DataFrame, queries: Sequence[str], now: Column, compat: bool = False) -> DataFrame:
+def relevance_by_table(kb: DataFrame, queries: DataFrame, now: Column) -> DataFrame:
+    """As ``relevance``, for a table queries(query) of any size; ``id`` identifies an entry.
+
+    Postings (string, field value) come from the gram index of ``contain``; short fields are scored once per distinct
+    value. A query's score of an entry is the sum of its values' points, summed in the tasks before the exchange.
+    """
+    asked = queries.select("query").where(F.col("query").isNotNull()).distinct().withColumn("_low", F.lower("query"))
+    words = F.filter(F.split("_low", r"\s+"), lambda w: F.length(w) > 2)
+    asked = asked.withColumn("_w", words).where(F.size("_w") > 0)
+    needles = asked.select("query", F.explode(F.concat(
+        F.array(F.struct(F.col("_low").alias("needle"), F.lit(True).alias("full"))),
+        F.transform("_w", lambda w: F.struct(w.alias("needle"), F.lit(False).alias("full"))))).alias("_n")).select("query", "_n.*")
+    needles = needles.groupBy("query", "needle", "full").agg(F.count(F.lit(1)).alias("times"))
+    sought = needles.select("needle")
+
+    def listed(field: str) -> Column:
+        return F.transform(F.coalesce(field, F.array()), lambda v: F.struct(F.lit(field).alias("field"), F.lower(v).alias("value")))
+
+    fields = kb.select("id", F.explode(F.concat(
+        *[F.array(F.struct(F.lit(f).alias("field"), F.lower(f).alias("value"))) for f in ("topic", "library")],
+        listed("relevance"), listed("tags"))).alias("_f")).select("id", "_f.*").where("value is not null")
+    whole, each = (F.create_map(*[F.lit(x) for f, p in weights.items() for x in (f, p)])[F.col("field")] for weights in (
+        {"topic": 10, "library": 8, "relevance": 6, "tags": 5}, {"topic": 5, "library": 4, "relevance": 3, "tags": 2}))
+    found = containing(fields.select("field", "value").distinct(), F.col("value"), sought).join(needles, "needle")
+    met = found.groupBy("field", "value", "query").agg(
+        F.bool_or("full").alias("_full"), F.sum(F.when(F.col("full"), 0).otherwise(F.col("times"))).alias("_n"))
+    both = F.when(F.col("_full"), whole).otherwise(0)
+    apart = F.when(F.col("_full") & F.col("field").isin("relevance", "tags"), 0).otherwise(F.col("_n") * each)
+    by_field = fields.join(met, ["field", "value"]).select("id", "query", (both + apart).cast("double").alias("points"))
+
+    # texts are long: what is counted in them leaves at once
+    contents = containing(kb.select("id", F.lower("content").alias("_c")), F.col("_c"), sought).select(
+        "id", "needle", ((F.length("_c") - F.length(F.replace(F.col("_c"), F.col("needle"), F.lit("")))) / F.length("needle")).alias("_hits"))
+    by_content = contents.join(needles, "needle").select("id", "query", F.when(F.col("full"), F.lit(3.0)).otherwise(
+        F.col("times") * F.least(F.col("_hits") * 0.5, F.lit(5.0))).alias("points"))
+
+    summed = by_field.unionByName(by_content).groupBy("id", "query").agg(F.sum("points").alias("_base"))
+    scored = kb.join(summed, "id").withColumn("score", F.col("_base") + _freshness(now))
+    return scored.where((F.col("_base") > 0) & (F.col("score") >= K.MIN_SCORE)).select("query", "score", *kb.columns)
+
+
+def relevance(kb: DataFrame, queries: Sequence[str] | DataFrame, now: Column, compat: bool = False) -> DataFrame:
     """(query, score, entry columns) of every entry matching a query.
 
-    One scan scores all queries. A match needs the minimum score and something besides recency;
-    ``compat`` lets recency alone match.
+    A few query texts are scored in one scan; a table, or more texts than ``INLINE_QUERIES``, through an index. A match
+    needs the minimum score and something besides recency; ``compat`` lets recency alone match, which pairs every recent
+    entry with every query and so is for a few texts only.
     """
-    if len(queries) > MAX_QUERIES:
-        raise ValueError(f"at most {MAX_QUERIES} queries per scan")
+    if isinstance(queries, DataFrame):
+        if compat:
+            raise ValueError("compat takes a list of query texts")
+        return relevance_by_table(kb, queries, now)
+    if len(queries) > INLINE_QUERIES and not compat:
+        return relevance_by_table(kb, kb.sparkSession.createDataFrame([(x,) for x in queries], "query string"), now)
     rows = _lowered(kb)
     parts = [relevance_parts(text, now) for text in queries]
     # content scores are computed once per query before they are tested
@@ -84,7 +136,7 @@ def relevance(kb: DataFrame, queries: Sequence[str], now: Column, compat: bool =
     return rows.withColumn("_q", F.explode(hits)).select("_q.query", "_q.score", *kb.columns)
 
 
-def query_knowledge(kb: DataFrame, queries: Sequence[str], now: Column, k: int = K.MAX_RESULTS) -> DataFrame:
+def query_knowledge(kb: DataFrame, queries: Sequence[str] | DataFrame, now: Column, k: int = K.MAX_RESULTS) -> DataFrame:
     """Best ``k`` entries per query."""
     return first_rows(relevance(kb, queries, now), ["query"], [F.col("score").desc(), F.col("id")], k)
 
@@ -108,11 +160,13 @@ def practices(kb: DataFrame, rules: Sequence[tuple] = K.PRACTICES) -> DataFrame:
     return kb.sparkSession.createDataFrame(list(rules), "task string, framework string, priority string, title string")
 
 
-def suggest_practices(kb: DataFrame, requests: Sequence[tuple[str, str]], now: Column) -> DataFrame:
+def suggest_practices(kb: DataFrame, requests: Sequence[tuple[str, str]] | DataFrame, now: Column) -> DataFrame:
     """Practices per (task, framework) request: rule rows for the framework or ``*``, then
-    recommending entries among the best matches; ``rank`` orders by priority."""
-    wanted = kb.sparkSession.createDataFrame(
-        [(t.lower(), f, f"{t} {f}") for t, f in requests], "task string, framework string, query string")
+    recommending entries among the best matches; ``rank`` orders by priority. Requests may be a table(task, framework)."""
+    if not isinstance(requests, DataFrame):
+        requests = kb.sparkSession.createDataFrame(list(requests), "task string, framework string")
+    wanted = requests.select("task", "framework").distinct().select(
+        F.lower("task").alias("task"), "framework", F.concat_ws(" ", "task", "framework").alias("query"))
     table = practices(kb)
     ruled = (
         wanted.join(table.withColumnRenamed("framework", "_fw"), "task")
@@ -123,10 +177,10 @@ def suggest_practices(kb: DataFrame, requests: Sequence[tuple[str, str]], now: C
     for w in K.ADVICE_WORDS:
         telling = telling | said.contains(w)
     found = (
-        query_knowledge(kb, [f"{t} {f}" for t, f in requests], now).where(telling)
+        query_knowledge(kb, wanted.select("query"), now).where(telling)
         .join(wanted, "query")
         .select("task", "framework", F.concat_ws(": ", "library", "topic").alias("title"),
-                F.concat_ws(" — ", kb["source"], "library").alias("source"), F.lit("medium").alias("priority")))
+                F.concat_ws(" — ", "source", "library").alias("source"), F.lit("medium").alias("priority")))
     return ruled.unionByName(found).withColumn("rank", rank_of(K.PRIORITIES, F.col("priority")))
 
 
@@ -159,7 +213,7 @@ def first_sentence(content: Column) -> Column:
     return F.trim(F.get(F.filter(F.split(content, r"[.!?\n]"), lambda s: s != ""), F.lit(0)))
 
 
-def knowledge_sentences(kb: DataFrame, queries: Sequence[str], now: Column) -> DataFrame:
+def knowledge_sentences(kb: DataFrame, queries: Sequence[str] | DataFrame, now: Column) -> DataFrame:
     """Fallback per query without a tip: the first sentence (under 200 characters) of the best of
     its three top entries."""
     top = first_rows(relevance(kb, queries, now), ["query"], [F.col("score").desc(), F.col("id")], 3)

@@ -548,6 +548,18 @@ def module_coupling(t):
     return IM.coupling(page_imports(t), ["the", "and", "la", "die", "ion"])
 
 
+@query("module_coupling_by_table", with_sql("page_imports", """
+, m AS (SELECT DISTINCT regexp_extract(target, '([^/]*)$', 1) AS module FROM page_imports),
+u AS (SELECT DISTINCT src_path, target FROM page_imports)
+SELECT module, count(DISTINCT src_path) AS imported_by FROM m JOIN u ON contains(target, module) WHERE module <> '' GROUP BY 1"""))
+def module_coupling_by_table(t):
+    """Every last segment of an import as a module name."""
+    from ..sources.files import base_name
+
+    imports = page_imports(t)
+    return IM.coupling(imports, imports.select(base_name(F.col("target")).alias("module")).distinct())
+
+
 define("bare", r"""
 SELECT DISTINCT repo, path FROM code_files f WHERE regexp_matches(path, '\.(ts|tsx|js|jsx|mjs|cjs)$') AND NOT regexp_matches(path, '\.(test|spec)\.(ts|tsx)$|\.(test|spec)\.js$')
  AND NOT EXISTS (SELECT 1 FROM code_files g WHERE g.repo = f.repo AND regexp_matches(g.path, '\.(test|spec)\.(ts|tsx)$|\.(test|spec)\.js$') AND regexp_replace(regexp_replace(g.path, '\.[^./]+$', ''), '\.(test|spec)$', '') = regexp_replace(f.path, '\.[^./]+$', ''))""", ("code_files",))

@@ -416,15 +416,54 @@ def knowledge_sentences(t):
     return KN.knowledge_sentences(knowledge(t), QUESTIONS, now())
 
 
+define("asked", f"""
+SELECT query, list_filter(string_split_regex(lower(query), '\\s+'), lambda w: length(w) > 2) AS w FROM (
+ SELECT DISTINCT lower(p_brand) || ' with ' || p_name AS query FROM part UNION SELECT DISTINCT 'Prisma ' || replace(target, '/', ' ') || ' topic ' FROM page_imports)
+WHERE len(list_filter(string_split_regex(lower(query), '\\s+'), lambda w: length(w) > 2)) > 0""", ("page_imports",))
+
+
+def _points_sql(field: str, whole: int, each: int) -> str:
+    return f"CASE WHEN contains(lower({field}), lower(query)) THEN {whole} ELSE 0 END + list_sum(list_transform(w, lambda x: CASE WHEN contains(lower({field}), x) THEN {each} ELSE 0 END))"
+
+
+def _element_sql(field: str, whole: int, each: int) -> str:
+    return f"list_sum(list_transform({field}, lambda v: CASE WHEN contains(lower(v), lower(query)) THEN {whole} ELSE list_sum(list_transform(w, lambda x: CASE WHEN contains(lower(v), x) THEN {each} ELSE 0 END)) END))"
+
+
+_REL = f"""({_points_sql("topic", 10, 5)} + {_points_sql("library", 8, 4)} + {_element_sql("relevance", 6, 3)} + {_element_sql("tags", 5, 2)}
+ + CASE WHEN contains(lower(content), lower(query)) THEN 3 ELSE 0 END
+ + list_sum(list_transform(w, lambda x: least((length(lower(content)) - length(replace(lower(content), x, ''))) / length(x) * 0.5::DOUBLE, 5.0::DOUBLE))))::DOUBLE"""
+_FRESH = f"CASE WHEN ({NOW_US} - epoch_us(ts)) / 86400000000.0 < 30 THEN 2.0::DOUBLE WHEN ({NOW_US} - epoch_us(ts)) / 86400000000.0 < 90 THEN 0.5::DOUBLE ELSE 0.0::DOUBLE END"
+
+
+def asked(t):
+    """Questions as a table, from brands, names and link targets."""
+    from .specs import page_imports
+
+    brands = t.part.select(F.concat(F.lower("p_brand"), F.lit(" with "), F.col("p_name")).alias("query"))
+    links = page_imports(t).select(F.concat(F.lit("Prisma "), F.replace("target", F.lit("/"), F.lit(" ")), F.lit(" topic ")).alias("query"))
+    return brands.unionByName(links).distinct()
+
+
+@query("knowledge_top_by_table", with_sql("asked knowledge", f"""
+, r AS (SELECT query, id, {_REL} AS base, {_FRESH} AS fresh FROM asked, knowledge)
+SELECT query, id, base + fresh AS score FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY base + fresh DESC, id) AS rn FROM r WHERE base > 0 AND base + fresh >= 2) WHERE rn <= 20"""))
+def knowledge_top_by_table(t):
+    return KN.query_knowledge(knowledge(t), asked(t), now()).select("query", "id", "score")
+
+
 @query("suggested_practices", with_sql("knowledge", f"""
-, r AS (SELECT k.*, ({_rel_sql("database Prisma")})::DOUBLE AS base, CASE WHEN ({NOW_US} - epoch_us(ts)) / 86400000000.0 < 30 THEN 2.0::DOUBLE WHEN ({NOW_US} - epoch_us(ts)) / 86400000000.0 < 90 THEN 0.5::DOUBLE ELSE 0.0::DOUBLE END AS fresh FROM knowledge k),
-t20 AS (SELECT *, row_number() OVER (ORDER BY base + fresh DESC, id) AS rn FROM r WHERE base > 0 AND base + fresh >= 2)
-SELECT 'database' AS task, 'Prisma' AS framework, title, 'rules' AS source, priority, CASE priority WHEN 'high' THEN 0 ELSE 1 END AS rank
-FROM (VALUES {", ".join(f"({q(d)}, {q(c)})" for a, b, c, d in KR.PRACTICES if a == "database" and b == "Prisma")}) p(title, priority)
-UNION ALL SELECT 'database', 'Prisma', library || ': ' || topic, source || ' — ' || library, 'medium', 1 FROM t20 WHERE rn <= 20
+, p(task, framework, priority, title) AS (VALUES {", ".join(f"({q(a)}, {q(b)}, {q(c)}, {q(d)})" for a, b, c, d in KR.PRACTICES)}),
+asked AS (SELECT DISTINCT task, framework, task || ' ' || framework AS query, list_filter(string_split_regex(lower(task || ' ' || framework), '\\s+'), lambda w: length(w) > 2) AS w FROM p),
+r AS (SELECT task, framework, query, k.*, {_REL} AS base, {_FRESH} AS fresh FROM asked, knowledge k),
+t20 AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY base + fresh DESC, id) AS rn FROM r WHERE base > 0 AND base + fresh >= 2)
+SELECT task, framework, title, 'rules' AS source, priority, CASE priority WHEN 'high' THEN 0 ELSE 1 END AS rank FROM p
+UNION ALL SELECT task, framework, library || ': ' || topic, source || ' — ' || library, 'medium', 1 FROM t20 WHERE rn <= 20
  AND (contains(lower(content), 'best practice') OR contains(lower(content), 'recommend') OR contains(lower(content), 'should'))"""))
 def suggested_practices(t):
-    return KN.suggest_practices(knowledge(t), [("database", "Prisma")], now())
+    """Every (task, framework) of the practice table."""
+    pairs = [(task, framework) for task, framework, _, _ in KR.PRACTICES]
+    return KN.suggest_practices(knowledge(t), pairs, now())
 
 
 def _tip_sql() -> str:
@@ -530,6 +569,18 @@ def similar_decisions(t):
     return DC.similar_contexts(tradeoffs(t), _CTX)
 
 
+@query("similar_decisions_by_table", with_sql("toks", r"""
+, c AS (SELECT query, list_distinct(list_filter(string_split_regex(regexp_replace(lower(query), '[^a-z0-9\s]', '', 'g'), '\s+'), lambda x: length(x) > 2)) AS v
+  FROM (SELECT DISTINCT p_name || ' for ' || lower(p_type) || ' on ' || p_brand || ' by ' || p_name AS query FROM part)),
+j AS (SELECT query, id, len(list_intersect(v, w)) AS n, len(v) + len(w) AS total FROM c, toks),
+s AS (SELECT query, id, n::DOUBLE / (total - n) AS similarity, row_number() OVER (PARTITION BY query ORDER BY n::DOUBLE / (total - n) DESC, id) AS rn FROM j WHERE n::DOUBLE / (total - n) > 0.1)
+SELECT query, id, similarity FROM s WHERE rn <= 5"""))
+def similar_decisions_by_table(t):
+    """Every distinct name, kind and brand of the part table as a context."""
+    contexts = t.part.select(F.concat("p_name", F.lit(" for "), F.lower("p_type"), F.lit(" on "), "p_brand", F.lit(" by "), "p_name").alias("query"))
+    return DC.similar_contexts(tradeoffs(t), contexts)
+
+
 @query("context_overlap", with_sql("toks", f"""
 SELECT id, len(list_intersect(w, ['small', 'ring', 'economy', 'brand2'])) AS common, len(list_distinct(list_concat(w, ['small', 'ring', 'economy', 'brand2']))) AS all FROM toks"""))
 def context_overlap(t):
