@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions.maths import pct
 
@@ -23,31 +23,48 @@ def coverage_totals(cov: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     return sums.withColumn("overall_percent", pct(F.col("covered_lines"), F.col("total_lines")))
 
 
+def _run_events(lines: Column) -> Column:
+    """(pos, d) of the runs of neighbouring lines: a run opens (1) at its first line and closes (-1) after its last."""
+    def before(x: Column, i: Column) -> Column:
+        return (i == 0) | (F.get(lines, i - 1) != x - 1)
+
+    def after(x: Column, i: Column) -> Column:
+        return (i == F.size(lines) - 1) | (F.get(lines, i + 1) != x + 1)
+
+    def event(pos: Column, d: int) -> Column:
+        return F.struct(pos.cast("int").alias("pos"), F.lit(d).alias("d"))
+
+    return F.concat(F.transform(F.filter(lines, before), lambda x: event(x, 1)), F.transform(F.filter(lines, after), lambda x: event(x + 1, -1)))
+
+
 def merge_coverage(cov: DataFrame, compat: bool = False) -> DataFrame:
     """One row per file of a repo over all tools.
 
     Default: largest raw counts, and a line is uncovered if every report of the file misses it. ``compat``: largest rounded
-    percentages and the union of uncovered lines. The input is read once: a report's counts ride on its first line, lines
-    are counted per (repo, path, line) and then gathered, one file never more than its own lines.
+    percentages and the union of uncovered lines. A report sends its counts once and two events per run of uncovered
+    lines; events of one place are summed in the tasks, and a running sum over a file's places is the number of
+    reports that miss the lines from there on.
     """
     per = coverage_files(cov) if compat else cov
     stats = [f"{k}_pct" for k in KINDS] if compat else [f"{s}_{k}" for k in KINDS for s in ("total", "covered")]
-    lined = per.select("repo", "path", *stats, F.posexplode_outer(F.array_distinct("uncovered_lines")).alias("_at", "line"))
-    head = F.col("_at").isNull() | (F.col("_at") == 0)
-    counted = lined.groupBy("repo", "path", "line").agg(
-        F.count(F.lit(1)).alias("_n"), F.count_if(head).alias("_r"), *(F.max(F.when(head, F.col(c))).alias(c) for c in stats))
-    seen = F.when(F.col("line").isNotNull(), F.struct("line", F.col("_n").alias("n")))
-    files = counted.groupBy("repo", "path").agg(
-        F.sum("_r").alias("reports"), F.collect_list(seen).alias("_l"), *(F.max(c).alias(c) for c in stats))
-    missed = F.col("_l") if compat else F.filter("_l", lambda x: x["n"] == F.col("reports"))
-    lines = F.sort_array(F.transform(missed, lambda x: x["line"])).alias("uncovered_lines")
+    clean = F.sort_array(F.array_distinct(F.filter(F.coalesce("uncovered_lines", F.array()), lambda x: x.isNotNull())))
+    rows = per.select("repo", "path", *stats, clean.alias("_lines"))
+    report = F.array(F.struct(F.lit(None).cast("int").alias("pos"), F.lit(0).alias("d")))
+    events = rows.select("repo", "path", *stats, F.explode(F.concat(report, _run_events(F.col("_lines")))).alias("_e"))
+    head = F.col("_e.pos").isNull()
+    summed = events.groupBy("repo", "path", F.col("_e.pos").alias("_pos")).agg(
+        F.sum("_e.d").alias("_d"), F.count_if(head).alias("_r"), *(F.max(F.when(head, F.col(c))).alias(c) for c in stats))
+    sweep = W.partitionBy("repo", "path").orderBy("_pos")  # the reports' own row comes first
+    swept = summed.select("repo", "path", "_pos", *stats, F.sum("_d").over(sweep).alias("_depth"),
+                          F.first("_r").over(sweep).alias("_reports"), F.lead("_pos").over(sweep).alias("_next"))
+    missed = F.col("_depth") > 0 if compat else F.col("_depth") == F.col("_reports")
+    lines = F.when(F.col("_pos").isNotNull() & missed, F.sequence("_pos", F.col("_next") - 1))
+    files = swept.groupBy("repo", "path").agg(F.sort_array(F.flatten(F.collect_list(lines))).alias("uncovered_lines"), *(F.max(c).alias(c) for c in stats))
     shares = stats if compat else [pct(F.col(f"covered_{k}"), F.col(f"total_{k}"), 0, 100.0).alias(f"{k}_pct") for k in KINDS]
-    return files.select("repo", "path", *shares, lines)
+    return files.select("repo", "path", *shares, "uncovered_lines")
 
 
 def coverage_failures(files: DataFrame, threshold: float) -> DataFrame:
     """Files whose line percentage is below the threshold; the check passes when there is none."""
     return files.where(F.col("lines_pct") < threshold).select(
         *[c for c in ("repo", "path") if c in files.columns], F.col("lines_pct").alias("percent"), F.lit(float(threshold)).alias("threshold"))
-
-

@@ -35,6 +35,11 @@ def with_sql(views: str, body: str) -> str:
     return f"WITH {heads}\n{body}"
 
 
+def dealt(df: DataFrame, *keys: str) -> DataFrame:
+    """Rows dealt by their key, as a corpus of many files lies: one row group of a table holds any number of them."""
+    return df.repartition(*keys)
+
+
 def lit_list(values: list[str]) -> str:
     """SQL list literal of strings."""
     return "[" + ", ".join("'" + v.replace("'", "''") + "'" for v in values) + "]"
@@ -231,7 +236,7 @@ def code_files(t: Tables) -> DataFrame:
     ext = F.when(F.col("doc_id") % 10 == 0, F.when(F.col("doc_id") % 20 == 0, ".test.ts").otherwise(".ts")).otherwise(
         pick(EXTENSIONS, F.col("doc_id") % 10)
     )
-    return t.documents.select(
+    return dealt(t.documents, "source", "doc_id").select(
         F.col("source").alias("repo"),
         F.concat(
             pick(TOP_DIRS, F.col("doc_id") % 5), F.lit("/"), "lang", F.lit("/f"),
@@ -264,7 +269,7 @@ FROM (SELECT repo, path, doc_id, string_split(content, chr(10)) AS ls FROM code_
 
 
 def doc_files(t: Tables) -> DataFrame:
-    return t.documents.select(
+    return dealt(t.documents, "source", "doc_id").select(
         F.col("source").alias("repo"),
         F.concat_ws("/", "source", "lang", F.col("doc_id").cast("string")).alias("path"),
         F.col("text").alias("content"), "lang", "doc_id",
@@ -277,7 +282,7 @@ FROM documents""")
 
 
 def page_files(t: Tables) -> DataFrame:
-    return t.pages.select(
+    return dealt(t.pages, "page_id").select(
         F.regexp_extract("url", "^https?://([^/]+)", 1).alias("repo"),
         F.col("url").alias("path"), F.col("html").alias("content"), "page_id",
     )
@@ -317,7 +322,7 @@ def commits(t: Tables) -> DataFrame:
     kind = F.lit("chore")
     for k, v in COMMIT_KINDS.items():
         kind = F.when(F.col("o_orderpriority") == k, v).otherwise(kind)
-    return t.orders.select(
+    return dealt(t.orders, "o_orderkey").select(
         F.concat(F.lit("repo"), (F.col("o_custkey") % 7).cast("string")).alias("repo"),
         F.col("o_orderkey").cast("string").alias("hash"),
         F.concat(F.lit("dev"), (F.col("o_custkey") % 20).cast("string")).alias("author"),
@@ -342,7 +347,7 @@ CHANGE_EXTS = [".ts", ".js", ".json", ".md", ".spec.ts", ".yaml", ".py"]
 
 def commit_files(t: Tables) -> DataFrame:
     key = F.col("l_partkey")
-    return t.lineitem.select(
+    return dealt(t.lineitem, "l_suppkey", "l_partkey").select(
         F.concat(F.lit("r"), (F.col("l_suppkey") % 3).cast("string")).alias("repo"),
         F.col("l_orderkey").cast("string").alias("hash"),
         F.concat(pick(CHANGE_DIRS, key % 5), F.lit("/p"), key.cast("string"),
@@ -367,7 +372,7 @@ FROM lineitem""")
 
 def messages(t: Tables) -> DataFrame:
     role = F.col("role")
-    return t.conversations.select(
+    return dealt(t.conversations, "conv_id").select(
         F.concat_ws("-", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("id"),
         F.timestamp_micros(F.lit(1704067200000000) + (F.col("conv_id") * 3600 + F.col("turn") * 60) * F.lit(1000000)).alias("ts"),
         role.alias("sender"),
@@ -391,7 +396,7 @@ def memories(t: Tables) -> DataFrame:
     """One stored memory per conversation turn; equal texts share a content hash."""
     cid, turn = F.col("conv_id"), F.col("turn")
     ts = F.timestamp_micros(F.lit(1704067200000000) + (cid * 3600 + turn * 60) * F.lit(1000000))
-    return t.conversations.select(
+    return dealt(t.conversations, "conv_id").select(
         F.concat_ws("-", F.lit("mem"), cid.cast("string"), turn.cast("string")).alias("id"),
         F.concat(F.lit("Note "), cid.cast("string")).alias("name"),
         F.left("text", F.lit(40)).alias("description"), F.col("text").alias("content"),

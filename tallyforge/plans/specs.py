@@ -88,7 +88,7 @@ def coverage(t):
     q = F.col("l_quantity").cast("int")
     ln = F.col("l_linenumber")
     part = lambda k: F.least(q + k, F.lit(50))
-    return t.lineitem.select(
+    return B.dealt(t.lineitem, "l_suppkey", "l_partkey").select(
         F.concat(lit("r"), s(F.col("l_suppkey") % 2)).alias("repo"), F.col("l_returnflag").alias("tool"), F.concat(lit("p"), s("l_partkey")).alias("path"),
         lit(50).alias("total_statements"), part(0).alias("covered_statements"), lit(50).alias("total_branches"), part(1).alias("covered_branches"),
         lit(50).alias("total_functions"), part(2).alias("covered_functions"), lit(50).alias("total_lines"), part(3).alias("covered_lines"),

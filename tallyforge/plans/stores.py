@@ -363,7 +363,7 @@ QUESTIONS = ["prisma the query", "React with hand", "docker de la maison"]
 
 def knowledge(t):
     d = F.col("doc_id")
-    return t.documents.select(
+    return B.dealt(t.documents, "source", "doc_id").select(
         F.col("doc_id").alias("id"), F.timestamp_micros(F.lit(NOW_US) - (d % 120) * F.lit(86400000000)).alias("ts"),
         F.when(d % 13 == 0, "").otherwise(F.concat(F.lit("Topic "), (d % 17).cast("string"), F.lit(" query"))).alias("topic"),
         pick(LIBS, d % 5).alias("library"), pick(SOURCES, d % 3).alias("source"), F.col("text").alias("content"),
