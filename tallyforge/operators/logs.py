@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import dates
 from ..functions.text import contains_any, fingerprint
 from ..rules import words
-from .history import lookback, time_bucket, top_groups, with_history
+from .history import top_groups
+from .spikes import spikes
 
 # Levels that count as errors and warnings.
 ERROR_LEVELS = ("error", "critical", "fatal")
@@ -86,70 +87,15 @@ def frequency(logs: DataFrame) -> DataFrame:
 def anomalies(logs: DataFrame, minutes: int = 5, threshold: float = 3.0) -> DataFrame:
     """Error spikes per service.
 
-    For every error in time order: errors in the inclusive window that starts at it (later
-    rows of the same instant only) against the mean of the up to 20 preceding counts, floor 1.
-    ``threshold`` must be at least 1: within one instant counts only fall, so no row past the
-    20th of an instant can exceed its baseline, which is what lets instants be pre-counted.
-
-    Work is split by (service, time bucket): window-length rows are copied into the previous
-    bucket for the forward count, and 20 rows are carried forward for the baseline.
+    For every error in time order (equal times by line): errors in the inclusive window that starts at it (later rows
+    of the same instant only) against the mean of the up to 20 preceding counts, floor 1. Of a service's equal messages at
+    one raw stamp the first counts. One pass in time order, see ``spikes``.
     """
-    if threshold < 1:
-        raise ValueError("threshold must be at least 1")
-    span = minutes * 60_000
-    width = max(span, 3_600_000)
-    depth = 20
-    errs = logs.where(is_error() & F.col("ts").isNotNull()).withColumn(
-        "ms", dates.epoch_ms(F.col("ts"))
-    )
-    instants = errs.groupBy("service", "ms").agg(F.count(F.lit(1)).alias("n"))
-
-    home = time_bucket(F.col("ms"), width)
-    spread = instants.withColumn("home", home).withColumn(
-        "bucket",
-        F.explode(
-            F.when(F.col("ms") - F.col("home") * width <= span, F.array("home", F.col("home") - 1))
-            .otherwise(F.array("home"))
-        ),
-    )
-    ahead = W.partitionBy("service", "bucket").orderBy("ms").rangeBetween(0, span)
-    forward = (
-        spread.withColumn("ahead", F.sum("n").over(ahead))
-        .where(F.col("bucket") == F.col("home"))
-        .select("service", "bucket", "ms", "n", "ahead")
-    )
-    # ranks 0..19 may be anomalies, the last 20 feed later baselines
-    ranks = F.when(
-        F.col("n") <= 2 * depth, F.sequence(F.lit(0).cast("bigint"), F.col("n") - 1)
-    ).otherwise(
-        F.concat(
-            F.sequence(F.lit(0).cast("bigint"), F.lit(depth - 1).cast("bigint")),
-            F.sequence(F.col("n") - depth, F.col("n") - 1),
-        )
-    )
-    rows = forward.withColumn("rank", F.explode(ranks)).select(
-        "service", "bucket", "ms", "rank", (F.col("ahead") - F.col("rank")).alias("count")
-    )
-    order = ["ms", "rank"]
-    frame = lookback(["service"], "bucket", order).rowsBetween(-depth, -1)
-    spikes = (
-        with_history(rows, ["service"], "bucket", order, depth)
-        .withColumn("baseline", F.avg("count").over(frame))
-        .where(~F.col("carried") & (F.col("rank") < depth))
-        .where(F.col("baseline").isNotNull())
-        .where(F.col("count") > threshold * F.greatest(F.col("baseline"), F.lit(1.0)))
-        .select("service", "ms", "rank", "count", "baseline")
-    )
-    at = errs.join(spikes.select("service", "ms").distinct(), ["service", "ms"], "left_semi")
-    nth = W.partitionBy("service", "ms").orderBy("line")
-    named = (
-        at.withColumn("rank", (F.row_number().over(nth) - 1).cast("bigint"))
-        .where(F.col("rank") < depth)
-        .join(spikes, ["service", "ms", "rank"])
-    )
+    errs = logs.where(is_error() & F.col("ts").isNotNull()).select("service", dates.epoch_ms(F.col("ts")).alias("ms"), "line", "ts_raw", "message")
+    found = spikes(errs, minutes * 60_000, threshold, int(logs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     return (
-        named.groupBy("service", "ts_raw", "message")
-        .agg(F.min_by(F.struct("count", "baseline"), F.struct("ms", "rank")).alias("_f"))
+        found.groupBy("service", "ts_raw", "message")
+        .agg(F.min_by(F.struct("count", "baseline"), F.struct("at", "line")).alias("_f"))
         .select("service", "ts_raw", "message", "_f.count", "_f.baseline")
     )
 

@@ -74,6 +74,35 @@ def test_anomalies_against_sequential_model(spark):
     assert got
 
 
+def test_anomalies_of_services_that_span_partitions(spark):
+    import random
+
+    rnd = random.Random(9)
+    data = {None: [], "a": [], "b": [], "c": []}
+    for line in range(1200):
+        name = rnd.choice(["a"] * 8 + ["b", "c", None])
+        ms = 1_700_000_000_000 + (500 if line % 3 == 0 else rnd.randrange(3_000_000))  # a third of all rows in one instant
+        data[name].append((ms, line, f"m{rnd.randrange(4)}"))
+    rows = [(name, *r) for name, mine in data.items() for r in mine]
+    df = spark.createDataFrame(rows, "service string, ms bigint, line bigint, message string").select(
+        "service", "line", "message", F.lit("error").alias("level"), F.timestamp_millis("ms").alias("ts"), F.col("ms").cast("string").alias("ts_raw"))
+    want = sorted((str(name), *r) for name, mine in data.items() for r in sequential_anomalies(mine, 3, 1.2))
+    for n in ("1", "4", "13"):
+        spark.conf.set("spark.sql.shuffle.partitions", n)
+        got = sorted((str(r["service"]), int(r["ts_raw"]), r["message"], r["count"]) for r in L.anomalies(df, 3, 1.2).collect())
+        assert got == want and want
+    spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert L.anomalies(df.where("false"), 3, 1.2).collect() == []
+
+
+def test_anomaly_plan_after_the_sort(spark):
+    """The sorted events are read back twice; three exchanges follow the one that sorts them."""
+    df = spark.range(10).selectExpr("'a' as service", "id as line", "'m' as message", "'error' as level", "timestamp_millis(id) as ts", "'x' as ts_raw")
+    plan = L.anomalies(df)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Scan ExistingRDD") == 2 and "FileScan" not in plan and "Window" not in plan
+    assert sum("Exchange" in line for line in plan.splitlines()) <= 3
+
+
 def test_spans_ignore_quoted_numbers(spark):
     df = spark.createDataFrame([('{"traceId":"t","timestamp":"5"}',), ('{"trace":{"id":"t"},"startTime":2,"endTime":9}',), ('{"trace_id":"t","duration":4}',), ("nope",)], "text string")
     assert L.trace_summary(parse_spans(df)).collect() == [("t", 3, 9.0)]
