@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions.arrays import lookup, present
 from .codestats import key_changes
@@ -22,17 +22,19 @@ SAFE_CHANGES = ("endpoint-added",)
 
 
 def _paired(before: DataFrame, after: DataFrame, attrs: tuple[str, ...]) -> DataFrame:
-    """(entity, field, b, a, had, has): both states of a field, and whether its entity existed
-    on each side. Everything is a mergeable aggregate, so a very wide entity stays distributed."""
+    """(entity, field, b, a, had, has, first): both states of a field, whether its entity existed on each side, and
+    whether the row is the entity's first. Each side is read once; fields are paired by mergeable aggregates, and only
+    the pairs of an entity meet."""
 
     def side(df: DataFrame, name: str) -> DataFrame:
         return df.select("entity", "field", F.lit(name).alias("_side"), F.struct(*attrs).alias("_v"))
 
     both = side(before, "b").unionByName(side(after, "a")).groupBy("entity", "field").agg(
         *[F.max(F.when(F.col("_side") == s, F.col("_v"))).alias(s) for s in ("b", "a")])
-    sides = side(before, "b").unionByName(side(after, "a")).groupBy("entity").agg(
-        F.bool_or(F.col("_side") == "b").alias("had"), F.bool_or(F.col("_side") == "a").alias("has"))
-    return both.join(sides, "entity")
+    mates = W.partitionBy("entity")
+    return both.withColumns({
+        "had": F.bool_or(F.col("b").isNotNull()).over(mates), "has": F.bool_or(F.col("a").isNotNull()).over(mates),
+        "first": F.row_number().over(mates.orderBy("field")) == 1})
 
 
 def schema_diff(before: DataFrame, after: DataFrame) -> DataFrame:
@@ -41,11 +43,6 @@ def schema_diff(before: DataFrame, after: DataFrame) -> DataFrame:
     Added and removed entities give one row without field; fields of kept entities one row per
     kind of change.
     """
-    p = _paired(before, after, _ATTRS)
-    entities = p.where(~F.col("had") | ~F.col("has")).select("entity", "had").distinct().select(
-        "entity", F.lit(None).cast("string").alias("field"),
-        F.when(F.col("had"), "entity removed").otherwise("entity added").alias("change"),
-        F.lit(None).cast("string").alias("before"), F.lit(None).cast("string").alias("after"))
     b, a = F.col("b"), F.col("a")
 
     def opt(side: Column) -> Column:
@@ -54,15 +51,18 @@ def schema_diff(before: DataFrame, after: DataFrame) -> DataFrame:
     def rel(side: Column) -> Column:
         return F.when(side["rel_entity"].isNull(), "(none)").otherwise(F.concat(side["rel_type"], F.lit(" -> "), side["rel_entity"]))
 
-    def row(cond: Column, change: Column | str, before_v: Column, after_v: Column) -> Column:
+    def row(cond: Column, change: Column | str, before_v: Column, after_v: Column, field: Column | None = None) -> Column:
         change = F.lit(change) if isinstance(change, str) else change
-        return F.when(cond, F.struct(change.alias("change"), before_v.alias("before"), after_v.alias("after")))
+        field = F.col("field") if field is None else field
+        return F.when(cond, F.struct(field.alias("field"), change.alias("change"), before_v.alias("before"), after_v.alias("after")))
 
     none = F.lit(None).cast("string")
+    stays = F.col("had") & F.col("has")
     kept = b.isNotNull() & a.isNotNull()
     rows = present([
-        row(b.isNull(), "added", none, opt(a)),
-        row(a.isNull(), "removed", opt(b), none),
+        row(~stays & F.col("first"), F.when(F.col("had"), "entity removed").otherwise("entity added"), none, none, none),
+        row(stays & b.isNull(), "added", none, opt(a)),
+        row(stays & a.isNull(), "removed", opt(b), none),
         row(kept & (b["type"] != a["type"]), "type changed", b["type"], a["type"]),
         row(kept & (b["required"] != a["required"]), F.when(a["required"], "changed to required").otherwise("changed to optional"),
             F.when(b["required"], "required").otherwise("optional"), F.when(a["required"], "required").otherwise("optional")),
@@ -72,24 +72,22 @@ def schema_diff(before: DataFrame, after: DataFrame) -> DataFrame:
             F.coalesce(b["default_value"], F.lit("(none)")), F.coalesce(a["default_value"], F.lit("(none)"))),
         row(kept & (rel(b) != rel(a)), "relation changed", rel(b), rel(a)),
     ])
-    fields = p.where(F.col("had") & F.col("has")).select("entity", "field", F.explode(rows).alias("_r")).select(
-        "entity", "field", "_r.*")
-    return entities.unionByName(fields)
+    return _paired(before, after, _ATTRS).select("entity", F.explode(rows).alias("_r")).select("entity", "_r.*")
 
 
 def schema_evolution(before: DataFrame, after: DataFrame) -> DataFrame:
     """(field, type, change) for name/type models: added, removed, modified; whole models as
     ``X (model)``."""
-    p = _paired(before, after, ("type",))
-    models = p.where(~F.col("had") | ~F.col("has")).select("entity", "had").distinct().select(
-        F.concat("entity", F.lit(" (model)")).alias("field"), F.lit("model").alias("type"),
-        F.when(F.col("had"), "removed").otherwise("added").alias("change"))
     b, a = F.col("b.type"), F.col("a.type")
-    kept = p.where(F.col("had") & F.col("has") & ~b.eqNullSafe(a)).select(
+    stays = F.col("had") & F.col("has")
+    model = F.struct(F.concat("entity", F.lit(" (model)")).alias("field"), F.lit("model").alias("type"),
+                     F.when(F.col("had"), "removed").otherwise("added").alias("change"))
+    field = F.struct(
         F.concat_ws(".", "entity", "field").alias("field"),
         F.when(b.isNull(), a).when(a.isNull(), b).otherwise(F.concat(b, F.lit(" -> "), a)).alias("type"),
         F.when(b.isNull(), "added").when(a.isNull(), "removed").otherwise("modified").alias("change"))
-    return models.unionByName(kept)
+    change = F.when(~stays & F.col("first"), model).when(stays & ~b.eqNullSafe(a), field)
+    return _paired(before, after, ("type",)).select(change.alias("_r")).where("_r is not null").select("_r.*")
 
 
 def _quote(name: Column, dialect: str) -> Column:
@@ -164,47 +162,64 @@ def migration_ddl(diff: DataFrame, fields: DataFrame, dialect: str) -> DataFrame
 # --- API contracts -------------------------------------------------------------------
 
 
-def api_diff(endpoints: DataFrame, params: DataFrame, responses: DataFrame, before: str, after: str) -> DataFrame:
-    """(type, path, method, detail, breaking) between two versions of the spec tables.
+def api_diff(operations: DataFrame, before: str, after: str) -> DataFrame:
+    """(type, path, method, detail, breaking) between two versions of operations(version, path, method, params, responses).
 
     Removed and added endpoints, removed or newly required parameters, removed or changed
-    responses of endpoints present on both sides. An empty side makes everything added or removed.
+    responses of endpoints present on both sides. An empty side makes everything added or removed. One aggregate gathers
+    both versions of an operation in a row; all changes are read off that row.
     """
-
-    ep = ["path", "method"]
     old, new = F.col("version") == before, F.col("version") == after
 
-    def paired(df: DataFrame, keys: list[str], value: Column) -> DataFrame:
-        """Both versions of a row side by side (b, a); each table is read once."""
-        return df.where(old | new).groupBy(*keys).agg(
-            F.any_value(F.when(old, value), ignoreNulls=True).alias("b"), F.any_value(F.when(new, value), ignoreNulls=True).alias("a"))
+    def gathered(side: Column, col: str, name: str) -> Column:
+        return F.flatten(F.collect_list(F.when(side, F.col(col)))).alias(name)
 
-    b, a = F.col("b"), F.col("a")
-    known = paired(endpoints, ep, F.lit(True))
-    call = F.concat(F.upper("method"), F.lit(" "), "path")
-    word = F.when(a.isNull(), "removed").otherwise("added")
-    ends = known.where(b.isNull() | a.isNull()).select(
-        F.concat(F.lit("endpoint-"), word).alias("type"), *ep, F.concat(F.lit("Endpoint "), call, F.lit(" was "), word).alias("detail"))
-    both = known.where(b.isNotNull() & a.isNotNull()).select(*ep)
-
-    label = F.concat(F.lit("'"), "name", F.lit("' ("), "location", F.lit(")"))
-    gone, fresh = a.isNull(), b.isNull() & a
-    said = F.when(gone, F.concat(F.when(b, "Required").otherwise("Optional"), F.lit(" parameter "), label, F.lit(" was removed"))).otherwise(
-        F.concat(F.lit("New required parameter "), label, F.lit(" was added")))
-    moved = (
-        paired(params, [*ep, "name", "location"], F.col("required")).where(gone | fresh)
-        .select(F.lit("param-removed").alias("type"), *ep, said.alias("detail")).join(both, ep, "left_semi"))
-
-    r = paired(responses, [*ep, "code"], F.struct("type", "ref", "props", "required")).where(b.isNotNull()).join(both, ep, "left_semi")
-    lost = F.size(F.array_except(F.map_keys(b["props"]), F.map_keys(a["props"]))) > 0
-    retyped = F.exists(F.map_entries(b["props"]), lambda e: F.try_element_at(a["props"], e["key"]) != e["value"])
-    relaxed = F.size(F.array_except(b["required"], a["required"])) > 0
-    differs = (b["type"] != a["type"]) | ~b["ref"].eqNullSafe(a["ref"]) | lost | F.coalesce(retyped, F.lit(False)) | relaxed
-    resp = r.where(a.isNull() | differs).select(
-        F.lit("response-changed").alias("type"), *ep,
-        F.concat(F.lit("Response "), "code", F.when(a.isNull(), " was removed").otherwise(" schema changed")).alias("detail"))
-    out = ends.unionByName(moved).unionByName(resp)
-    return out.withColumn("breaking", ~F.col("type").isin(*SAFE_CHANGES))
+    pair = operations.where(old | new).groupBy("path", "method").agg(
+        F.bool_or(old).alias("had"), F.bool_or(new).alias("has"), gathered(old, "params", "pb"), gathered(new, "params", "pa"),
+        gathered(old, "responses", "rb"), gathered(new, "responses", "ra"))
+
+    def change(kind: Column | str, detail: Column) -> Column:
+        return F.struct((F.lit(kind) if isinstance(kind, str) else kind).alias("type"), detail.alias("detail"))
+
+    word = F.when(F.col("has"), "added").otherwise("removed")
+    ends = F.array(change(F.concat(F.lit("endpoint-"), word), F.concat(
+        F.lit("Endpoint "), F.upper("method"), F.lit(" "), "path", F.lit(" was "), word)))
+
+    def named(params: str, key: Column) -> Column:
+        return F.get(F.filter(params, lambda p: (p["name"] == key["name"]) & (p["location"] == key["location"])), F.lit(0))["required"]
+
+    def both_params(key: Column) -> Column:
+        return F.struct(key["name"].alias("name"), key["location"].alias("location"), named("pb", key).alias("b"), named("pa", key).alias("a"))
+
+    def param(p: Column) -> Column:
+        label = F.concat(F.lit("'"), p["name"], F.lit("' ("), p["location"], F.lit(")"))
+        b, a = p["b"], p["a"]
+        said = F.when(a.isNull(), F.concat(F.when(b, "Required").otherwise("Optional"), F.lit(" parameter "), label, F.lit(" was removed"))).when(
+            b.isNull() & a, F.concat(F.lit("New required parameter "), label, F.lit(" was added")))
+        return F.when(said.isNotNull(), change("param-removed", said))
+
+    keys = F.array_distinct(F.transform(F.concat("pb", "pa"), lambda p: F.struct(p["name"].alias("name"), p["location"].alias("location"))))
+
+    def of_code(responses: str, code: Column) -> Column:
+        return F.get(F.filter(responses, lambda r: r["code"] == code), F.lit(0))
+
+    def both_responses(code: Column) -> Column:
+        return F.struct(code.alias("code"), of_code("rb", code).alias("b"), of_code("ra", code).alias("a"))
+
+    def response(r: Column) -> Column:
+        b, a = r["b"], r["a"]
+        lost = F.size(F.array_except(F.map_keys(b["props"]), F.map_keys(a["props"]))) > 0
+        retyped = F.exists(F.map_entries(b["props"]), lambda e: F.try_element_at(a["props"], e["key"]) != e["value"])
+        relaxed = F.size(F.array_except(b["required"], a["required"])) > 0
+        differs = (b["type"] != a["type"]) | ~b["ref"].eqNullSafe(a["ref"]) | lost | F.coalesce(retyped, F.lit(False)) | relaxed
+        said = F.when(a.isNull(), " was removed").when(differs, " schema changed")
+        return F.when(said.isNotNull(), change("response-changed", F.concat(F.lit("Response "), r["code"], said)))
+
+    codes = F.array_distinct(F.transform("rb", lambda r: r["code"]))
+    within = F.filter(F.concat(F.transform(F.transform(keys, both_params), param), F.transform(F.transform(codes, both_responses), response)),
+                      lambda x: x.isNotNull())
+    out = pair.select("path", "method", F.explode(F.when(F.col("had") & F.col("has"), within).otherwise(ends)).alias("_c"))
+    return out.select("_c.type", "path", "method", "_c.detail", (~F.col("_c.type").isin(*SAFE_CHANGES)).alias("breaking"))
 
 
 def api_verdict(diff: DataFrame) -> DataFrame:

@@ -36,7 +36,7 @@ def istanbul_files(t):
     text = F.concat(
         lit('{"src/p'), s("p_partkey"), lit('.ts":{"s":{"0":'), s(z % 3), lit(',"1":1,"2":'), bit(1), lit(',"3":0},"f":{"0":'), bit(2), lit(',"1":2},"b":{"0":['), bit(3),
         lit(',1],"1":['), s(z % 2), lit(']},"l":{"1":1,"2":'), bit(1), lit(',"3":'), bit(2), lit(',"4":0,"10":'), s(z % 2), lit('}},"broken.ts":{"s":{}}}'))
-    return t.part.select(F.col("p_type").alias("repo"), F.concat(lit("r"), s("p_partkey"), lit("/coverage-final.json")).alias("path"),
+    return B.dealt(t.part, "p_partkey").select(F.col("p_type").alias("repo"), F.concat(lit("r"), s("p_partkey"), lit("/coverage-final.json")).alias("path"),
                          F.when(pk % 41 == 0, "{nope").otherwise(text).alias("content"))
 
 
@@ -59,7 +59,7 @@ def lcov_files(t):
     text = F.concat(
         lit("TN:\nSF:lib/p"), s("p_partkey"), lit(".js\nFN:1,foo\nFN:5,bar\nFNDA:"), s(z % 2), lit(",foo\nFNDA:0,bar\nFNDA:"), s(pk % 2), lit(",bar\nDA:1,3\nDA:2,"), s(pk % 2),
         lit("\nDA:7,"), s(z % 3), lit("\nBRDA:1,0,0,-\nBRDA:1,0,1,"), s(z % 2), lit("\nBRDA:9\nend_of_record\nSF:empty.js\nend_of_record\n"))
-    return t.part.select(F.col("p_type").alias("repo"), F.concat(lit("r"), s("p_partkey"), lit("/lcov.info")).alias("path"), text.alias("content"))
+    return B.dealt(t.part, "p_partkey").select(F.col("p_type").alias("repo"), F.concat(lit("r"), s("p_partkey"), lit("/lcov.info")).alias("path"), text.alias("content"))
 
 
 @query("lcov_coverage", """
@@ -77,7 +77,7 @@ UNION ALL SELECT p_type, 'lcov', 'lib/p' || p_partkey || '.js', 1 + (p_partkey %
 UNION ALL SELECT p_brand, CASE p_partkey % 2 WHEN 0 THEN 'clover' ELSE 'cobertura' END, 'x' || p_partkey || CASE p_partkey % 2 WHEN 0 THEN '/clover.xml' ELSE '/cobertura-coverage.xml' END, NULL, NULL,
  floor(('0.' || (p_size + 10))::DOUBLE * 10000::DOUBLE + 0.5::DOUBLE)::DOUBLE / 100::DOUBLE FROM part"""))
 def detected_coverage(t):
-    xml = t.part.select(
+    xml = B.dealt(t.part, "p_partkey").select(
         F.col("p_brand").alias("repo"),
         F.concat(lit("x"), s("p_partkey"), F.when(F.col("p_partkey") % 2 == 0, "/clover.xml").otherwise("/cobertura-coverage.xml")).alias("path"),
         F.concat(lit('<coverage line-rate="0.'), s(F.col("p_size") + 10), lit('" branch-rate="1"/>')).alias("content"))
@@ -141,7 +141,7 @@ def _fields(t, after: bool):
     pk, z = F.col("p_partkey"), F.col("p_size")
     shift = 1 if after else 0
     keep = (pk % 9 != 3) & (z % 13 != 5) if after else (pk % 9 != 1) & (z % 13 != 7)
-    return t.part.where(keep).select(
+    return B.dealt(t.part, "p_partkey").where(keep).select(
         F.concat(lit("E"), s("p_size"), lit("_"), s(pk % 7)).alias("entity"), F.concat(lit("f"), s("p_partkey")).alias("field"), pk.alias("pos"),
         pick(TYPES, (pk + F.when(pk % 5 == 0, shift).otherwise(0)) % 5).alias("type"),
         ((pk + F.when(pk % 6 == 0, shift).otherwise(0)) % 2 == 0).alias("required"),
@@ -228,7 +228,7 @@ def model_files(t, after: bool):
     second = F.when(pk % 7 == (1 if after else 2), "").otherwise("\ntable Log { \n  at DateTime\n}\n")
     text = F.concat(lit("generator x\n\nmodel M"), s("p_partkey"), lit(" {\n  id String @id\n  value "), kind, lit("\n  value "), kind, extra,
                     lit("\n  @@index([id])\n}\nloose field here"), second)
-    return t.part.select(F.concat(lit("r"), s("p_partkey")).alias("repo"), lit("schema.prisma").alias("path"), text.alias("content"))
+    return B.dealt(t.part, "p_partkey").select(F.concat(lit("r"), s("p_partkey")).alias("repo"), lit("schema.prisma").alias("path"), text.alias("content"))
 
 
 def _model_sql(after: bool) -> str:
@@ -280,7 +280,7 @@ def api_specs(t):
         text = F.concat(
             lit('{"paths":{"/items/'), s("p_partkey"), lit('":{"get":{"parameters":[{"name":"id","in":"path","required":true}'), q2, z, lit('],"responses":{'), resp,
             lit(',"default":{"schema":{"$ref":"'), ref, lit('"}}}},"x-note":{}'), F.when(pk % 7 == (3 if new else 5), "").otherwise(',"POST":{}'), lit("}}}"))
-        return t.part.where(pk % 9 != (4 if new else 2)).select(lit(version).alias("version"), F.when(pk % 53 == 0, "{bad").otherwise(text).alias("content"))
+        return B.dealt(t.part, "p_partkey").where(pk % 9 != (4 if new else 2)).select(lit(version).alias("version"), F.when(pk % 53 == 0, "{bad").otherwise(text).alias("content"))
 
     return doc("v1").unionByName(doc("v2"))
 
@@ -301,7 +301,7 @@ UNION ALL SELECT 'response-changed', path, 'get', 'Response default schema chang
 
 def api_changes(t, before="v1", after="v2"):
     specs = api_specs(t)
-    return D.api_diff(SS.read_openapi_endpoints(specs), SS.read_openapi_params(specs), SS.read_openapi_responses(specs), before, after)
+    return D.api_diff(SS.read_openapi(specs), before, after)
 
 
 @query("openapi_endpoints", with_sql("ops", "SELECT version, path, method FROM ops"))
@@ -357,7 +357,7 @@ def env_files(t, example: bool = False):
         text = F.concat(
             lit("# local\n\nPORT="), F.when(k % 5 == 0, "80a").otherwise("8080"), lit("\n DEBUG = \"true\"\nNO_EQUALS\nURL="), F.when(k % 7 == 0, "ftp://x").otherwise("'https://x.example'"),
             lit("\nNAME=first\nNAME="), F.when(k % 4 == 0, "").otherwise(F.col("c_name")), F.when(k % 6 == 0, "\nEXTRA=a=b").otherwise(""))
-    return t.customer.select(F.col("c_name").alias("repo"), lit(".env").alias("path"), text.alias("content"))
+    return B.dealt(t.customer, "c_custkey").select(F.col("c_name").alias("repo"), lit(".env").alias("path"), text.alias("content"))
 
 
 define("env", """
@@ -589,7 +589,7 @@ def bundle_modules(t):
     z = F.col("p_size")
     web = F.concat(lit('{"assets":[{"name":"main.js","size":'), s(z * 1001), lit('},{"filename":"alt.css"},{"size":9}]}'))
     vite = F.concat(lit('{"output":[{"fileName":"chunk.js","size":'), s(z * 77), lit("}]}"))
-    return SR.read_bundles(t.part.select(F.concat(lit("b"), s("p_partkey")).alias("repo"), F.when(F.col("p_partkey") % 2 == 0, web).otherwise(vite).alias("content")))
+    return SR.read_bundles(B.dealt(t.part, "p_partkey").select(F.concat(lit("b"), s("p_partkey")).alias("repo"), F.when(F.col("p_partkey") % 2 == 0, web).otherwise(vite).alias("content")))
 
 
 @query("lighthouse_metrics", """
@@ -607,7 +607,7 @@ def adr_files(t):
     text = F.concat(
         F.when(k % 2 == 0, F.concat(lit("# "), s(k), lit(". Use "), "c_mktsegment", lit("  \n\n"))).otherwise(lit("intro\n")), lit("**Status:** "), pick(["Accepted", "proposed", "Deprecated by X", "superseded", "odd"], k % 5),
         lit("\n**Date:** 2024-01-02\n"), F.when(k % 3 == 0, F.concat(lit("This Supersedes decision ADR-"), s(k - 1), lit("\n"))).otherwise(""))
-    return t.customer.select(F.col("c_mktsegment").alias("repo"), F.concat(lit("docs/adr/"), F.when(k % 11 == 0, "x").otherwise(""), F.lpad(s(k), 4, "0"), lit("-use-it-now.md")).alias("path"), text.alias("content"))
+    return B.dealt(t.customer, "c_custkey").select(F.col("c_mktsegment").alias("repo"), F.concat(lit("docs/adr/"), F.when(k % 11 == 0, "x").otherwise(""), F.lpad(s(k), 4, "0"), lit("-use-it-now.md")).alias("path"), text.alias("content"))
 
 
 define("adrs", """

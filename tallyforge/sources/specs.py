@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions.text import captures
 from ..operators.history import first_rows
@@ -47,6 +47,37 @@ def _operations(specs: DataFrame) -> DataFrame:
     return ops.withColumn("method", F.lower("method")).where(F.col("method").isin(*METHODS))
 
 
+def read_openapi(specs: DataFrame) -> DataFrame:
+    """(version, path, method, params, responses) of specs(version, content), one row per operation; a spec is parsed once.
+
+    params: structs of name, location, required. responses: of the compared codes, structs of code, type, ref, props (type
+    by property) and required; the schema is the response's own or that of its JSON media type.
+    """
+    def param(p: Column) -> Column:
+        return F.struct(
+            F.coalesce(F.try_variant_get(p, "$.name", "string"), F.lit("")).alias("name"),
+            F.coalesce(F.try_variant_get(p, "$.in", "string"), F.lit("query")).alias("location"),
+            F.coalesce(F.try_variant_get(p, "$.required", "boolean"), F.lit(False)).alias("required"))
+
+    def response(r: Column) -> Column:
+        s = F.coalesce(F.try_variant_get(r["r"], "$.schema", "variant"),
+                       F.try_variant_get(r["r"], "$.content['application/json'].schema", "variant"))
+        props = F.transform_values(
+            F.coalesce(F.try_variant_get(s, "$.properties", "map<string,variant>"), F.create_map().cast("map<string,variant>")),
+            lambda k, v: F.coalesce(F.try_variant_get(v, "$.type", "string"), F.lit("")))
+        return F.struct(
+            r["code"].alias("code"), F.coalesce(F.try_variant_get(s, "$.type", "string"), F.lit("object")).alias("type"),
+            F.try_variant_get(s, "$['$ref']", "string").alias("ref"), props.alias("props"),
+            F.coalesce(F.try_variant_get(s, "$.required", "array<string>"), F.array().cast("array<string>")).alias("required"))
+
+    ps = F.coalesce(F.try_variant_get("_op", "$.parameters", "array<variant>"), F.array().cast("array<variant>"))
+    rs = F.filter(F.array(*[
+        F.struct(F.lit(c).alias("code"), F.try_variant_get("_op", f"$.responses['{c}']", "variant").alias("r")) for c in CODES]),
+        lambda r: r["r"].isNotNull())
+    return _operations(specs).select(
+        "version", "path", "method", F.transform(ps, param).alias("params"), F.transform(rs, response).alias("responses"))
+
+
 def read_openapi_endpoints(specs: DataFrame) -> DataFrame:
     """api_endpoints(version, path, method) of specs(version, content)."""
     return _operations(specs).select("version", "path", "method")
@@ -54,35 +85,12 @@ def read_openapi_endpoints(specs: DataFrame) -> DataFrame:
 
 def read_openapi_params(specs: DataFrame) -> DataFrame:
     """api_params(version, path, method, name, location, required)."""
-    ops = _operations(specs).withColumn("_ps", F.try_variant_get("_op", "$.parameters", "array<variant>"))
-    p = F.col("_p")
-    return ops.select("version", "path", "method", F.explode("_ps").alias("_p")).select(
-        "version", "path", "method", F.coalesce(F.try_variant_get(p, "$.name", "string"), F.lit("")).alias("name"),
-        F.coalesce(F.try_variant_get(p, "$.in", "string"), F.lit("query")).alias("location"),
-        F.coalesce(F.try_variant_get(p, "$.required", "boolean"), F.lit(False)).alias("required"))
+    return read_openapi(specs).select("version", "path", "method", F.inline("params"))
 
 
 def read_openapi_responses(specs: DataFrame) -> DataFrame:
-    """(version, path, method, code, type, ref, props, required) of the compared responses.
-
-    The schema is the response's own or that of its JSON media type; ``props`` maps a property
-    to its type.
-    """
-    ops = _operations(specs)
-    codes = F.explode(F.array(*[
-        F.struct(F.lit(c).alias("code"), F.try_variant_get("_op", f"$.responses['{c}']", "variant").alias("r")) for c in CODES]))
-    rows = ops.select("version", "path", "method", codes.alias("_c")).select("version", "path", "method", "_c.code", "_c.r").where(
-        F.col("r").isNotNull())
-    schema = F.coalesce(F.try_variant_get("r", "$.schema", "variant"),
-                        F.try_variant_get("r", "$.content['application/json'].schema", "variant"))
-    s = F.col("_s")
-    props = F.transform_values(
-        F.coalesce(F.try_variant_get(s, "$.properties", "map<string,variant>"), F.create_map().cast("map<string,variant>")),
-        lambda k, v: F.coalesce(F.try_variant_get(v, "$.type", "string"), F.lit("")))
-    return rows.withColumn("_s", schema).select(
-        "version", "path", "method", "code", F.coalesce(F.try_variant_get(s, "$.type", "string"), F.lit("object")).alias("type"),
-        F.try_variant_get(s, "$['$ref']", "string").alias("ref"), props.alias("props"),
-        F.coalesce(F.try_variant_get(s, "$.required", "array<string>"), F.array().cast("array<string>")).alias("required"))
+    """(version, path, method, code, type, ref, props, required) of the compared responses."""
+    return read_openapi(specs).select("version", "path", "method", F.inline("responses"))
 
 
 def route_strings(files: DataFrame) -> DataFrame:
