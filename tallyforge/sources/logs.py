@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 from pyspark.sql.types import StructType
 
 from ..functions import dates
@@ -41,14 +41,25 @@ def parse_log_lines(lines: DataFrame, text: str = "text", *keep: str) -> DataFra
     )
 
 
-def read_logs(spark: SparkSession, path: str) -> DataFrame:
-    """Log entries of text files; ``service`` is the file's base name without suffix."""
-    name = F.regexp_extract("_metadata.file_name", r"^([^.]*)", 1)
+def read_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(file, line, text) of text files, lines numbered from 1 within their file however it is split.
+
+    The lines of a split are read in order; what stands before it is the sum of the counts of the file's earlier splits, one
+    row per split.
+    """
     raw = spark.read.text(path).select(
-        F.col("value").alias("text"), name.alias("service"),
-        F.monotonically_increasing_id().alias("line"),
-    )
-    return parse_log_lines(raw, "text", "service", "line")
+        F.col("value").alias("text"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("_start"),
+        F.monotonically_increasing_id().alias("_id"))
+    splits = raw.groupBy("file", "_start").agg(F.count(F.lit(1)).alias("_n"), F.min("_id").alias("_first"))
+    earlier = W.partitionBy("file").orderBy("_start").rowsBetween(W.unboundedPreceding, -1)
+    placed = splits.select("file", "_start", "_first", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
+    return raw.join(placed, ["file", "_start"]).select("file", (F.col("_id") - F.col("_first") + F.col("_before") + 1).alias("line"), "text")
+
+
+def read_logs(spark: SparkSession, path: str) -> DataFrame:
+    """Log entries of text files; ``service`` is the file's base name without suffix, ``line`` the number within the file."""
+    name = F.regexp_extract("file", r"([^/.]*)[^/]*$", 1)
+    return parse_log_lines(read_lines(spark, path).select("text", name.alias("service"), "line"), "text", "service", "line")
 
 
 def read_jsonl(spark: SparkSession, path: str, schema: StructType | str) -> DataFrame:

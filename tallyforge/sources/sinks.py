@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.errors import AnalysisException
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 
@@ -13,25 +13,66 @@ def append_events(df: DataFrame, path: str, fmt: str = "json", day_from: str = "
     df.withColumn("day", F.to_date(day_from)).write.mode("append").partitionBy("day").format(fmt).save(path)
 
 
-def overwrite_store(df: DataFrame, path: str) -> str:
-    """Replace a store without touching what is being read.
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether a file or folder is there, on whatever store Spark reads."""
+    fs, where = _store(spark, path)
+    return fs.exists(where)
 
-    Writes a new version folder, then appends its name to the pointer table; readers take the
-    newest pointer. ``df`` may itself come from ``read_store`` of the same path.
+
+def _store(spark: SparkSession, path: str):
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()), where
+
+
+def versions(spark: SparkSession, path: str) -> list[tuple[int, str]]:
+    """(number, folder name) of the commits of a store, oldest first."""
+    fs, where = _store(spark, f"{path}/_commits")
+    if not fs.exists(where):
+        return []
+    names = [f.getPath().getName() for f in fs.listStatus(where)]
+    return sorted((int(n), v) for n, _, v in (name.partition("-") for name in names) if n.isdigit() and v)
+
+
+def _claim(spark: SparkSession, path: str, number: int) -> bool:
+    """Takes a commit number by creating its lock file; False if another writer has it."""
+    fs, where = _store(spark, f"{path}/_numbers/{number:012d}")
+    try:
+        fs.create(where, False).close()
+    except Py4JJavaError as taken:
+        if taken.java_exception.getClass().getSimpleName() != "FileAlreadyExistsException":
+            raise
+        return False
+    return True
+
+
+def overwrite_store(df: DataFrame, path: str, keep: int = 3) -> int:
+    """Replace a store without touching what is being read; returns the number of the new version.
+
+    The rows are written to a folder of their own. Then the writer takes the next free commit number by creating its file,
+    which fails if another writer was first, in which case it tries the one after; so of two writers neither is lost
+    and the later number is the current version. Of older versions the ``keep`` newest stay, for readers under way.
+    ``df`` may itself come from ``read_store`` of the same path.
     """
-    version = uuid.uuid4().hex
-    df.write.parquet(f"{path}/version={version}")
-    pointer = df.sparkSession.range(1).select(F.lit(version).alias("version"), F.current_timestamp().alias("at"))
-    pointer.write.mode("append").parquet(f"{path}/_pointer")
-    return version
+    if keep < 1:
+        raise ValueError("at least one version is kept")
+    spark, name = df.sparkSession, uuid.uuid4().hex
+    df.write.parquet(f"{path}/version={name}")
+    number = max((n for n, _ in versions(spark, path)), default=0) + 1
+    while not _claim(spark, path, number):
+        number += 1
+    fs, where = _store(spark, f"{path}/_commits/{number:012d}-{name}")
+    fs.create(where, False).close()
+    for n, old in versions(spark, path)[:-keep]:
+        for gone in (f"{path}/_commits/{n:012d}-{old}", f"{path}/version={old}"):
+            fs, where = _store(spark, gone)
+            fs.delete(where, True)
+    return number
 
 
 def current_version(spark: SparkSession, path: str) -> str | None:
-    try:
-        row = spark.read.parquet(f"{path}/_pointer").orderBy(F.col("at").desc()).first()
-    except AnalysisException:
-        return None
-    return row["version"] if row else None
+    """Folder name of the newest version."""
+    found = versions(spark, path)
+    return found[-1][1] if found else None
 
 
 def read_store(spark: SparkSession, path: str) -> DataFrame:

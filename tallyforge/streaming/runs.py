@@ -11,6 +11,7 @@ from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 from ..operators.history import distinct_first
 from ..operators.memory import PROMOTE_AT, memory_candidates, promote
 from ..session import scratch_path
+from ..sources.sinks import exists
 
 
 def drain(stream: DataFrame, label: str, mode: str = "append") -> DataFrame:
@@ -62,13 +63,10 @@ def start_consolidation(
 
 def _earlier(spark: SparkSession, folder: str, fields: StructType, batch: int) -> DataFrame:
     """Rows that batches before ``batch`` have written below ``folder``; none before the first has."""
-    from pyspark.errors import AnalysisException
-
     schema = StructType([*fields.fields, StructField("batch", LongType())])
-    try:
-        return spark.read.schema(schema).parquet(folder).where(F.col("batch") < batch).drop("batch")
-    except AnalysisException:
+    if not exists(spark, folder):
         return spark.createDataFrame([], fields)
+    return spark.read.schema(schema).parquet(folder).where(F.col("batch") < batch).drop("batch")
 
 
 def start_dedup(
@@ -109,12 +107,9 @@ def start_promotion(
 
 def _last(spark: SparkSession, path: str, column: str, below: int) -> int:
     """Highest partition value under a folder that is lower than ``below``; -1 without any."""
-    from pyspark.errors import AnalysisException
-
-    try:
-        found = spark.read.parquet(path).where(F.col(column) < below).agg(F.max(column)).first()[0]
-    except AnalysisException:
+    if not exists(spark, path):
         return -1
+    found = spark.read.parquet(path).where(F.col(column) < below).agg(F.max(column)).first()[0]
     return -1 if found is None else int(found)
 
 

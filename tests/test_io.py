@@ -53,6 +53,40 @@ def test_store_can_be_rewritten_from_itself(spark):
     assert sorted(r["id"] for r in SK.read_store(spark, path).collect()) == [1, 2]
 
 
+def test_store_versions_are_numbered_and_none_is_lost(spark, monkeypatch):
+    from threading import Thread
+
+    path = scratch_path(spark, "store")
+    done = []
+    writers = [Thread(target=lambda i=i: done.append((SK.overwrite_store(spark.range(i, i + 1), path, keep=9), i))) for i in range(4)]
+    for w in writers:
+        w.start()
+    for w in writers:
+        w.join()
+    assert sorted(n for n, _ in done) == [1, 2, 3, 4] == [n for n, _ in SK.versions(spark, path)]
+    assert SK.read_store(spark, path).first()["id"] == dict(done)[4]
+    # a writer that sees an old listing still gets a number of its own
+    real = SK.versions
+    monkeypatch.setattr(SK, "versions", lambda s, p: real(s, p)[:1])
+    assert SK.overwrite_store(spark.range(7, 8), path, keep=9) == 5
+    monkeypatch.setattr(SK, "versions", real)
+    assert SK.overwrite_store(spark.range(8, 9), path, keep=2) == 6
+    assert [n for n, _ in SK.versions(spark, path)] == [5, 6] and SK.read_store(spark, path).first()["id"] == 8
+
+
+def test_line_numbers_do_not_depend_on_splits(spark, tmp_path):
+    texts = {"a.log": "\n".join(f"a{i}" + "x" * (i % 40) for i in range(400)) + "\n", "b.b.log": "one\n\nthree", "empty.log": ""}
+    root = tree(tmp_path, texts)
+    want = sorted((name.split(".")[0], i + 1, line) for name, text in texts.items() for i, line in enumerate(text.split("\n")) if line)
+    before = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    for size in ("700b", "2500b", "128m"):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        spark.conf.set("spark.sql.files.openCostInBytes", "1")
+        assert sorted((r["service"], r["line"], r["message"]) for r in LG.read_logs(spark, f"{root}/*.log").collect()) == want
+    for k, v in before.items():
+        spark.conf.set(k, v)
+
+
 def test_append_is_partitioned_by_day(spark):
     path = scratch_path(spark, "events")
     rows = spark.createDataFrame([(1, dt.datetime(2024, 1, 1)), (2, dt.datetime(2024, 1, 2))], "id int, ts timestamp")
