@@ -20,21 +20,60 @@ def word_count(text: Column) -> Column:
     return F.size(F.filter(F.split(text, r"\s+"), lambda w: w != ""))
 
 
+def _bounded(pattern: str) -> str:
+    return ascii_bounds(rf"\b(?:{pattern})\b")
+
+
+def _risk(low: Column) -> Column:
+    level = F.lit("low")
+    for _, sev, p in reversed(R.RISKS):
+        level = F.when(low.rlike(p), sev).otherwise(level)
+    return level
+
+
+def _language(low: Column) -> Column:
+    code, pattern = R.SECOND_LANGUAGE
+    return F.when(low.rlike(pattern), code).otherwise("en")
+
+
 def prompt_intents(df: DataFrame, text: str = "text", rules: Sequence[tuple[str, str]] = R.INTENTS) -> DataFrame:
-    """Adds intents (comma list in rule order), the primary one, words, complexity, language and risk."""
+    """Adds intents (comma list in rule order), the primary one, words, complexity, language and risk.
+
+    A prompt with no intent that calls for a skill counts as ``implement`` if it has code words.
+    """
     low = F.lower(squeeze(F.col(text)))
     base = df.withColumn("_low", low).withColumn("words", word_count(F.col(text)))
     t = F.col("_low")
-    hits = present([F.when(t.rlike(ascii_bounds(rf"\b(?:{p})\b")), F.lit(name)) for name, p in rules])
-    code, pattern = R.SECOND_LANGUAGE
-    level = F.lit("low")
-    for _, sev, p in reversed(R.RISKS):
-        level = F.when(t.rlike(p), sev).otherwise(level)
+    hits = present([F.when(t.rlike(_bounded(p)), F.lit(name)) for name, p in rules])
+    idle = ~F.exists("_hits", lambda h: ~h.isin(*R.NO_SKILL)) & t.rlike(_bounded(R.CODE_WORDS))
     n = F.col("words")
-    return base.withColumn("_hits", hits).withColumns({
+    return base.withColumn("_hits", hits).withColumn("_hits", F.when(idle, F.array_append("_hits", F.lit("implement"))).otherwise(F.col("_hits"))).withColumns({
         "intents": F.array_join("_hits", ","), "primary_intent": F.coalesce(F.get("_hits", F.lit(0)), F.lit("unknown")),
         "complexity": F.when(n > R.COMPLEX_WORDS, "complex").when(n > R.STANDARD_WORDS, "standard").otherwise("simple"),
-        "language": F.when(t.rlike(pattern), code).otherwise("en"), "risk": level,
+        "language": _language(t), "risk": _risk(t),
+    }).drop("_low", "_hits")
+
+
+def context_intents(df: DataFrame, text: str = "text", rules: Sequence[tuple[str, str, str]] = R.CONTEXT_SKILLS) -> DataFrame:
+    """Adds skills and intents (comma lists in rule order, one entry per rule), the primary intent, words, complexity by
+    words and length, language and risk. The last rule counts only if no other does; without any the skill is ``none``."""
+    base = df.withColumns({"_low": F.lower(squeeze(F.col(text))), "words": word_count(F.col(text))})
+    t, n = F.col("_low"), F.col("words")
+
+    def found(skill: str, intent: str, pattern: str) -> Column:
+        return F.when(t.rlike(_bounded(pattern)), F.struct(F.lit(skill).alias("skill"), F.lit(intent).alias("intent")))
+
+    first, last = present([found(*r) for r in rules[:-1]]), present([found(*rules[-1])])
+    base = base.withColumn("_hits", first).withColumn("_hits", F.when(F.size("_hits") > 0, F.col("_hits")).otherwise(last))
+    large, ordinary = t.rlike(_bounded(R.LARGE_WORDS)), t.rlike(_bounded(R.ORDINARY_WORDS)) & (n > R.ORDINARY_LENGTH)
+    some = F.size("_hits") > 0
+    return base.withColumns({
+        "skills": F.when(some, F.array_join("_hits.skill", ",")).otherwise("none"),
+        "intents": F.when(some, F.array_join("_hits.intent", ",")).otherwise("unknown"),
+        "primary_intent": F.coalesce(F.get("_hits.intent", F.lit(0)), F.lit("unknown")),
+        "complexity": F.when(n > R.COMPLEX_WORDS, "complex").when(ordinary, "standard").when(large, "complex")
+        .when(n > R.STANDARD_WORDS, "standard").otherwise("simple"),
+        "language": _language(t), "risk": _risk(t),
     }).drop("_low", "_hits")
 
 

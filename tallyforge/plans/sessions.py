@@ -33,14 +33,57 @@ _WORDS = r"len(list_filter(string_split_regex(text, '\s+'), lambda w: w <> ''))"
 
 @query("prompt_intents", with_sql("prompts", f"""
 , l AS (SELECT *, lower(trim(regexp_replace(text, '\\s+', ' ', 'g'))) AS low, {_WORDS} AS n FROM prompts),
-h AS (SELECT *, list_filter([{", ".join(f"CASE WHEN regexp_matches(low, {q(chr(92) + 'b(?:' + p + ')' + chr(92) + 'b')}) THEN '{i}' END" for i, p in PR.INTENTS)}], lambda x: x IS NOT NULL) AS k FROM l)
+h AS (SELECT *, list_filter([{", ".join(f"CASE WHEN regexp_matches(low, {q(chr(92) + 'b(?:' + p + ')' + chr(92) + 'b')}) THEN '{i}' END" for i, p in PR.INTENTS)}], lambda x: x IS NOT NULL) AS k FROM l),
+g AS (SELECT * REPLACE (CASE WHEN len(list_filter(k, lambda x: x NOT IN ('batch', 'export', 'plan', 'ask'))) = 0 AND regexp_matches(low, {q(chr(92) + 'b(?:' + PR.CODE_WORDS + ')' + chr(92) + 'b')}) THEN list_append(k, 'implement') ELSE k END AS k) FROM h)
 SELECT id, n::INT AS words, array_to_string(k, ',') AS intents, coalesce(k[1], 'unknown') AS primary_intent, CASE WHEN n > 150 THEN 'complex' WHEN n > 50 THEN 'standard' ELSE 'simple' END AS complexity,
  CASE WHEN regexp_matches(low, {q(PR.SECOND_LANGUAGE[1])}) THEN 'id' ELSE 'en' END AS language,
- CASE {" ".join(f"WHEN regexp_matches(low, {q(p)}) THEN '{s}'" for _, s, p in PR.RISKS)} ELSE 'low' END AS risk FROM h"""))
+ CASE {" ".join(f"WHEN regexp_matches(low, {q(p)}) THEN '{s}'" for _, s, p in PR.RISKS)} ELSE 'low' END AS risk FROM g"""))
 def prompt_intents(t):
     return P.prompt_intents(prompts(t)).select("id", "words", "intents", "primary_intent", "complexity", "language", "risk")
 
 
+#: One prompt per skill in each language, code words alone, and none.
+SAID = [
+    "deploy the container with helm", "refactor this layer separation", "cek struktur dan kelemahan kode", "bikin fitur baru untuk endpoint ini", "perbaiki bug yang gagal",
+    "brainstorm a trade-off", "rekomendasi alternatif", "susun rencana dan tahapan", "write a unit test", "uji dengan pengujian", "draw a call graph", "update the readme",
+    "store this lesson for cross agent use", "simpan pelajaran ini, ingat", "hardcoded credential in the env file", "npm audit for a cve", "tak terpakai, mati kode",
+    "optimasi query yang lambat", "susun ulang dan rapikan", "server in production", "folder tsconfig", "bulk edit of kode", "jelaskan kode ini", "terima kasih"]
+
+
+def said(t):
+    return t.conversations.select(
+        F.concat_ws("-", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("id"),
+        F.concat_ws(" ", pick(SAID, (F.col("conv_id") * 5 + F.col("turn")) % len(SAID)), F.when(F.col("conv_id") % 3 == 0, F.col("text"))).alias("text"))
+
+
+def _has(pattern: str) -> str:
+    return f"regexp_matches(low, {q(chr(92) + 'b(?:' + pattern + ')' + chr(92) + 'b')})"
+
+
+_SAID_SQL = f"""
+WITH s AS (SELECT conv_id || '-' || turn AS id, list_extract({B.lit_list(SAID)}, ((conv_id * 5 + turn) % {len(SAID)})::INT + 1) || CASE WHEN conv_id % 3 = 0 THEN ' ' || text ELSE '' END AS text FROM conversations),
+l AS (SELECT *, lower(trim(regexp_replace(text, '\\s+', ' ', 'g'))) AS low, {_WORDS} AS n FROM s)"""
+
+
+@query("context_intents", _SAID_SQL + f""",
+h AS (SELECT *, list_filter([{", ".join(f"CASE WHEN {_has(p)} THEN {{'s': '{a}', 'i': '{b}'}} END" for a, b, p in PR.CONTEXT_SKILLS[:-1])}], lambda x: x IS NOT NULL) AS k, {_has(PR.CONTEXT_SKILLS[-1][2])} AS late FROM l),
+g AS (SELECT *, CASE WHEN len(k) > 0 THEN list_transform(k, lambda x: x.s) WHEN late THEN ['deploy-docker'] ELSE ['none'] END AS sk, CASE WHEN len(k) > 0 THEN list_transform(k, lambda x: x.i) WHEN late THEN ['deploy'] ELSE ['unknown'] END AS it FROM h)
+SELECT id, n::INT AS words, array_to_string(sk, ',') AS skills, array_to_string(it, ',') AS intents, it[1] AS primary_intent,
+ CASE WHEN n > 150 THEN 'complex' WHEN {_has(PR.ORDINARY_WORDS)} AND n > 20 THEN 'standard' WHEN {_has(PR.LARGE_WORDS)} THEN 'complex' WHEN n > 50 THEN 'standard' ELSE 'simple' END AS complexity,
+ CASE WHEN regexp_matches(low, {q(PR.SECOND_LANGUAGE[1])}) THEN 'id' ELSE 'en' END AS language,
+ CASE {" ".join(f"WHEN regexp_matches(low, {q(p)}) THEN '{s}'" for _, s, p in PR.RISKS)} ELSE 'low' END AS risk FROM g""")
+def context_intents(t):
+    return P.context_intents(said(t)).select("id", "words", "skills", "intents", "primary_intent", "complexity", "language", "risk")
+
+
+@query("code_word_intents", _SAID_SQL + f""",
+h AS (SELECT *, list_filter([{", ".join(f"CASE WHEN {_has(p)} THEN '{i}' END" for i, p in PR.INTENTS)}], lambda x: x IS NOT NULL) AS k FROM l)
+SELECT id, array_to_string(CASE WHEN len(list_filter(k, lambda x: x NOT IN ('batch', 'export', 'plan', 'ask'))) = 0 AND {_has(PR.CODE_WORDS)} THEN list_append(k, 'implement') ELSE k END, ',') AS intents FROM h""")
+def code_word_intents(t):
+    """Prompts without a skill of their own that name code."""
+    return P.prompt_intents(said(t)).select("id", "intents")
+
+
 @query("task_complexity", with_sql("prompts", f"""
 , s AS (SELECT id, {_WORDS} AS n, len(regexp_extract_all(text, {q(PR.FILE_MENTION)})) AS f, regexp_matches(text, {q(PR.COMPLEX_TASK)}) AS c, regexp_matches(text, {q(PR.SIMPLE_TASK)}) AS e FROM prompts),
 p AS (SELECT id, greatest(0, least(8, CASE WHEN n > 80 THEN 3 WHEN n > 40 THEN 2 WHEN n > 20 THEN 1 ELSE 0 END + CASE WHEN f >= 5 THEN 3 WHEN f >= 3 THEN 2 WHEN f >= 1 THEN 1 ELSE 0 END + CASE WHEN c THEN 2 ELSE 0 END - CASE WHEN e THEN 2 ELSE 0 END)) AS score FROM s)
