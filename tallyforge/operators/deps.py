@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions.arrays import lookup, rank_of
 from ..functions.maths import half_up
 from ..functions.versions import version_lt
 from ..rules import packages as P
+from .history import numbered
 
 
 def advisories(spark: SparkSession, rows: Sequence[tuple] = P.ADVISORIES) -> DataFrame:
@@ -149,31 +150,12 @@ def conflicting_packages(lic: DataFrame) -> DataFrame:
 # --- SBOM ----------------------------------------------------------------------------
 
 
-def numbered(df: DataFrame, key: str, order: Sequence[str], bucket: Column) -> DataFrame:
-    """Adds ``seq`` 1..n per key in ``order``; ``bucket`` must be monotone in the first order column.
-
-    Rows are ranked inside (key, bucket) and shifted by the counts of earlier buckets, so a key
-    holding most rows is still spread over its buckets.
-    """
-    placed = df.withColumn("_b", bucket)
-    counts = placed.groupBy(key, "_b").agg(F.count(F.lit(1)).alias("_n"))
-    before = W.partitionBy(key).orderBy("_b").rowsBetween(W.unboundedPreceding, -1)
-    offsets = counts.select(key, "_b", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
-    inside = W.partitionBy(key, "_b").orderBy(*order)
-    return (
-        placed.withColumn("_rn", F.row_number().over(inside))
-        .join(offsets, [key, "_b"])
-        .withColumn("seq", (F.col("_rn") + F.col("_off")).cast("bigint"))
-        .drop("_b", "_rn", "_off")
-    )
-
-
 def sbom(deps: DataFrame, fmt: str = "spdx", tool: str = "tallyforge", created: str = "") -> DataFrame:
     """Document lines (repo, seq, text): concatenating a repo's lines by seq gives its document.
 
     spdx: SPDX 2.3 tag/value blocks. cyclonedx: CycloneDX 1.5 JSON, one component per line.
     """
-    rows = numbered(deps, "repo", ["name", "version", "ecosystem", "manifest"], F.left("name", F.lit(3)))
+    rows = numbered(deps, "repo", ["name", "version", "ecosystem", "manifest"])
     version = F.when(F.col("version") == "*", "0.0.0").otherwise(F.col("version"))
     repos = deps.select("repo").distinct()
     last = F.lit(9223372036854775807)

@@ -8,7 +8,7 @@ from ..functions import dates
 from ..functions.maths import half_up
 from ..functions.text import commit_parts
 from ..sources.files import extension
-from .history import first_rows, lookback, with_history
+from .history import first_rows, lookback, sharded, with_history
 
 
 def recent_commits(commits: DataFrame, days: int, now: Column, repo: str | None = None) -> DataFrame:
@@ -133,30 +133,23 @@ def changelog_entry(message: Column) -> Column:
 
 
 def with_release(commits: DataFrame, tags: DataFrame) -> DataFrame:
-    """Adds the first release at or after each commit; later commits are ``Unreleased``.
+    """Adds the first release at or after each commit; later commits are ``Unreleased``. tags(repo, version, ts).
 
-    tags(repo, version, ts). A release covers the time since the previous one; its interval is
-    laid out in months and joined on (repo, month), so one large repo spreads over its months.
+    Commits and tags lie in one order, a tag after the commits of its own time; the next tag is the last one seen from
+    behind, within a shard and, where a shard ends without one, the first of the shards after it.
     """
     from pyspark.sql import Window as W
 
-    prev = F.lag("ts").over(W.partitionBy("repo").orderBy("ts", "version"))
-    spans = tags.withColumn("_from", prev)
-    first = commits.groupBy("repo").agg(F.min("ts").alias("_min"))
-    month = lambda c: F.trunc(c, "month")
-    laid = (
-        spans.join(first, "repo")
-        .withColumn("_start", F.coalesce("_from", F.least("_min", "ts")))
-        .withColumn("_month", F.explode(F.sequence(month("_start"), month("ts"), F.make_ym_interval(F.lit(0), F.lit(1)))))
-        .select("repo", F.col("_month").alias("_span"), "version", "_from", F.col("ts").alias("_to"))
-    )
-    return (
-        commits.withColumn("_month", month("ts"))
-        .join(laid, (commits["repo"] == laid["repo"]) & (F.col("_month") == F.col("_span"))
-              & (F.col("ts") <= F.col("_to")) & (F.col("_from").isNull() | (F.col("ts") > F.col("_from"))), "left")
-        .select(commits["repo"], "hash", "author", "ts", "message",
-                F.coalesce("version", F.lit("Unreleased")).alias("version"))
-    )
+    both = commits.select("repo", "ts", F.lit(0).alias("_tag"), F.lit(None).cast("string").alias("version"), "hash", "author", "message").unionByName(
+        tags.select("repo", "ts", F.lit(1).alias("_tag"), "version"), allowMissingColumns=True)
+    rows = sharded(both, ["repo"], ["ts", "_tag", "version", "hash"])
+    behind = W.partitionBy("repo", "_shard").orderBy(F.desc("ts"), F.desc("_tag"), F.desc("version"))
+    seen = rows.withColumn("_next", F.last("version", ignorenulls=True).over(behind.rowsBetween(W.unboundedPreceding, W.currentRow)))
+    first = rows.groupBy("repo", "_shard").agg(F.min(F.when(F.col("_tag") == 1, F.struct("ts", "version"))).alias("_first"))
+    later = W.partitionBy("repo").orderBy(F.desc("_shard")).rowsBetween(W.unboundedPreceding, -1)
+    carried = first.select("repo", "_shard", F.last("_first", ignorenulls=True).over(later)["version"].alias("_carried"))
+    return seen.where("_tag = 0").join(carried, ["repo", "_shard"]).select(
+        "repo", "hash", "author", "ts", "message", F.coalesce("_next", "_carried", F.lit("Unreleased")).alias("version"))
 
 
 def changelog(commits: DataFrame, tags: DataFrame) -> DataFrame:
@@ -244,12 +237,12 @@ def bench_regression(runs: DataFrame) -> DataFrame:
 
 
 def bench_history(runs: DataFrame) -> DataFrame:
-    """Every run with the mean of up to nine runs before it; yearly buckets with carried rows."""
-    placed = runs.select("name", F.year("ts").alias("_bucket"), "ts", "seq", "duration")
+    """Every run with the mean of up to nine runs before it; a shard gets the last nine rows of those before it."""
     order = ["ts", "seq"]
-    frame = lookback(["name"], "_bucket", order).rowsBetween(-9, -1)
+    placed = sharded(runs.select("name", "ts", "seq", "duration"), ["name"], order)
+    frame = lookback(["name"], "_shard", order).rowsBetween(-9, -1)
     return (
-        with_history(placed, ["name"], "_bucket", order, 9)
+        with_history(placed, ["name"], "_shard", order, 9)
         .withColumn("baseline", F.avg("duration").over(frame))
         .where(~F.col("carried"))
         .select("name", "ts", "seq", "duration", "baseline")

@@ -12,6 +12,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from ..session import pinned
+
 
 def with_history(
     df: DataFrame, keys: Sequence[str], bucket: str, order: Sequence[str], k: int
@@ -44,6 +46,32 @@ def lookback(keys: Sequence[str], bucket: str, order: Sequence[str]) -> W:
     return W.partitionBy(*keys, bucket).orderBy(*[F.col(c) for c in order])
 
 
+def sharded(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
+    """``df`` with ``_shard``, monotone in ``order`` within a key: rows are range-partitioned and kept as they lie.
+
+    A key holding most rows spans as many shards as its share; whatever must cross from one shard to the next is a row
+    per (key, shard). Null and equal rows keep together.
+    """
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    cut = df.repartitionByRange(n, *keys, *order).withColumn("_shard", F.spark_partition_id())
+    return pinned(cut)
+
+
+def numbered(df: DataFrame, key: str, order: Sequence[str]) -> DataFrame:
+    """Adds ``seq`` 1..n per key in ``order``: ranks inside (key, shard), shifted by the counts of earlier shards."""
+    placed = sharded(df, [key], order)
+    counts = placed.groupBy(key, "_shard").agg(F.count(F.lit(1)).alias("_n"))
+    before = W.partitionBy(key).orderBy("_shard").rowsBetween(W.unboundedPreceding, -1)
+    offsets = counts.select(key, "_shard", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
+    inside = W.partitionBy(key, "_shard").orderBy(*order)
+    return (
+        placed.withColumn("_rn", F.row_number().over(inside))
+        .join(offsets, [key, "_shard"])
+        .withColumn("seq", (F.col("_rn") + F.col("_off")).cast("bigint"))
+        .drop("_shard", "_rn", "_off")
+    )
+
+
 def time_bucket(ts_ms: Column, width_ms: int) -> Column:
     return F.floor(ts_ms / F.lit(width_ms))
 

@@ -67,12 +67,41 @@ def test_license_pairs_equal_the_plain_product(spark):
     assert got == dict(want)
 
 
-def test_sequence_numbers_over_buckets(spark):
-    rows = [("r", f"{chr(97 + i % 7)}{i % 13:02d}", i) for i in range(200)]
+def test_sequence_numbers_over_shards(spark):
+    """One key holds most rows; a third of all rows are equal in all order columns but the last."""
+    from tallyforge.operators.history import numbered
+
+    rows = [("r" if i % 9 else None, "same" if i % 3 == 0 else f"{chr(97 + i % 7)}{i % 13:02d}", i) for i in range(300)]
     df = spark.createDataFrame(rows, "repo string, name string, i int")
-    got = {r["i"]: r["seq"] for r in D.numbered(df, "repo", ["name", "i"], F.left("name", F.lit(1))).collect()}
-    want = {r[2]: n for n, r in enumerate(sorted(rows, key=lambda r: (r[1], r[2])), 1)}
-    assert got == want
+    placed = numbered(df, "repo", ["name", "i"]).collect()
+    for key in ("r", None):
+        mine = sorted((r for r in rows if r[0] == key), key=lambda r: (r[1], r[2]))
+        got = {r["i"]: r["seq"] for r in placed if r["repo"] == key}
+        if key is not None:
+            assert got == {r[2]: n for n, r in enumerate(mine, 1)}
+
+
+def test_releases_and_bench_history_of_one_hot_key(spark):
+    import datetime as dt
+    import random
+
+    from tallyforge.operators import gitstats as G
+
+    r = random.Random(3)
+    at = lambda k: dt.datetime(2024, 1, 1) + dt.timedelta(hours=k)
+    commits = [("hot" if r.random() < 0.9 else "cold", f"h{i}", "a", at(r.randrange(3000)), "feat: x") for i in range(600)]
+    tags = [("hot", f"v{k:04d}", at(k)) for k in (5, 5, 700, 701, 2000)] + [("cold", "v1", at(1500)), ("none", "v9", at(1))]
+    out = G.with_release(spark.createDataFrame(commits, "repo string, hash string, author string, ts timestamp, message string"),
+                         spark.createDataFrame(tags, "repo string, version string, ts timestamp"))
+    want = {c[1]: min(((t, v) for repo, v, t in tags if repo == c[0] and t >= c[3]), default=(None, "Unreleased"))[1] for c in commits}
+    assert {x["hash"]: x["version"] for x in out.collect()} == want
+    runs = [("b" if i % 10 else "other", at(r.randrange(50)), i, float(r.randrange(100))) for i in range(400)]
+    got = {x["seq"]: x["baseline"] for x in G.bench_history(spark.createDataFrame(runs, "name string, ts timestamp, seq long, duration double")).collect()}
+    for name in ("b", "other"):
+        mine = sorted(x for x in runs if x[0] == name)
+        for i, x in enumerate(mine):
+            before = [y[3] for y in mine[max(0, i - 9):i]]
+            assert got[x[2]] == (sum(before) / len(before) if before else None)
 
 
 def test_istanbul_counts(spark):
