@@ -17,6 +17,8 @@ HIGH_IS_BEST = {"low": 1, "medium": 2, "high": 3}
 # Similarity floor and result size.
 MIN_SIMILARITY = 0.1
 SIMILAR = 5
+#: Contexts that become expressions; more meet the entries through a prefix filter.
+INLINE_CONTEXTS = 20
 
 
 def approach_score(a: Column, compat: bool = False) -> Column:
@@ -101,10 +103,18 @@ def similar_pairs(entries: DataFrame, contexts: DataFrame, least: float, text: s
 
 
 def similar_contexts(entries: DataFrame, contexts: Sequence[str] | DataFrame, k: int = SIMILAR, text: str = "context") -> DataFrame:
-    """The ``k`` entries most similar to each given context, a list or a table(query), by token overlap above the floor."""
-    if not isinstance(contexts, DataFrame):
-        contexts = entries.sparkSession.createDataFrame([(c,) for c in contexts], "query string")
-    scored = similar_pairs(entries, contexts, MIN_SIMILARITY, text, k)
+    """The ``k`` entries most similar to each given context, a list or a table(query), by token overlap above the floor.
+
+    A few contexts are scored in one scan of the entries; more, or a table, through ``similar_pairs``.
+    """
+    if isinstance(contexts, DataFrame) or len(contexts) > INLINE_CONTEXTS:
+        if not isinstance(contexts, DataFrame):
+            contexts = entries.sparkSession.createDataFrame([(c,) for c in contexts], "query string")
+        scored = similar_pairs(entries, contexts, MIN_SIMILARITY, text, k)
+    else:
+        hits = [F.struct(F.lit(c).alias("query"), jaccard(tokens(F.lit(c)), F.col("_t")).alias("similarity")) for c in contexts]
+        close = F.filter(F.array(*hits), lambda h: h["similarity"] > MIN_SIMILARITY)
+        scored = entries.withColumn("_t", tokens(F.col(text))).select("id", F.explode(close).alias("_h")).select("_h.query", "id", "_h.similarity")
     return first_rows(scored, ["query"], [F.col("similarity").desc(), F.col("id")], k)
 
 

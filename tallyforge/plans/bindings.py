@@ -95,7 +95,7 @@ FAILURE_TYPES = ["tool", "test", "build", "hook"]
 
 
 def failures(t: Tables) -> DataFrame:
-    return t.events.where("event_type = 'error'").select(
+    return dealt(t.events.where("event_type = 'error'"), "event_id").select(
         F.col("event_id").alias("id"), "ts",
         pick(FAILURE_TYPES, F.col("event_id") % 4).alias("type"),
         F.concat(F.lit("tool"), (F.col("user_id") % 7).cast("string")).alias("tool"),
@@ -118,7 +118,7 @@ OUTCOMES = ["success", "failure", "partial"]
 
 def experiences(t: Tables) -> DataFrame:
     k = F.coalesce(F.get_json_object("props", "$.k"), F.lit("0"))
-    return t.events.select(
+    return dealt(t.events, "event_id").select(
         F.col("event_id").alias("id"), "ts", F.col("event_type").alias("task_type"),
         pick(OUTCOMES, F.col("event_id") % 3).alias("outcome"),
         F.array(

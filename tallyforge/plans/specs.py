@@ -514,7 +514,7 @@ def import_edges(t):
 def page_imports(t):
     from ..functions.text import captures
 
-    return t.pages.select(F.col("page_id").alias("p"), F.explode(captures(F.col("html"), 'href="([^"]*)"')).alias("target")).select(
+    return B.dealt(t.pages, "page_id").select(F.col("page_id").alias("p"), F.explode(captures(F.col("html"), 'href="([^"]*)"')).alias("target")).select(
         lit("web").alias("repo"), F.concat(lit("page"), s("p")).alias("src_path"), "target")
 
 
@@ -527,7 +527,7 @@ SELECT DISTINCT 'web' AS repo, 'dir/' || w || '.ts' AS path, w FROM (SELECT unne
 def word_files(t):
     from ..functions.text import captures
 
-    words = t.documents.select(F.explode(captures(F.col("text"), "([A-Za-z]+)")).alias("w")).distinct()
+    words = B.dealt(t.documents, "source", "doc_id").select(F.explode(captures(F.col("text"), "([A-Za-z]+)")).alias("w")).distinct()
     return words.select(lit("web").alias("repo"), F.concat(lit("dir/"), "w", lit(".ts")).alias("path"))
 
 
