@@ -25,8 +25,11 @@ def held_out() -> Column:
 
 
 def pseudonym_key(spark: SparkSession) -> bytes:
-    """Secret of the pseudonyms; production sets it, the default serves tests."""
-    return spark.conf.get("spark.tallyforge.pseudonym.key", "no secret").encode()
+    """Secret of the pseudonyms. A cluster must set it; on one machine (tests) an unset key is a fixed one."""
+    key = spark.conf.get("spark.tallyforge.pseudonym.key", None)
+    if key is None and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.tallyforge.pseudonym.key: anyone can undo pseudonyms of a known key")
+    return (key or "no secret").encode()
 
 
 @query
