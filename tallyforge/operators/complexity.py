@@ -24,6 +24,8 @@ DECISIONS = tuple(
     re.compile(p, re.A | re.M)
     for p in (r"\bif\s*\(", r"\bfor\s*\(", r"\bwhile\s*\(", r"^\s*case\s+.*:", r"\bcatch\s*\(", r"&&|\|\|", r"\?"))
 
+SOLID, STOP = re.compile(r"\S"), re.compile("[;,]")
+
 FUNCTION_SCHEMA = "repo string, path string, name string, line int, complexity int, params int, n_lines int"
 
 
@@ -65,11 +67,12 @@ def functions_of(code: str) -> list[tuple[str, int, int, int, int]]:
         if line in seen:
             continue
         seen.add(line)
-        start = m.end() + len(code[m.end():]) - len(code[m.end():].lstrip())
+        solid = SOLID.search(code, m.end())
+        start = solid.start() if solid else len(code)
         if code.startswith("{", start):
             end = partner.get(start, len(code) - 1) + 1
         else:
-            stop = re.compile(r"[;,]").search(code, start)
+            stop = STOP.search(code, start)
             end = stop.start() if stop else len(code)
         emit(m.group(1), line, start, end, _params(m.group()))
     return out

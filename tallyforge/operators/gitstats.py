@@ -82,12 +82,18 @@ def bus_factor(blame: DataFrame, threshold: int = 2) -> DataFrame:
     )
 
 
-def review_fatigue(commits: DataFrame) -> DataFrame:
-    """Commits per author, share of all commits, and whether the share exceeds one half."""
-    counts = commits.where(F.trim("author") != "").groupBy("author").agg(F.count(F.lit(1)).alias("commits"))
-    total = commits.where(F.trim("author") != "").agg(F.count(F.lit(1)).alias("_n")).scalar()
-    return counts.withColumn("_share", F.col("commits") / total).select(
-        "author", "commits", half_up(F.col("_share"), 4).alias("share"), (F.col("_share") > 0.5).alias("fatigue_risk"))
+def review_fatigue(commits: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """Commits per author (of each ``by`` group, such as the repo), share of all commits there, and whether the share
+    exceeds one half."""
+    counts = commits.where(F.trim("author") != "").groupBy(*by, "author").agg(F.count(F.lit(1)).alias("commits"))
+    if by:
+        # authors per group are few rows; their sum needs no second reading of the commits
+        total = counts.groupBy(*by).agg(F.sum("commits").alias("_n"))
+        shared = counts.join(total, list(by)).withColumn("_share", F.col("commits") / F.col("_n"))
+    else:
+        total = commits.where(F.trim("author") != "").agg(F.count(F.lit(1)).alias("_n")).scalar()
+        shared = counts.withColumn("_share", F.col("commits") / total)
+    return shared.select(*by, "author", "commits", half_up(F.col("_share"), 4).alias("share"), (F.col("_share") > 0.5).alias("fatigue_risk"))
 
 
 def commit_type(message: Column) -> Column:

@@ -74,6 +74,14 @@ def review_fatigue(t):
     return G.review_fatigue(B.commits(t))
 
 
+@query("review_fatigue_by_repo", with_sql("commits", """
+, n AS (SELECT repo, count(*) AS n FROM commits GROUP BY 1)
+SELECT repo, author, count(*) AS commits, floor(count(*)::DOUBLE / any_value(n)::DOUBLE * 10000::DOUBLE + 0.5::DOUBLE)::DOUBLE / 10000::DOUBLE AS share,
+ count(*) > 0.5 * any_value(n) AS fatigue_risk FROM commits JOIN n USING (repo) GROUP BY 1, 2"""))
+def review_fatigue_by_repo(t):
+    return G.review_fatigue(B.commits(t), ("repo",))
+
+
 _TYPE = r"coalesce(nullif(regexp_extract(message, '^(\w+)(?:\(.+\))?:', 1), ''), 'other')"
 
 

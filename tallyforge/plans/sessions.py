@@ -308,10 +308,79 @@ def declared_names(t):
 # --- complexity ----------------------------------------------------------------------
 
 
-@query("discovered_functions")
+def _places(name: str, rx: str, text: str = "content") -> str:
+    """Texts and 0-based places of all matches of a pattern, from what lies between them."""
+    return (f"list_transform(range(1, len({name}x) + 1), lambda k: {{'m': {name}x[k], 'pos': (list_sum(list_transform({name}p[1:k], lambda z: length(z))) "
+            f"+ coalesce(list_sum(list_transform({name}x[1:k - 1], lambda z: length(z))), 0))::BIGINT}}) AS {name}",
+            f"string_split_regex({text}, {q(rx)}) AS {name}p, regexp_extract_all({text}, {q(rx)}) AS {name}x")
+
+
+_POINTS = [("d" + str(i), ("(?m)" if p.pattern.startswith("^") else "") + p.pattern) for i, p in enumerate(CX.DECISIONS)]
+_ALL_PLACES = [_places("f", CX.FUNCTION.pattern), _places("w", CX.ARROW.pattern), *[_places(n, p) for n, p in _POINTS], _places("b", "[{}]")]
+_NAME = " ".join(f"WHEN regexp_matches(m, {q(p.pattern)}) THEN regexp_extract(m, {q(p.pattern)}, 1)" for p in CX.NAMES)
+define("found_functions", f"""
+WITH src AS (SELECT doc_id, repo, path, coalesce(content, '') AS content FROM code_files),
+cut AS (SELECT *, {", ".join(c for _, c in _ALL_PLACES)} FROM src),
+spots AS (SELECT doc_id, repo, path, content, {", ".join(a for a, _ in _ALL_PLACES)} FROM cut),
+brace AS (SELECT doc_id, u.pos AS pos, u.m AS m, sum(CASE u.m WHEN '{{' THEN 1 ELSE -1 END) OVER (PARTITION BY doc_id ORDER BY u.pos) AS s FROM (SELECT doc_id, unnest(b) AS u FROM spots)),
+deep AS (SELECT *, s - least(0, min(s) OVER (PARTITION BY doc_id ORDER BY pos)) AS depth FROM brace),
+pair AS (SELECT o.doc_id, o.pos AS open, min(c.pos) AS close FROM deep o LEFT JOIN deep c ON c.doc_id = o.doc_id AND c.m = '}}' AND c.pos > o.pos AND c.depth = o.depth - 1 WHERE o.m = '{{' GROUP BY ALL),
+point AS (SELECT doc_id, unnest(list_concat({", ".join(n for n, _ in _POINTS)})).pos AS pos FROM spots),
+shape AS (SELECT doc_id, repo, path, content, 0 AS kind, unnest(f) AS u FROM spots UNION ALL SELECT doc_id, repo, path, content, 1, unnest(w) FROM spots),
+line AS (SELECT doc_id, repo, path, content, kind, u.m AS m, u.pos AS pos, 1 + length(left(content, u.pos::INT)) - length(replace(left(content, u.pos::INT), chr(10), '')) AS line FROM shape),
+one AS (SELECT *, row_number() OVER (PARTITION BY doc_id, line ORDER BY kind, pos) AS rn FROM line),
+body AS (SELECT *, pos + length(m) + length(regexp_extract(substr(content, (pos + length(m) + 1)::INT), '^\s*')) AS solid FROM one WHERE rn = 1),
+span AS (
+ SELECT b.*, CASE WHEN m = '' THEN '' {_NAME} ELSE '(anonymous)' END AS name, pos AS start, p.close + 1 AS stop FROM body b JOIN pair p ON p.doc_id = b.doc_id AND p.open = (SELECT min(open) FROM pair z WHERE z.doc_id = b.doc_id AND z.open >= b.pos) WHERE kind = 0 AND p.close IS NOT NULL
+ UNION ALL SELECT b.*, regexp_extract(m, {q(CX.ARROW.pattern)}, 1), solid,
+  CASE WHEN substr(content, (solid + 1)::INT, 1) = '{{' THEN coalesce(p.close, length(content) - 1) + 1
+   ELSE solid + length(regexp_extract(substr(content, (solid + 1)::INT), '^[^;,]*')) END
+  FROM body b LEFT JOIN pair p ON p.doc_id = b.doc_id AND p.open = solid WHERE kind = 1)
+SELECT doc_id, repo, path, name, line::INT AS line, 1 + (SELECT count(*) FROM point p WHERE p.doc_id = span.doc_id AND p.pos >= start AND p.pos < stop)::INT AS complexity,
+ CASE WHEN trim(regexp_extract(m, '\(([^)]*)\)', 1)) = '' THEN 0 ELSE len(string_split(regexp_extract(m, '\(([^)]*)\)', 1), ',')) END::INT AS params,
+ (1 + length(substr(content, (start + 1)::INT, (stop - start)::INT)) - length(replace(substr(content, (start + 1)::INT, (stop - start)::INT), chr(10), '')))::INT AS n_lines FROM span""", ("code_files",))
+
+
+#: Files whose functions are looked for.
+CODE_PATH = r"\.(ts|tsx|js|jsx|java|go)$"
+define("code_fns", f"SELECT * FROM found_functions WHERE regexp_matches(path, {q(CODE_PATH)})", ("found_functions",))
+
+
+def code_functions(t, keep="true"):
+    return CX.discover_functions(B.code_files(t).where(F.col("path").rlike(CODE_PATH)).where(keep))
+
+
+@query("discovered_functions", with_sql("code_fns", "SELECT repo, path, name, line, complexity, params, n_lines FROM code_fns"))
 def discovered_functions(t):
-    """Brace matching has no SQL form; checked against brute force in the tests."""
-    return CX.discover_functions(B.code_files(t).where(F.col("path").rlike(r"\.(ts|tsx|js|jsx|java|go)$")))
+    return code_functions(t)
+
+
+_CX = "sum(complexity)::DOUBLE / count(*)::DOUBLE AS average, max(complexity) AS maximum, count(*) AS functions"
+
+
+@query("code_complexity", with_sql("code_fns", f"SELECT repo, path, {_CX} FROM code_fns GROUP BY ALL"))
+def code_complexity(t):
+    return CX.file_complexity(code_functions(t))
+
+
+@query("code_complexity_overall", with_sql("code_fns", "SELECT count(DISTINCT (repo, path)) AS files, sum(complexity)::DOUBLE / count(*)::DOUBLE AS overall_average FROM code_fns"))
+def code_complexity_overall(t):
+    return CX.overall_complexity(code_functions(t))
+
+
+@query("code_hotspots", with_sql("code_fns", f"SELECT repo, path, average FROM (SELECT repo, path, {_CX} FROM code_fns GROUP BY ALL) WHERE average > 1.5"))
+def code_hotspots(t):
+    return CX.hotspots(CX.file_complexity(code_functions(t)), 1.5).select("repo", "path", "average")
+
+
+@query("code_complexity_changes", with_sql("code_fns", f"""
+, b AS (SELECT repo, path, {_CX} FROM code_fns WHERE doc_id % 20 <> 10 GROUP BY ALL), a AS (SELECT repo, path, {_CX} FROM code_fns WHERE doc_id % 20 <> 0 GROUP BY ALL),
+r AS (SELECT a.repo, a.path, 'average' AS metric, b.average AS before, a.average AS after FROM a JOIN b USING (repo, path) UNION ALL SELECT a.repo, a.path, 'maximum', b.maximum::DOUBLE, a.maximum::DOUBLE FROM a JOIN b USING (repo, path)
+ UNION ALL SELECT a.repo, a.path, 'functions', coalesce(b.functions, 0)::DOUBLE, a.functions::DOUBLE FROM a LEFT JOIN b USING (repo, path))
+SELECT repo, path, metric, before, after, after - before AS change FROM r WHERE after <> before"""))
+def code_complexity_changes(t):
+    """The tree before and after: each lacks the files the other has added."""
+    return CX.complexity_changes(CX.file_complexity(code_functions(t, "doc_id % 20 <> 10")), CX.file_complexity(code_functions(t, "doc_id % 20 <> 0")))
 
 
 def function_rows(t):
