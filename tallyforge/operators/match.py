@@ -102,19 +102,26 @@ def bug_findings(
 def diff_lines(diffs: DataFrame) -> DataFrame:
     """Added lines of unified diffs(diff_id, lang, content) with the file they belong to.
 
-    The current file is the last header above a line; each window holds the lines of one diff
-    text, never more than one row of the input.
+    A text is cut before its file headers; each part carries its path and the number of lines before it, so no line leaves its
+    row's task.
     """
-    from pyspark.sql import Window as W
-
-    rows = diffs.select("diff_id", "lang", F.posexplode(F.split("content", "\n")).alias("_pos", "raw"))
-    header = F.regexp_extract("raw", r"^\+\+\+\s+(?:b/)?(.+)$", 1)
-    spec = W.partitionBy("diff_id").orderBy("_pos")
+    header = r"(?<![^\n])\+\+\+[^\S\n]+(?:b/)?([^\n]+)"
+    parts = F.split("content", r"(?=(?<![^\n])\+\+\+[^\S\n])")
+    said = F.array().cast("array<struct<path:string,before:int,body:string>>")
+
+    def step(acc: Column, part: Column) -> Column:
+        named = F.regexp_extract(part, "^" + header, 1)
+        path = F.when(named != "", named).otherwise(acc["path"])
+        return F.struct(
+            path.alias("path"), (acc["n"] + F.length(part) - F.length(F.replace(part, F.lit("\n"), F.lit("")))).alias("n"),
+            F.concat(acc["out"], F.array(F.struct(path.alias("path"), acc["n"].alias("before"), part.alias("body")))).alias("out"))
+
+    start = F.struct(F.lit("").alias("path"), F.lit(0).alias("n"), said.alias("out"))
+    rows = diffs.select("diff_id", "lang", F.explode(F.aggregate(parts, start, step)["out"]).alias("_p"))
+    lines = rows.select("diff_id", "lang", "_p.path", "_p.before", F.posexplode(F.split("_p.body", "\n")).alias("_pos", "raw"))
     return (
-        rows.withColumn("path", F.last(F.nullif(header, F.lit("")), ignorenulls=True).over(spec))
-        .where(F.col("raw").startswith("+") & ~F.col("raw").startswith("+++"))
-        .select(F.col("diff_id").alias("repo"), F.coalesce("path", F.lit("")).alias("path"),
-                (F.col("_pos") + 1).alias("line"), "lang",
+        lines.where(F.col("raw").startswith("+") & ~F.col("raw").startswith("+++"))
+        .select(F.col("diff_id").alias("repo"), "path", (F.col("before") + F.col("_pos") + 1).alias("line"), "lang",
                 strip(F.substring("raw", 2, 2147483647)).alias("text"))
         .where(F.col("text") != "")
     )

@@ -264,7 +264,7 @@ def _rule_sql(rule: bug_rules.Rule) -> str:
 # the multi-line rule can never match a single line, and its look-around has no RE2 form
 _ACTIVE = [r for r in bug_rules.RULES if r.active and r.rule_id != "async-missing-await"]
 define("lang_lines", f"""
-SELECT repo, path, line, text, {LANG_SQL} AS lang
+SELECT repo, path, line, text, doc_id, {LANG_SQL} AS lang
 FROM (SELECT *, lower(regexp_extract(path, '(\\.[^./]+)$', 1)) AS e FROM code_lines)""", ("code_lines",))
 define("findings", " UNION ALL ".join(_rule_sql(r) for r in _ACTIVE), ("lang_lines",))
 
@@ -317,16 +317,18 @@ def stored_critical_findings(t):
     return M.select_findings(stored, "critical", "security").select("repo", "path", "line", "category")
 
 
+_SPOKEN = lambda r: "true" if "*" in r.languages else f"lang IN ({', '.join(q(x) for x in r.languages)})"
+
+
 @query("bug_findings_in_diff", with_sql("code_files lang_lines", f"""
-, d AS (SELECT path, line, lang, text FROM lang_lines WHERE lang = 'ts'),
-e AS (SELECT f.path, d.line * 3 + 1 AS line, regexp_replace(d.text, '^\\s+|\\s+$', '', 'g') AS text FROM d JOIN (SELECT DISTINCT path FROM code_files) f USING (path))
-{" UNION ALL ".join(f"SELECT path AS repo, path, line::INT AS line, '{r.rule_id}' AS rule_id FROM e WHERE regexp_matches(text, {q(('(?i)' if r.ignore_case else '') + r.pattern)})" for r in _ACTIVE if 'ts' in r.languages)}"""))
+, e AS (SELECT f.repo || ':' || f.path || ':' || f.doc_id AS repo, f.path, d.line * 3 + 1 AS line, d.lang, regexp_replace(d.text, '^\\s+|\\s+$', '', 'g') AS text FROM lang_lines d JOIN code_files f USING (doc_id))
+{" UNION ALL ".join(f"SELECT repo, path, line::INT AS line, '{r.rule_id}' AS rule_id FROM e WHERE {_SPOKEN(r)} AND regexp_matches(text, {q(('(?i)' if r.ignore_case else '') + r.pattern)})" for r in _ACTIVE)}"""))
 def bug_findings_in_diff(t):
-    """Each TypeScript file as a diff: one header, then every line removed, added and kept."""
-    files = with_language(B.code_files(t)).where("lang = 'ts'")
+    """Every code file as a diff: one header, then every line removed, added and kept."""
+    files = with_language(B.code_files(t))
     marked = F.transform(F.split("content", "\n"), lambda x: F.concat(F.lit("-x\n "), F.lit("kept"), F.lit("\n+"), x))
     diffs = files.select(
-        F.col("path").alias("diff_id"), "lang",
+        F.concat_ws(":", "repo", "path", F.col("doc_id").cast("string")).alias("diff_id"), "lang",
         F.concat(F.lit("+++ b/"), "path", F.lit("\n"), F.array_join(marked, "\n")).alias("content"))
     return M.bug_findings_diff(diffs).select("repo", "path", "line", "rule_id")
 

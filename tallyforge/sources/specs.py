@@ -2,35 +2,31 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.text import captures
 from ..operators.history import first_rows
-from .files import to_lines
 
-# Model headers, methods kept, response codes compared.
-MODEL_HEADER = r"(?i)^\s*(?:model|table|entity)\s+(\w+)\s*\{"
+# Methods kept, response codes compared.
 METHODS = ("get", "post", "put", "patch", "delete", "head", "options", "trace")
 CODES = ("200", "201", "default")
 
 
-def last_header(lines: DataFrame, header, keys: tuple[str, ...] = ("repo", "path")) -> DataFrame:
-    """Adds ``section``: the latest non-null header value at or above a line of the same file."""
-    spec = W.partitionBy(*keys).orderBy("line")
-    return lines.withColumn("section", F.last(header, ignorenulls=True).over(spec))
-
-
 def read_schema_models(files: DataFrame) -> DataFrame:
-    """(repo, path, entity, field, type) of ``model X {`` blocks; a repeated field keeps its last line."""
-    text = F.col("text")
-    name = F.regexp_extract(text, MODEL_HEADER, 1)
-    mark = F.when(name != "", name).when(text.rlike(r"^\s*\}\s*$"), "")
+    """(repo, path, entity, field, type) of ``model X {`` blocks; a repeated field keeps its last line.
+
+    A text is cut before its block headers and closing lines, so a line finds its block in its own part; only field rows
+    are exchanged, for the last of a repeated one.
+    """
+    head = r"[^\S\n]*(?i:model|table|entity)[^\S\n]+(\w+)[^\S\n]*\{"
+    parts = F.split("content", rf"(?<![^\n])(?={head}|[^\S\n]*\}}[^\S\n]*(?:\n|\z))")
+    blocks = files.select("repo", "path", F.posexplode(parts).alias("_at", "_block")).select(
+        "repo", "path", "_at", F.regexp_extract("_block", rf"^{head}", 1).alias("entity"), "_block").where(F.col("entity") != "")
+    rows = blocks.select("repo", "path", "entity", "_at", F.posexplode(F.split("_block", "\n")).alias("_pos", "_text")).where("_pos > 0")
     field = r"^\s+(\w+)\s+(\S+)"
-    rows = last_header(to_lines(files), mark).where(
-        (F.col("section") != "") & (name == "") & text.rlike(field) & ~F.ltrim(text).startswith("@@"))
-    found = rows.select("repo", "path", F.col("section").alias("entity"), "line",
-                        F.regexp_extract(text, field, 1).alias("field"), F.regexp_extract(text, field, 2).alias("type"))
-    return first_rows(found, ["repo", "path", "entity", "field"], [F.col("line").desc()]).drop("line")
+    found = rows.where(F.col("_text").rlike(field) & ~F.ltrim("_text").startswith("@@")).select(
+        "repo", "path", "entity", "_at", "_pos", F.regexp_extract("_text", field, 1).alias("field"), F.regexp_extract("_text", field, 2).alias("type"))
+    return first_rows(found, ["repo", "path", "entity", "field"], [F.col("_at").desc(), F.col("_pos").desc()]).drop("_at", "_pos")
 
 
 def _variants(df: DataFrame, col: str, keep: list[str], key: str, value: str) -> DataFrame:
