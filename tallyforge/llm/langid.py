@@ -20,10 +20,11 @@ from pyspark.sql import DataFrame, Window, functions as F
 from .encoding import Memo
 from .frames import map_slices, texts
 
-#: The fit reads at most so many documents and letters of a language, those of least hash first.
-SAMPLE_DOCS, SAMPLE_CHARS = 64, 30_000
-#: Languages of the fit, most frequent first: the bound of what the driver holds is the product of the three.
-MAX_LANGUAGES = 64
+#: The fit reads at most so many documents and letters of a language, those of least hash first, and of one document no
+#: more than a ``PARTS``-th of the letters.
+SAMPLE_DOCS, SAMPLE_CHARS, PARTS = 64, 30_000, 8
+#: Letters of all languages together, shared evenly where there are many: the bound of what the driver holds.
+ALL_CHARS = 64 * SAMPLE_CHARS
 #: Sharpness of the score: base-2 weight of one bit per letter.
 SHARPNESS = 8.0
 #: Labelled texts a language whose entropies give its bounds, about so many of least hash, none of them in the sample.
@@ -32,7 +33,9 @@ CHECK_DOCS = 1000
 QUANTILE, BAND_DOCS, SHORT = 0.99, 20, 32
 # Vowel signs, accents and joiners stand within words; re has no class of them.
 _MARKS = "\u200c\u200d" + "".join(c for c in map(chr, range(sys.maxunicode + 1)) if unicodedata.category(c)[0] == "M")
-_LETTERS = re.compile(rf"[^\W\d_](?:[^\W\d_]|[{_MARKS}])*")
+# Number forms such as fractions and circled digits are no letters, though \w has them.
+_NUMBERS = "".join(c for c in map(chr, range(sys.maxunicode + 1)) if unicodedata.category(c) in ("Nl", "No"))
+_LETTERS = re.compile(rf"[^\W\d_{_NUMBERS}](?:[^\W\d_{_NUMBERS}]|[{_MARKS}])*")
 _FIELD = 44
 _MASK = (1 << _FIELD) - 1
 
@@ -159,18 +162,25 @@ def _known(docs: DataFrame) -> DataFrame:
 
 
 def _learn(docs: DataFrame) -> tuple[dict[str, str], set[int]]:
-    """Samples and the hashes of the texts they were read from."""
+    """Samples and the hashes of the texts they were read from; texts are cut to their share before they leave their task."""
     known = _known(docs)
+    languages = known.select("lang").distinct().count()
+    most = min(SAMPLE_CHARS, max(1, ALL_CHARS // max(1, languages)))
+    share = -(-most // PARTS)
+
+    def step(batch):
+        cut = [" ".join(words_of(t))[:share] for t in batch.column("text").to_pylist()]
+        yield {"lang": batch.column("lang").to_pylist(), "k": batch.column("k").to_pylist(), "words": cut, "t": batch.column("t").to_pylist()}
+
     top = Window.partitionBy("lang").orderBy("h", "text")
-    langs = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES)
     picked = known.withColumn("k", F.row_number().over(top)).where(F.col("k") <= SAMPLE_DOCS).withColumn("t", F.xxhash64("text"))
     samples: dict[str, str] = {}
     read: set[int] = set()
-    for lang, text, _, t in picked.join(langs, "lang", "left_semi").select("lang", "text", "k", "t").sort("lang", "k").toLocalIterator():
-        if len(samples.get(lang, "")) < SAMPLE_CHARS:
-            samples[lang] = samples.get(lang, " ") + " ".join(words_of(text)) + " "
+    for lang, _, words, t in map_slices(picked, "lang string, k int, words string, t long", step).sort("lang", "k").toLocalIterator():
+        if len(samples.get(lang, "")) < most:
+            samples[lang] = samples.get(lang, " ") + words + " "
             read.add(t)
-    return {lang: s[:SAMPLE_CHARS] for lang, s in samples.items() if s.strip()}, read
+    return {lang: s[:most] for lang, s in samples.items() if s.strip()}, read
 
 
 @lru_cache(maxsize=1)

@@ -108,3 +108,24 @@ def test_features_of_empty_text():
     assert len(quality.features("")) == len(quality.FEATURES) == len(quality.features("A b.\nA b."))
 
 
+
+
+def test_number_forms_are_no_letters(spark):
+    for text in ("①", "½ ²", "Ⅷ ⅷ", "12 ¾", "_"):
+        assert langid.words_of(text) == [] and langid.entropies(text, {"a": " a "}) == {}
+    assert langid.words_of("x² Ⅷa") == ["x", "a"]
+
+
+def test_every_one_of_seventy_languages(spark, monkeypatch):
+    monkeypatch.setattr(langid, "ALL_CHARS", 70 * 400)
+    r = np.random.default_rng(2)
+    letters = {k: [chr(0x4E00 + 7 * k + j) for j in range(6)] for k in range(70)}
+    text = lambda k: " ".join("".join(r.choice(letters[k], 4)) for _ in range(30))
+    rows_ = [(k * 10 + i, text(k), f"l{k:02d}", None, None) for k in range(70) for i in range(4)]
+    docs = spark.createDataFrame(rows_, "doc_id long, text string, lang string, source string, n_chars long")
+    samples = langid.learn(docs)
+    assert len(samples) == 70 and max(map(len, samples.values())) <= 400
+    # a document fills no more than its share
+    assert all(len({c for c in s if c != " "}) >= 4 for s in samples.values())
+    fresh = spark.createDataFrame([(k, text(k), None, None, None) for k in range(70)], docs.schema)
+    assert {(x["doc_id"], x["lang_pred"]) for x in as_dicts(langid.predict(fresh, samples))} == {(k, f"l{k:02d}") for k in range(70)}
