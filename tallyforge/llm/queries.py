@@ -135,3 +135,71 @@ def op12_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Spelling variants of the words of all documents; see ``spelling``."""
     return spelling.report(table(spark, sf_dir, "documents"))
+
+
+#: The 256 entries of the crc32 by its rule, as a list column t.
+_CRC_TABLE = """(SELECT list(c ORDER BY i) AS t FROM (
+  SELECT i, list_reduce(list_prepend(i::BIGINT, range(8)), lambda a, x: CASE WHEN a % 2 = 1 THEN xor(a // 2, 3988292384) ELSE a // 2 END) AS c FROM range(256) r(i)))"""
+
+
+def _crc(text):
+    """crc32 of a string of code points below 256, as SQL over a table with the column t of _CRC_TABLE."""
+    points = (f"flatten(list_transform(string_split({text}, ''), lambda ch: CASE WHEN ord(ch) < 128 THEN [ord(ch)::BIGINT] ELSE [(194 + (ord(ch) // 192))::BIGINT, (128 + ord(ch) % 64)::BIGINT] END))")
+    return f"xor(list_reduce(list_prepend(4294967295::BIGINT, {points}), lambda c, b: xor(t[(xor(c, b) & 255) + 1], c >> 8)), 4294967295::BIGINT)"
+
+
+ORACLES["op13_spelling_variants"] = f"""
+WITH RECURSIVE crc AS MATERIALIZED {_CRC_TABLE},
+runs AS (SELECT doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-zÀ-ÿ]+')) AS w FROM documents),
+own AS (SELECT coalesce(doc_id::VARCHAR, '') AS d, w, count(*) AS k FROM runs GROUP BY ALL),
+hashed AS (SELECT w, k, {_crc("d || ':' || w")} AS h FROM own, crc),
+said AS (SELECT CASE WHEN h % 97 = 0 THEN left(w, (h % length(w))::INT) || substr(w, (h % length(w))::INT + 2) ELSE w END AS word, k FROM hashed),
+words AS MATERIALIZED (SELECT word, sum(k)::BIGINT AS n FROM said WHERE length(word) >= 5 GROUP BY 1 HAVING sum(k) >= 3),
+cut AS MATERIALIZED (SELECT word, n, i, left(word, i::INT) || substr(word, i::INT + 2) AS rest FROM words, unnest(range(length(word))) r(i)),
+pairs AS (
+  SELECT a.word, b.word AS near, b.n FROM cut a JOIN cut b ON a.i = b.i AND a.rest = b.rest AND a.word <> b.word
+  UNION SELECT a.word, b.word, b.n FROM cut a JOIN words b ON a.rest = b.word
+  UNION SELECT b.word, a.word, a.n FROM cut a JOIN words b ON a.rest = b.word),
+best AS (SELECT word, count(*) AS n_near, arg_min(near, (-n, near)) AS near, max(n) AS near_n FROM pairs GROUP BY 1),
+formed AS MATERIALIZED (SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN near_n >= 2 * w.n THEN near END AS form, CASE WHEN near_n >= 2 * w.n THEN near_n END AS form_n FROM words w LEFT JOIN best USING (word)),
+chain AS (SELECT word, word AS at FROM formed UNION ALL SELECT c.word, f.form FROM chain c JOIN formed f ON f.word = c.at WHERE f.form IS NOT NULL)
+SELECT f.word, f.n, f.n_near, f.form, f.form_n, c.at AS root FROM formed f JOIN chain c USING (word) JOIN formed z ON z.word = c.at AND z.form IS NULL
+"""
+
+_SPACE = r"[\x20\x09-\x0D]"
+ORACLES["op12_turn_repair"] = rf"""
+WITH RECURSIVE crc AS MATERIALIZED {_CRC_TABLE},
+spaced AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, {_crc("coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ')")} % 20 AS harm FROM conversations, crc),
+harmed AS (SELECT conv_id, turn, CASE WHEN harm = 4 THEN 'user' ELSE role END AS role, CASE harm WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text, copy
+  FROM spaced, unnest(CASE WHEN harm = 3 THEN [1, 2] ELSE [1] END) c(copy) WHERE harm <> 0),
+placed AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, sha256(text), copy) AS i FROM harmed),
+seen AS (SELECT *, left(role, 1) AS initial, lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY i) AS before, NOT regexp_matches(text, '[^\x20\x09-\x0D]') AS is_blank,
+   row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 AS again, NOT regexp_matches(text, '[.!?]{_SPACE}*$') AS is_cut FROM placed),
+judged AS MATERIALIZED (SELECT *, is_blank OR again AS gone, NOT is_blank AND NOT again AND is_cut AS cut FROM seen),
+facts AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (is_blank) AS blank, count(*) FILTER (NOT is_blank AND again) AS duplicate, count(*) FILTER (cut) AS truncated,
+   count(*) FILTER (before IS NOT NULL AND before || initial NOT IN ('su', 'ua', 'au')) AS illegal, max(i) AS n FROM judged GROUP BY 1),
+-- states: 0 nothing yet, 1 after system, 2 after user, 3 after assistant
+free(q, p) AS (VALUES (0, 2), (1, 2), (2, 3), (3, 2)),
+extra(q, p, k) AS (SELECT q, q, 0 FROM free UNION ALL SELECT q, p, 1 FROM free UNION ALL SELECT a.q, b.p, 2 FROM free a JOIN free b ON b.q = a.p UNION ALL SELECT a.q, c.p, 3 FROM free a JOIN free b ON b.q = a.p JOIN free c ON c.q = b.p),
+kept(q, initial, p) AS (VALUES (0, 's', 1), (0, 'u', 2), (1, 'u', 2), (3, 'u', 2), (2, 'a', 3)),
+moves AS MATERIALIZED (
+  SELECT conv_id, i, e.q, k * 2 + 3 AS cost, repeat('I', k) || 'D' AS letters, e.p FROM judged, extra e
+  UNION ALL SELECT conv_id, i, e.q, k * 2 + cut::INT, repeat('I', k) || 'K', t.p FROM judged j JOIN kept t ON t.initial = j.initial JOIN extra e ON e.p = t.q WHERE NOT gone
+  UNION ALL SELECT conv_id, i, e.q, k * 2 + 2 + cut::INT, repeat('I', k) || 'R', f.p FROM judged, extra e JOIN free f ON f.q = e.p WHERE NOT gone),
+walk AS (
+  SELECT conv_id, 0::BIGINT AS i, 0 AS q, 0 AS cost, '' AS audit FROM facts
+  UNION ALL SELECT conv_id, i, q, cost, audit FROM (
+    SELECT w.conv_id, m.i, m.p AS q, w.cost + m.cost AS cost, w.audit || m.letters AS audit,
+      row_number() OVER (PARTITION BY w.conv_id, m.p ORDER BY w.cost + m.cost, w.audit || m.letters) AS rn
+    FROM walk w JOIN moves m ON m.conv_id IS NOT DISTINCT FROM w.conv_id AND m.i = w.i + 1 AND m.q = w.q) WHERE rn = 1),
+ends AS (SELECT f.conv_id, arg_min(w.cost + 2 * k, (w.cost + 2 * k, w.audit || repeat('I', k))) AS cost, arg_min(w.audit || repeat('I', k), (w.cost + 2 * k, w.audit || repeat('I', k))) AS audit
+  FROM facts f JOIN walk w ON w.conv_id IS NOT DISTINCT FROM f.conv_id AND w.i = f.n JOIN extra e ON e.q = w.q WHERE e.p IN (0, 3) GROUP BY 1),
+letters AS (SELECT conv_id, unnest(string_split(audit, '')) AS letter, unnest(range(1, length(audit) + 1)) AS pos FROM ends WHERE audit <> ''),
+steps AS (SELECT *, count(*) FILTER (letter <> 'I') OVER (PARTITION BY conv_id ORDER BY pos) AS i, count(*) FILTER (letter <> 'D') OVER (PARTITION BY conv_id ORDER BY pos) AS place FROM letters),
+left_ AS (SELECT s.conv_id, s.place, s.letter, j.role, j.text, first_value(s.letter = 'K' AND j.initial = 's') OVER (PARTITION BY s.conv_id ORDER BY s.place) AS opened
+  FROM steps s LEFT JOIN judged j ON j.conv_id IS NOT DISTINCT FROM s.conv_id AND j.i = s.i AND s.letter <> 'I' WHERE s.letter <> 'D'),
+shown AS (SELECT conv_id, sha256(string_agg(CASE letter WHEN 'K' THEN role ELSE CASE WHEN (place - opened::INT) % 2 = 1 THEN 'user' ELSE 'assistant' END END || ':' || CASE letter WHEN 'I' THEN '' ELSE text END, chr(10) ORDER BY place)) AS sha FROM left_ GROUP BY 1)
+SELECT c.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+ coalesce(cost, 0)::BIGINT AS cost, coalesce(audit, '') AS audit, coalesce(sha, sha256('')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN facts f ON f.conv_id IS NOT DISTINCT FROM c.conv_id LEFT JOIN ends e ON e.conv_id IS NOT DISTINCT FROM c.conv_id LEFT JOIN shown s ON s.conv_id IS NOT DISTINCT FROM c.conv_id
+"""

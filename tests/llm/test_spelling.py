@@ -11,7 +11,7 @@ import pytest
 
 from cases import SF, as_dicts, clashing, documents, empty, odd_documents, rows
 from tallyforge.llm import spelling as sp
-from tallyforge.llm.queries import QUERIES
+from tallyforge.llm.queries import ORACLES, QUERIES
 
 
 def plain_counts(docs):
@@ -131,3 +131,14 @@ def test_long_chains_of_forms(spark):
 def test_query(spark):
     docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
     assert got(QUERIES["op13_spelling_variants"](spark, SF)) == plain(plain_counts(docs))
+
+
+def test_query_equals_its_sql(spark):
+    import duckdb
+
+    con = duckdb.connect()
+    con.sql(f"create view documents as select * from '{SF}/documents.parquet'")
+    want = con.sql(ORACLES["op13_spelling_variants"])
+    df = QUERIES["op13_spelling_variants"](spark, SF)
+    assert sorted(df.columns) == sorted(want.columns)
+    assert rows(df.select(*want.columns)) == sorted(want.fetchall(), key=repr)

@@ -7,7 +7,7 @@ import zlib
 
 from cases import SF, as_dicts, rows
 from tallyforge.llm import turns
-from tallyforge.llm.queries import QUERIES
+from tallyforge.llm.queries import ORACLES, QUERIES
 
 SCHEMA = "conv_id long, turn long, role string, text string"
 
@@ -160,3 +160,14 @@ def test_repaired_turns_alternate(spark):
     for r in turns.repaired(harmed, plan).orderBy("k", "position").collect():
         by.setdefault(r.k, []).append(r.role[:1])
     assert by and all(re.fullmatch("s?(ua)+", "".join(v)) for v in by.values())
+
+
+def test_query_equals_its_sql(spark):
+    import duckdb
+
+    con = duckdb.connect()
+    con.sql(f"create view conversations as select * from '{SF}/conversations.parquet'")
+    want = con.sql(ORACLES["op12_turn_repair"])
+    df = QUERIES["op12_turn_repair"](spark, SF)
+    assert sorted(df.columns) == sorted(want.columns)
+    assert rows(df.select(*want.columns)) == sorted(want.fetchall(), key=repr)
