@@ -329,7 +329,7 @@ point AS (SELECT doc_id, unnest(list_concat({", ".join(n for n, _ in _POINTS)}))
 shape AS (SELECT doc_id, repo, path, content, 0 AS kind, unnest(f) AS u FROM spots UNION ALL SELECT doc_id, repo, path, content, 1, unnest(w) FROM spots),
 line AS (SELECT doc_id, repo, path, content, kind, u.m AS m, u.pos AS pos, 1 + length(left(content, u.pos::INT)) - length(replace(left(content, u.pos::INT), chr(10), '')) AS line FROM shape),
 one AS (SELECT *, row_number() OVER (PARTITION BY doc_id, line ORDER BY kind, pos) AS rn FROM line),
-body AS (SELECT *, pos + length(m) + length(regexp_extract(substr(content, (pos + length(m) + 1)::INT), '^\s*')) AS solid FROM one WHERE rn = 1),
+body AS (SELECT *, pos + length(m) + length(regexp_extract(substr(content, (pos + length(m) + 1)::INT), '^\\s*')) AS solid FROM one WHERE rn = 1),
 span AS (
  SELECT b.*, CASE WHEN m = '' THEN '' {_NAME} ELSE '(anonymous)' END AS name, pos AS start, p.close + 1 AS stop FROM body b JOIN pair p ON p.doc_id = b.doc_id AND p.open = (SELECT min(open) FROM pair z WHERE z.doc_id = b.doc_id AND z.open >= b.pos) WHERE kind = 0 AND p.close IS NOT NULL
  UNION ALL SELECT b.*, regexp_extract(m, {q(CX.ARROW.pattern)}, 1), solid,
@@ -337,7 +337,7 @@ span AS (
    ELSE solid + length(regexp_extract(substr(content, (solid + 1)::INT), '^[^;,]*')) END
   FROM body b LEFT JOIN pair p ON p.doc_id = b.doc_id AND p.open = solid WHERE kind = 1)
 SELECT doc_id, repo, path, name, line::INT AS line, 1 + (SELECT count(*) FROM point p WHERE p.doc_id = span.doc_id AND p.pos >= start AND p.pos < stop)::INT AS complexity,
- CASE WHEN trim(regexp_extract(m, '\(([^)]*)\)', 1)) = '' THEN 0 ELSE len(string_split(regexp_extract(m, '\(([^)]*)\)', 1), ',')) END::INT AS params,
+ CASE WHEN trim(regexp_extract(m, '\\(([^)]*)\\)', 1)) = '' THEN 0 ELSE len(string_split(regexp_extract(m, '\\(([^)]*)\\)', 1), ',')) END::INT AS params,
  (1 + length(substr(content, (start + 1)::INT, (stop - start)::INT)) - length(replace(substr(content, (start + 1)::INT, (stop - start)::INT), chr(10), '')))::INT AS n_lines FROM span""", ("code_files",))
 
 
