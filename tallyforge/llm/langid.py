@@ -33,9 +33,10 @@ CHECK_DOCS = 1000
 QUANTILE, BAND_DOCS, SHORT = 0.99, 20, 32
 # Vowel signs, accents and joiners stand within words; re has no class of them.
 _MARKS = "\u200c\u200d" + "".join(c for c in map(chr, range(sys.maxunicode + 1)) if unicodedata.category(c)[0] == "M")
-# Number forms such as fractions and circled digits are no letters, though \w has them.
-_NUMBERS = "".join(c for c in map(chr, range(sys.maxunicode + 1)) if unicodedata.category(c) in ("Nl", "No"))
-_LETTERS = re.compile(rf"[^\W\d_{_NUMBERS}](?:[^\W\d_{_NUMBERS}]|[{_MARKS}])*")
+_LETTERS = re.compile(rf"[^\W\d_](?:[^\W\d_]|[{_MARKS}])*")
+# Number forms such as fractions and circled digits are no letters, though \w has them; few texts hold any.
+_NUMBERS = frozenset(c for c in map(chr, range(sys.maxunicode + 1)) if unicodedata.category(c) in ("Nl", "No"))
+_STRICT = re.compile(rf"[^\W\d_{''.join(sorted(_NUMBERS))}](?:[^\W\d_{''.join(sorted(_NUMBERS))}]|[{_MARKS}])*")
 _FIELD = 44
 _MASK = (1 << _FIELD) - 1
 
@@ -86,7 +87,11 @@ class Automaton:
 
 def words_of(text: str) -> list[str]:
     """Runs of letters with their combining marks, in lower case."""
-    return _LETTERS.findall(text.lower())
+    return _runs(text.lower())
+
+
+def _runs(text: str) -> list[str]:
+    return (_LETTERS if _NUMBERS.isdisjoint(text) else _STRICT).findall(text)
 
 
 def learn(docs: DataFrame) -> dict[str, str]:
@@ -189,7 +194,7 @@ def _parser(samples: tuple[tuple[str, str], ...]) -> tuple[Memo, list[float]]:
 
     def packed(word: str) -> int:
         # letters in the lowest field, then the phrases of each language; sums of these ints add field by field
-        parts = _LETTERS.findall(word)
+        parts = _runs(word)
         n = sum(map(len, parts))
         for k, a in enumerate(own):
             n += sum(a.phrases(f" {p} ") for p in parts) << _FIELD * (k + 1)
