@@ -15,7 +15,7 @@ from functools import cache
 import numpy as np
 
 #: Units encoded by one call of the library.
-CALL_UNITS = 100
+CALL_UNITS = 1000
 #: Opens the key of a unit that no blank precedes.
 LITERAL = "\x01"
 _RUN = re.compile(r"\s\s")
@@ -156,8 +156,8 @@ def encoder(path: str, spaced: bool) -> Callable[[list[str]], list[bytes]]:
         if not spaced and ends.any():
             plain = [k for k in keys if k.isalpha() and k.isascii()]
             known = {}
-            for at in range(0, len(plain), 10 * CALL_UNITS):
-                part = plain[at:at + 10 * CALL_UNITS]
+            for at in range(0, len(plain), CALL_UNITS):
+                part = plain[at:at + CALL_UNITS]
                 known.update(zip(part, words(part), strict=True))
             rest = [k for k in keys if k not in known]
             known.update(zip(rest, marked(rest), strict=True))

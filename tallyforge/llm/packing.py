@@ -45,22 +45,29 @@ def best_cuts(cuts: list[int], costs: list[int], window: int = WINDOW) -> list[i
     is_cut = np.zeros(at[-1] + 1, bool)
     is_cut[0] = is_cut[at] = True
     # most cuts have no other at a power of two before them: those that have are found at once
-    powers: dict[int, list[int]] = {}
+    places, lengths = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     for p in (1 << k for k in range(window.bit_length()) if 1 << k < window):
-        later = at[at >= p]
-        for j in later[is_cut[later - p]].tolist():
-            powers.setdefault(j, []).append(p)
+        later = np.flatnonzero(at >= p)
+        later = later[is_cut[at[later] - p]]
+        places.append(later)
+        lengths.append(np.full(len(later), p))
+    order = np.argsort(np.concatenate(places), kind="stable")
+    from_ = np.concatenate(lengths)[order].tolist()
+    until = np.cumsum(np.bincount(np.concatenate(places), minlength=len(at))).tolist()
     best: dict[int, int] = {0: 0}
     back: dict[int, int] = {}
     queue: deque[tuple[int, int]] = deque([(0, 0)])  # (f(i) + i, i), values ascending
-    for j, extra in zip(cuts, costs, strict=True):
+    done = 0
+    for j, extra, upto in zip(cuts, costs, until, strict=True):
         while queue[0][1] < j - window:
             queue.popleft()
         value, i = queue[0]
         value += window - j
-        for p in powers.get(j, ()):
-            if best[j - p] < value:
-                value, i = best[j - p], j - p
+        if done < upto:
+            for p in from_[done:upto]:
+                if best[j - p] < value:
+                    value, i = best[j - p], j - p
+            done = upto
         value += extra
         best[j], back[j] = value, i
         key = value + j
