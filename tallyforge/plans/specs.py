@@ -607,7 +607,7 @@ def adr_files(t):
     text = F.concat(
         F.when(k % 2 == 0, F.concat(lit("# "), s(k), lit(". Use "), "c_mktsegment", lit("  \n\n"))).otherwise(lit("intro\n")), lit("**Status:** "), pick(["Accepted", "proposed", "Deprecated by X", "superseded", "odd"], k % 5),
         lit("\n**Date:** 2024-01-02\n"), F.when(k % 3 == 0, F.concat(lit("This Supersedes decision ADR-"), s(k - 1), lit("\n"))).otherwise(""))
-    return B.dealt(t.customer, "c_custkey").select(F.col("c_mktsegment").alias("repo"), F.concat(lit("docs/adr/"), F.when(k % 11 == 0, "x").otherwise(""), F.lpad(s(k), 4, "0"), lit("-use-it-now.md")).alias("path"), text.alias("content"))
+    return B.dealt(t.customer, "c_custkey").select(F.col("c_mktsegment").alias("repo"), F.concat(lit("docs/adr/"), F.when(k % 11 == 0, "x").otherwise(""), F.when(F.length(s(k)) < 4, F.lpad(s(k), 4, "0")).otherwise(s(k)), lit("-use-it-now.md")).alias("path"), text.alias("content"))
 
 
 define("adrs", """
