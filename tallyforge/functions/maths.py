@@ -6,9 +6,13 @@ from pyspark.sql import Column, functions as F
 
 
 def half_up(x: Column, digits: int = 0) -> Column:
-    """floor(x * 10^d + 0.5) / 10^d: rounds .5 towards +infinity, as the source reports do."""
+    """floor(x * 10^d + 0.5) / 10^d: rounds .5 towards +infinity, as the source reports do.
+
+    Doubles from 2^53 on are whole already; the floor of the engine is a long and would stop at its greatest.
+    """
     scale = float(10**digits)
-    return F.floor(x * F.lit(scale) + F.lit(0.5)).cast("double") / F.lit(scale)
+    y = (x * F.lit(scale) + F.lit(0.5)).cast("double")
+    return F.when(F.abs(y) < F.lit(2.0**53), F.floor(y).cast("double")).otherwise(y) / F.lit(scale)
 
 
 def ratio(a: Column, b: Column, empty: float = 0.0) -> Column:

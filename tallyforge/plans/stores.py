@@ -277,7 +277,7 @@ def recent_memory(t):
 
 
 @query("memory_retention", with_sql("memories", """
-SELECT id, floor(exp(-0.6931471805599453::DOUBLE * ((1706745600000000 - epoch_us(updated_at)) / 86400000000.0::DOUBLE) / CASE memory_type WHEN 'decision' THEN 30 WHEN 'experience' THEN 14 WHEN 'intent' THEN 60
+SELECT id, floor(exp(-0.6931471805599453::DOUBLE * greatest((1706745600000000 - epoch_us(updated_at)) / 86400000000.0::DOUBLE, 0.0::DOUBLE) / CASE memory_type WHEN 'decision' THEN 30 WHEN 'experience' THEN 14 WHEN 'intent' THEN 60
  WHEN 'concept' THEN 90 WHEN 'data' THEN 7 ELSE 30 END::DOUBLE) * 10000::DOUBLE + 0.5::DOUBLE)::DOUBLE / 10000::DOUBLE AS retained FROM memories"""))
 def memory_retention(t):
     return M.retention(B.memories(t), F.timestamp_micros(F.lit(1706745600000000))).select("id", "retained")
