@@ -64,6 +64,13 @@ def merge_coverage(cov: DataFrame, compat: bool = False) -> DataFrame:
     return files.select("repo", "path", *shares, "uncovered_lines")
 
 
+def merged_shares(cov: DataFrame) -> DataFrame:
+    """The percentages of ``merge_coverage`` without the lines: one aggregate."""
+    stats = [f"{s}_{k}" for k in KINDS for s in ("total", "covered")]
+    files = cov.groupBy("repo", "path").agg(*(F.max(c).alias(c) for c in stats))
+    return files.select("repo", "path", *[pct(F.col(f"covered_{k}"), F.col(f"total_{k}"), 0, 100.0).alias(f"{k}_pct") for k in KINDS])
+
+
 def coverage_failures(files: DataFrame, threshold: float) -> DataFrame:
     """Files whose line percentage is below the threshold; the check passes when there is none."""
     return files.where(F.col("lines_pct") < threshold).select(

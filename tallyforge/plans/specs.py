@@ -128,7 +128,7 @@ def coverage_totals(t):
 @query("coverage_failures", with_sql("coverage", """
 SELECT repo, path, max(floor(c3 / 50.0::DOUBLE * 100 + 0.5)::DOUBLE) AS percent, 99.0::DOUBLE AS threshold FROM coverage GROUP BY 1, 2 HAVING max(floor(c3 / 50.0::DOUBLE * 100 + 0.5)::DOUBLE) < 99"""))
 def coverage_failures(t):
-    return CV.coverage_failures(CV.merge_coverage(coverage(t)), 99)
+    return CV.coverage_failures(CV.merged_shares(coverage(t)), 99)
 
 
 # --- database schemas ----------------------------------------------------------------
