@@ -163,10 +163,13 @@ def practices(kb: DataFrame, rules: Sequence[tuple] = K.PRACTICES) -> DataFrame:
 def suggest_practices(kb: DataFrame, requests: Sequence[tuple[str, str]] | DataFrame, now: Column) -> DataFrame:
     """Practices per (task, framework) request: rule rows for the framework or ``*``, then
     recommending entries among the best matches; ``rank`` orders by priority. Requests may be a table(task, framework)."""
+    texts = None
     if not isinstance(requests, DataFrame):
+        # few texts are scored in one scan
+        texts = sorted({f"{task.lower()} {framework}" for task, framework in requests})
         requests = kb.sparkSession.createDataFrame(list(requests), "task string, framework string")
     wanted = requests.select("task", "framework").distinct().select(
-        F.lower("task").alias("task"), "framework", F.concat_ws(" ", "task", "framework").alias("query"))
+        F.lower("task").alias("task"), "framework", F.concat_ws(" ", F.lower("task"), "framework").alias("query")).distinct()
     table = practices(kb)
     ruled = (
         wanted.join(table.withColumnRenamed("framework", "_fw"), "task")
@@ -177,7 +180,7 @@ def suggest_practices(kb: DataFrame, requests: Sequence[tuple[str, str]] | DataF
     for w in K.ADVICE_WORDS:
         telling = telling | said.contains(w)
     found = (
-        query_knowledge(kb, wanted.select("query"), now).where(telling)
+        query_knowledge(kb, wanted.select("query") if texts is None else texts, now).where(telling)
         .join(wanted, "query")
         .select("task", "framework", F.concat_ws(": ", "library", "topic").alias("title"),
                 F.concat_ws(" — ", "source", "library").alias("source"), F.lit("medium").alias("priority")))
