@@ -3,7 +3,8 @@
 Strings are looked up through an inverted index of their grams: each string is filed under the gram of it
 that fewest texts hold, each text is sent to the grams it holds that some string is filed under, and what meets is tested.
 A pattern is filed under the literals its matches must hold. Nothing is collected and the plan does not grow with
-either table; whether the index is broadcast is the optimizer's choice by its size.
+either table. An index of few strings is sent to the texts, which then never leave their tasks; a larger one meets their grams at an
+exchange.
 """
 
 from __future__ import annotations
@@ -19,6 +20,8 @@ from ..functions.rx import ascii_bounds
 GRAM = 3
 #: Patterns without a literal that are tried together.
 BLOCK = 100
+#: Strings or patterns up to which their index is broadcast.
+SENT = 20_000
 
 
 def _grams(text: Column, size: int) -> Column:
@@ -30,12 +33,18 @@ def _needle_grams(needle: Column) -> Column:
     return F.when(F.length(needle) < GRAM, F.array(needle)).otherwise(_grams(needle, GRAM))
 
 
+def _few(df: DataFrame) -> bool:
+    return df.limit(SENT + 1).count() <= SENT
+
+
 def containing(rows: DataFrame, text: Column, needles: DataFrame) -> DataFrame:
     """Columns of ``rows`` and ``needle``, for each string of needles(needle) that ``text`` holds.
 
     Null and empty strings are in no text. Rows may repeat; strings count once.
     """
     wanted = needles.select("needle").where(F.col("needle").isNotNull() & (F.col("needle") != "")).distinct()
+    # the exchange would carry a text once for each of its grams
+    sent = F.broadcast if _few(wanted) else (lambda df: df)
     filed = wanted.select("needle", F.explode(_needle_grams(F.col("needle"))).alias("_gram"))
     held = rows.withColumn("_text", text)
     none = F.array().cast("array<string>")
@@ -43,11 +52,11 @@ def containing(rows: DataFrame, text: Column, needles: DataFrame) -> DataFrame:
     short = [F.when(wanted.select(F.bool_or(F.length("needle") == size)).scalar(), _grams(F.col("_text"), size)).otherwise(none)
              for size in range(1, GRAM)]
     grams = held.withColumn("_gram", F.explode(F.concat(_grams(F.col("_text"), GRAM), *short)))
-    known = grams.select("_gram").join(filed.select("_gram").distinct(), "_gram", "left_semi")
+    known = grams.select("_gram").join(sent(filed.select("_gram").distinct()), "_gram", "left_semi")
     spread = known.groupBy("_gram").agg(F.count(F.lit(1)).alias("_df"))
     rarest = filed.join(spread, "_gram", "left").groupBy("needle").agg(
         F.min_by("_gram", F.struct(F.coalesce("_df", F.lit(0)), "_gram")).alias("_gram"))
-    return grams.join(rarest, "_gram").where(F.contains("_text", F.col("needle"))).select(*rows.columns, "needle")
+    return grams.join(sent(rarest), "_gram").where(F.contains("_text", F.col("needle"))).select(*rows.columns, "needle")
 
 
 def _compiled(patterns: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
@@ -73,7 +82,8 @@ def matching(rows: DataFrame, text: Column, rules: DataFrame, keep: Column | Non
     ``keep`` is a further condition over the columns of both. Rule ids are distinct; the other columns of both sides must not clash.
     """
     keep = F.lit(True) if keep is None else keep
-    book = compiled(rules)
+    book, few = compiled(rules), _few(rules)
+    sent_rules = F.broadcast if few else (lambda df: df)
     mine = [c for c in book.columns if c not in ("regex", "literals", "pattern", "ignore_case")]
     test = F.rlike("_t", F.col("regex")) & keep
     rows = rows.withColumns({"_t": text, "_row": F.struct(*rows.columns)})
@@ -82,8 +92,8 @@ def matching(rows: DataFrame, text: Column, rules: DataFrame, keep: Column | Non
     # by literal: a text that holds several literals of one rule meets it once
     literal = book.select("rule_id", F.explode("literals").alias("needle"))
     lowered = rows.select("_t", "_row", F.lower("_t").alias("_low"))
-    found = containing(lowered, F.col("_low"), literal.select("needle")).join(literal, "needle")
-    met = found.join(book, "rule_id").select("_t", "_row", "needle", *mine, "regex", "literals")
+    found = containing(lowered, F.col("_low"), literal.select("needle")).join(sent_rules(literal), "needle")
+    met = found.join(sent_rules(book), "rule_id").select("_t", "_row", "needle", *mine, "regex", "literals")
     # of the literals the text holds, the first in the rule's list counts
     first = F.get(F.filter("literals", lambda w: F.contains(F.lower("_t"), w)), F.lit(0))
     by_literal = met.where(F.col("needle") == first).select("_t", *[F.col(f"_row.{c}").alias(c) for c in cols], *mine, "regex").where(test)
@@ -91,14 +101,14 @@ def matching(rows: DataFrame, text: Column, rules: DataFrame, keep: Column | Non
     # without: blocks of patterns, each row sent to every block; copies of a block keep any one task from taking all rows
     bare = book.where(F.size("literals") == 0)
     blocks = F.coalesce(bare.select(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int")).scalar(), F.lit(0))
-    salts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    salts = 1 if few else int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     grouped = bare.withColumn("_block", F.pmod(F.xxhash64("rule_id"), blocks)).groupBy("_block").agg(
         F.collect_list(F.struct(*mine, "regex")).alias("_rules"))
     grouped = grouped.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     sent = rows.where(blocks > 0).withColumns({
         "_block": F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(blocks, F.lit(1)).cast("long") - 1)),
         "_salt": F.pmod(F.xxhash64("_t"), F.lit(salts)).cast("int")})
-    tried = sent.join(grouped, ["_block", "_salt"]).select(
+    tried = sent.join(sent_rules(grouped), ["_block", "_salt"]).select(
         "_t", *cols, F.explode(F.filter("_rules", lambda r: F.rlike(F.col("_t"), r["regex"]))).alias("_r"))
     by_trial = tried.select("_t", *cols, "_r.*").where(keep)
     return by_literal.select(*cols, *mine).unionByName(by_trial.select(*cols, *mine))

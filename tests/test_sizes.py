@@ -59,7 +59,7 @@ def test_json_is_parsed_once(spark):
     from tallyforge.operators.compaction import compact_json
 
     rows = spark.createDataFrame([("[1]",)], "content string")
-    plan = rows.select(compact_json(F.col("content")))._jdf.queryExecution().analyzed().toString()
+    plan = rows.select(compact_json(F.col("content")).alias("short"))._jdf.queryExecution().analyzed().toString()
     assert plan.count("parse_json(content") == 1
 
 
@@ -70,3 +70,42 @@ def test_ratio_is_not_computed_by_the_read(spark):
     dealt = store_originals(rows.repartition(4, "id"))
     plan = dealt._jdf.queryExecution().optimizedPlan().toString()
     assert "Filter" not in plan[plan.index("RepartitionByExpression"):] and [r.id for r in dealt.collect()] == [1]
+
+
+def test_texts_meet_a_small_index_in_their_tasks(spark):
+    from tallyforge.operators.contain import containing
+
+    rows = spark.createDataFrame([(1, "the quick fox"), (2, "a slow ox")], "id int, text string")
+    needles = spark.createDataFrame([("fox",), ("ox",)], "needle string")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        found = containing(rows, F.col("text"), needles)
+        joins = found._jdf.queryExecution().optimizedPlan().toString().split("\n")
+        assert sorted((r.id, r.needle) for r in found.collect()) == [(1, "fox"), (1, "ox"), (2, "ox")]
+        assert "rightHint=(strategy=broadcast)" in joins[1] + joins[0]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_failures_need_no_lines(spark):
+    from tallyforge.operators import coverage as CV
+    from tallyforge.plans.specs import coverage
+    from tallyforge.plans.registry import Tables
+
+    t = Tables(spark, "/root/testdata/sf0.001")
+    plan = CV.coverage_failures(CV.merged_shares(coverage(t)), 99)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate" not in plan and "Window" not in plan
+    assert CV.merged_shares(coverage(t)).exceptAll(CV.merge_coverage(coverage(t)).drop("uncovered_lines")).isEmpty()
+
+
+def test_few_practice_requests_are_one_scan(spark):
+    from tallyforge.operators import knowledge as KN
+    from tallyforge.plans.scans import now
+    from tallyforge.plans.stores import knowledge
+    from tallyforge.plans.registry import Tables
+
+    t = Tables(spark, "/root/testdata/sf0.001")
+    listed = KN.suggest_practices(knowledge(t), [("Test", "jest"), ("test", "jest")], now())
+    asked = spark.createDataFrame([("Test", "jest")], "task string, framework string")
+    assert "Generate explode(array_distinct" not in listed._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted(map(str, listed.collect())) == sorted(map(str, KN.suggest_practices(knowledge(t), asked, now()).collect()))
