@@ -212,7 +212,7 @@ def lock_files(t):
     listed = entry(F.array(F.struct(F.lit("GPL-3.0").alias("type"))).alias("licenses"))
     text = F.concat(F.lit('{"packages":{"":{"name":"root"},"node_modules/'), n1, F.lit('":'), plain, F.lit(',"node_modules/@s/'), n2, F.lit('":'), typed,
                     F.lit('},"dependencies":{"'), n1, F.lit('":'), listed, F.lit(',"zz":'), F.when(odd, listed).otherwise(entry(F.lit(7).alias("license"))), F.lit("}}"))
-    return _base(t).select(F.concat(F.lit("r"), F.col("p_partkey").cast("string")).alias("repo"),
+    return B.dealt(_base(t), "p_partkey").select(F.concat(F.lit("r"), F.col("p_partkey").cast("string")).alias("repo"),
                            F.lit("package-lock.json").alias("path"), text.alias("content"))
 
 

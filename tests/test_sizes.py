@@ -109,3 +109,11 @@ def test_few_practice_requests_are_one_scan(spark):
     asked = spark.createDataFrame([("Test", "jest")], "task string, framework string")
     assert "Generate explode(array_distinct" not in listed._jdf.queryExecution().optimizedPlan().toString()
     assert sorted(map(str, listed.collect())) == sorted(map(str, KN.suggest_practices(knowledge(t), asked, now()).collect()))
+
+
+def test_lock_files_are_dealt(spark):
+    from tallyforge.plans.inventory import lock_files
+    from tallyforge.plans.registry import Tables
+
+    plan = lock_files(Tables(spark, "/root/testdata/sf0.001"))._jdf.queryExecution().analyzed().toString()
+    assert "RepartitionByExpression [p_partkey" in plan
