@@ -33,7 +33,8 @@ def _needle_grams(needle: Column) -> Column:
     return F.when(F.length(needle) < GRAM, F.array(needle)).otherwise(_grams(needle, GRAM))
 
 
-def _few(df: DataFrame) -> bool:
+def few(df: DataFrame) -> bool:
+    """Whether ``df`` is short enough to be sent to every task."""
     return df.limit(SENT + 1).count() <= SENT
 
 
@@ -44,7 +45,7 @@ def containing(rows: DataFrame, text: Column, needles: DataFrame) -> DataFrame:
     """
     wanted = needles.select("needle").where(F.col("needle").isNotNull() & (F.col("needle") != "")).distinct()
     # the exchange would carry a text once for each of its grams
-    sent = F.broadcast if _few(wanted) else (lambda df: df)
+    sent = F.broadcast if few(wanted) else (lambda df: df)
     filed = wanted.select("needle", F.explode(_needle_grams(F.col("needle"))).alias("_gram"))
     held = rows.withColumn("_text", text)
     none = F.array().cast("array<string>")
@@ -82,8 +83,8 @@ def matching(rows: DataFrame, text: Column, rules: DataFrame, keep: Column | Non
     ``keep`` is a further condition over the columns of both. Rule ids are distinct; the other columns of both sides must not clash.
     """
     keep = F.lit(True) if keep is None else keep
-    book, few = compiled(rules), _few(rules)
-    sent_rules = F.broadcast if few else (lambda df: df)
+    book, short = compiled(rules), few(rules)
+    sent_rules = F.broadcast if short else (lambda df: df)
     mine = [c for c in book.columns if c not in ("regex", "literals", "pattern", "ignore_case")]
     test = F.rlike("_t", F.col("regex")) & keep
     rows = rows.withColumns({"_t": text, "_row": F.struct(*rows.columns)})
@@ -101,7 +102,7 @@ def matching(rows: DataFrame, text: Column, rules: DataFrame, keep: Column | Non
     # without: blocks of patterns, each row sent to every block; copies of a block keep any one task from taking all rows
     bare = book.where(F.size("literals") == 0)
     blocks = F.coalesce(bare.select(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int")).scalar(), F.lit(0))
-    salts = 1 if few else int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    salts = 1 if short else int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     grouped = bare.withColumn("_block", F.pmod(F.xxhash64("rule_id"), blocks)).groupBy("_block").agg(
         F.collect_list(F.struct(*mine, "regex")).alias("_rules"))
     grouped = grouped.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
