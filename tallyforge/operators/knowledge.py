@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.arrays import rank_of
 from ..rules import knowledge as K
 from .contain import containing
 from .history import first_rows
+from .ranked import best_items, counted
 
 #: Query texts that become expressions; more are looked up through the index.
 INLINE_QUERIES = 20
@@ -69,47 +71,74 @@ def _freshness(now: Column) -> Column:
     return F.when(days < 30, 2.0).when(days < 90, 0.5).otherwise(0.0)
 
 
-def relevance_by_table(kb: DataFrame, queries: DataFrame, now: Column) -> DataFrame:
-    """As ``relevance``, for a table queries(query) of any size; ``id`` identifies an entry.
+def _postings(kb: DataFrame, queries: DataFrame, now: Column) -> tuple[DataFrame, DataFrame]:
+    """items(item, bias, feature, value) and asked(query, size, feature, weight) of ``ranked.best_items``.
 
-    Postings (string, field value) come from the gram index of ``contain``; short fields are scored once per distinct
-    value. A query's score of an entry is the sum of its values' points, summed in the tasks before the exchange.
+    An entry's content score of a query is the sum of weight times value over their features. A string w has up to three: what
+    it gives as a word (``w``), what it gives as a whole query (``q``), and, in elements that hold the whole query and so each of
+    its words, what these must not add (``e``). Strings are found through the gram index of ``contain``; short fields are
+    searched once per distinct value.
     """
     asked = queries.select("query").where(F.col("query").isNotNull()).distinct().withColumn("_low", F.lower("query"))
     words = F.filter(F.split("_low", r"\s+"), lambda w: F.length(w) > 2)
     asked = asked.withColumn("_w", words).where(F.size("_w") > 0)
-    needles = asked.select("query", F.explode(F.concat(
-        F.array(F.struct(F.col("_low").alias("needle"), F.lit(True).alias("full"))),
-        F.transform("_w", lambda w: F.struct(w.alias("needle"), F.lit(False).alias("full"))))).alias("_n")).select("query", "_n.*")
-    needles = needles.groupBy("query", "needle", "full").agg(F.count(F.lit(1)).alias("times"))
-    sought = needles.select("needle")
+
+    def feature(kind: str, needle: Column, weight: Column) -> Column:
+        return F.struct(F.concat(F.lit(kind), needle).alias("feature"), weight.cast("double").alias("weight"), needle.alias("needle"))
+
+    needles = asked.select("query", F.size("_w").cast("double").alias("size"), F.explode(F.concat(
+        F.array(feature("q", F.col("_low"), F.lit(1)), feature("e", F.col("_low"), -F.size("_w"))),
+        F.transform("_w", lambda w: feature("w", w, F.lit(1))))).alias("_n")).select("query", "size", "_n.*")
+    wanted = needles.groupBy("query", "size", "feature").agg(F.sum("weight").alias("weight"))
+    sought = needles.select("needle").distinct()
 
     def listed(field: str) -> Column:
         return F.transform(F.coalesce(field, F.array()), lambda v: F.struct(F.lit(field).alias("field"), F.lower(v).alias("value")))
 
-    fields = kb.select("id", F.explode(F.concat(
+    own = kb.where(F.col("id").isNotNull()).withColumn("_fresh", _freshness(now))
+    fields = own.select("id", "_fresh", F.explode(F.concat(
         *[F.array(F.struct(F.lit(f).alias("field"), F.lower(f).alias("value"))) for f in ("topic", "library")],
-        listed("relevance"), listed("tags"))).alias("_f")).select("id", "_f.*").where("value is not null")
-    whole, each = (F.create_map(*[F.lit(x) for f, p in weights.items() for x in (f, p)])[F.col("field")] for weights in (
+        listed("relevance"), listed("tags"))).alias("_f")).select("id", "_fresh", "_f.*").where("value is not null")
+    whole, each = (F.create_map(*[F.lit(x) for f, p in weights.items() for x in (f, p)])[F.col("field")].cast("double") for weights in (
         {"topic": 10, "library": 8, "relevance": 6, "tags": 5}, {"topic": 5, "library": 4, "relevance": 3, "tags": 2}))
-    found = containing(fields.select("field", "value").distinct(), F.col("value"), sought).join(needles, "needle")
-    met = found.groupBy("field", "value", "query").agg(
-        F.bool_or("full").alias("_full"), F.sum(F.when(F.col("full"), 0).otherwise(F.col("times"))).alias("_n"))
-    both = F.when(F.col("_full"), whole).otherwise(0)
-    apart = F.when(F.col("_full") & F.col("field").isin("relevance", "tags"), 0).otherwise(F.col("_n") * each)
-    by_field = fields.join(met, ["field", "value"]).select("id", "query", (both + apart).cast("double").alias("points"))
+    found = containing(fields.select("field", "value").distinct(), F.col("value"), sought)
+    by_field = fields.join(found, ["field", "value"]).select(
+        "id", "_fresh", "needle", each.alias("w"), whole.alias("q"), F.when(F.col("field").isin("relevance", "tags"), each).otherwise(0.0).alias("e"))
 
     # texts are long: what is counted in them leaves at once
-    contents = containing(kb.select("id", F.lower("content").alias("_c")), F.col("_c"), sought).select(
-        "id", "needle", ((F.length("_c") - F.length(F.replace(F.col("_c"), F.col("needle"), F.lit("")))) / F.length("needle")).alias("_hits"))
-    by_content = contents.join(needles, "needle").select("id", "query", F.when(F.col("full"), F.lit(3.0)).otherwise(
-        F.col("times") * F.least(F.col("_hits") * 0.5, F.lit(5.0))).alias("points"))
+    hits = (F.octet_length("_c") - F.octet_length(F.replace(F.col("_c"), F.col("needle"), F.lit("")))) / F.octet_length("needle")
+    by_content = containing(own.select("id", "_fresh", F.lower("content").alias("_c")), F.col("_c"), sought).select(
+        "id", "_fresh", "needle", F.least(hits * 0.5, F.lit(5.0)).alias("w"), F.lit(3.0).alias("q"), F.lit(0.0).alias("e"))
+    kinds = ("w", "q", "e")
+    held = by_field.unionByName(by_content).groupBy("id", "needle").agg(F.max("_fresh").alias("bias"), *(F.sum(c).alias(c) for c in kinds))
+    points = F.filter(F.array(*(F.struct(F.concat(F.lit(c), "needle").alias("feature"), F.col(c).alias("value")) for c in kinds)), lambda p: p["value"] != 0)
+    return held.select(F.col("id").alias("item"), "bias", F.explode(points).alias("_p")).select("item", "bias", "_p.*"), wanted
 
-    summed = by_field.unionByName(by_content).groupBy("id", "query").agg(F.sum("points").alias("_base"))
-    scored = kb.join(summed, "id").withColumn("score", F.col("_base") + _freshness(now))
+
+def relevance_by_table(kb: DataFrame, queries: DataFrame, now: Column) -> DataFrame:
+    """As ``relevance``, for a table queries(query) of any size; ``id`` identifies an entry. Every matching pair is a row;
+    the best of each query come cheaper from ``query_knowledge``."""
+    items, asked = _postings(kb, queries, now)
+    summed = items.join(asked, "feature").groupBy("item", "query").agg(F.sum(F.col("weight") * F.col("value")).alias("_base"))
+    scored = kb.join(summed.withColumnRenamed("item", "id"), "id").withColumn("score", F.col("_base") + _freshness(now))
     return scored.where((F.col("_base") > 0) & (F.col("score") >= K.MIN_SCORE)).select("query", "score", *kb.columns)
 
 
+def _scores(base: np.ndarray, fresh: np.ndarray, size: float) -> np.ndarray:
+    score = base + fresh
+    return np.where((base > 0) & (score >= K.MIN_SCORE), score, -np.inf)
+
+
+def _best(kb: DataFrame, queries: Sequence[str] | DataFrame, now: Column, k: int) -> DataFrame:
+    """The best ``k`` rows of ``relevance`` per query. Those of a table never become pairs."""
+    if not isinstance(queries, DataFrame):
+        if len(queries) <= INLINE_QUERIES:
+            return first_rows(relevance(kb, queries, now), ["query"], [F.col("score").desc(), F.col("id")], k)
+        queries = kb.sparkSession.createDataFrame([(x,) for x in queries], "query string")
+    best = best_items(*_postings(kb, queries, now), k, _scores, counted(kb)).withColumnRenamed("item", "id")
+    return kb.join(best, "id").select("query", "score", *kb.columns)
+
+
 def relevance(kb: DataFrame, queries: Sequence[str] | DataFrame, now: Column, compat: bool = False) -> DataFrame:
     """(query, score, entry columns) of every entry matching a query.
 
@@ -138,7 +167,7 @@ def relevance(kb: DataFrame, queries: Sequence[str] | DataFrame, now: Column, co
 
 def query_knowledge(kb: DataFrame, queries: Sequence[str] | DataFrame, now: Column, k: int = K.MAX_RESULTS) -> DataFrame:
     """Best ``k`` entries per query."""
-    return first_rows(relevance(kb, queries, now), ["query"], [F.col("score").desc(), F.col("id")], k)
+    return _best(kb, queries, now, k)
 
 
 def knowledge_rows(rows: DataFrame, source: str) -> DataFrame:
@@ -219,7 +248,7 @@ def first_sentence(content: Column) -> Column:
 def knowledge_sentences(kb: DataFrame, queries: Sequence[str] | DataFrame, now: Column) -> DataFrame:
     """Fallback per query without a tip: the first sentence (under 200 characters) of the best of
     its three top entries."""
-    top = first_rows(relevance(kb, queries, now), ["query"], [F.col("score").desc(), F.col("id")], 3)
+    top = _best(kb, queries, now, 3)
     usable = top.withColumn("sentence", first_sentence(F.col("content"))).where(F.length("sentence") < 200)
     return first_rows(usable, ["query"], [F.col("score").desc(), F.col("id")]).select("query", "library", "sentence")
 

@@ -1,11 +1,13 @@
 """Best k items of each query, in blocks."""
 
 import random
+import re
 
 import numpy as np
 import pytest
 
-from tallyforge.operators import decisions as D, ranked
+from pyspark.sql import functions as F
+from tallyforge.operators import decisions as D, knowledge as K, ranked
 
 
 @pytest.mark.parametrize("kind", ["long", "string"])
@@ -47,3 +49,21 @@ def test_similar_contexts_are_no_pairs(spark, monkeypatch):
     scans = [D.similar_contexts(entries, few[at:at + 20]) for at in range(0, len(few), 20)]
     assert sorted(map(tuple, table.collect())) == sorted(tuple(x) for s in scans for x in s.select(*table.columns).collect())
     assert "array_intersect" not in table._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_best_knowledge_is_no_pairs(spark, monkeypatch):
+    monkeypatch.setattr(ranked, "SHARD", 16)
+    monkeypatch.setattr(ranked, "BLOCK", 8)
+    r = random.Random(7)
+    words = ["red", "Blue", "old", "new", "ring"]
+    pick = lambda n: " ".join(r.choice(words) for _ in range(n))
+    kb = spark.createDataFrame(
+        [(i, pick(1), pick(2), pick(r.randrange(9)), [pick(2), pick(1)], [pick(3)]) for i in range(90)],
+        "id long, topic string, library string, content string, relevance array<string>, tags array<string>").withColumn("ts", F.lit("2024-01-01").cast("timestamp"))
+    now, asked = F.lit("2024-02-15").cast("timestamp"), sorted({pick(r.randrange(1, 4)) for _ in range(30)})
+    table = K.query_knowledge(kb, spark.createDataFrame([(a,) for a in asked], "query string"), now, 5)
+    cols = ["query", "id", "score"]
+    scans = [K.query_knowledge(kb, asked[at:at + 15], now, 5) for at in range(0, len(asked), 15)]
+    assert sorted(map(tuple, table.select(*cols).collect())) == sorted(tuple(x) for s in scans for x in s.select(*cols).collect())
+    plan = table._jdf.queryExecution().optimizedPlan().toString()
+    assert not re.search(r"Aggregate \[(id|item)#\d+L?, query#", plan)
