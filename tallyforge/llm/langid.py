@@ -27,9 +27,7 @@ SAMPLE_DOCS, SAMPLE_CHARS, PARTS = 64, 30_000, 8
 ALL_CHARS = 64 * SAMPLE_CHARS
 #: Sharpness of the score: base-2 weight of one bit per letter.
 SHARPNESS = 8.0
-#: Labelled texts a language whose entropies give its bounds, about so many of least hash, none of them in the sample.
-CHECK_DOCS = 1000
-#: Quantile of their entropies and the texts a length band needs for it; texts of fewer letters are not judged.
+#: Quantile of the labelled texts' entropies and the texts a length band needs for it; texts of fewer letters are not judged.
 QUANTILE, BAND_DOCS, SHORT = 0.99, 20, 32
 # Vowel signs, accents and joiners stand within words; re has no class of them.
 _MARKS = "\u200c\u200d" + "".join(c for c in map(chr, range(sys.maxunicode + 1)) if unicodedata.category(c)[0] == "M")
@@ -37,6 +35,8 @@ _LETTERS = re.compile(rf"[^\W\d_](?:[^\W\d_]|[{_MARKS}])*")
 # Number forms such as fractions and circled digits are no letters, though \w has them; few texts hold any.
 _NUMBERS = frozenset(c for c in map(chr, range(sys.maxunicode + 1)) if unicodedata.category(c) in ("Nl", "No"))
 _STRICT = re.compile(rf"[^\W\d_{''.join(sorted(_NUMBERS))}](?:[^\W\d_{''.join(sorted(_NUMBERS))}]|[{_MARKS}])*")
+#: Decimals of the entropies whose quantiles are taken: so many keep the aggregate of a band to some ten thousand numbers.
+DECIMALS = 3
 _FIELD = 44
 _MASK = (1 << _FIELD) - 1
 
@@ -105,33 +105,39 @@ def learn(docs: DataFrame) -> dict[str, str]:
 def learn_bounded(docs: DataFrame) -> tuple[dict[str, str], dict[str, dict[int, float]]]:
     """The samples of ``learn`` and the most bits a letter of a text of each language, by length band.
 
-    The bounds come from the labelled texts of ``docs`` outside the samples, each text once: their entropies under
-    their own language.
+    The bounds come from all labelled texts of ``docs`` outside the samples, each text once: their entropies under
+    their own language, to ``DECIMALS``. Only quantiles reach the driver.
     """
     samples, read = _learn(docs)
     if not samples:
         return samples, {}
-    known = _known(docs).where(F.col("lang").isin(list(samples))).withColumn("t", F.xxhash64("text"))
-    sizes = known.groupBy("lang").agg(F.approx_count_distinct("t").alias("n")).collect()
-    # hashes are even over their range: its first part holds about CHECK_DOCS texts
-    share = [F.when(F.col("lang") == r.lang, F.lit(min(CHECK_DOCS / r.n, 1.0))) for r in sizes]
-    least = F.col("t") <= F.lit(-2.0 ** 63) + F.lit(2.0 ** 64) * F.coalesce(*share)
-    picked = known.where(least & ~F.col("t").isin(sorted(read))).dropDuplicates(["lang", "t"]).select("lang", "text")
+    known = _known(docs).where(F.col("lang").isin(list(samples))).withColumn("t", F.xxhash64("text")).where(~F.col("t").isin(sorted(read)))
 
     def step(batch):
         langs, bits, sizes = batch.column("lang").to_pylist(), [], []
         for lang, t in zip(langs, batch.column("text").to_pylist(), strict=True):
             letters, found = _parse(t, samples)
             bits.append(found.get(lang))
-            sizes.append(letters)
-        yield {"lang": langs, "letters": sizes, "entropy": bits}
+            sizes.append(band(letters))
+        yield {"lang": langs, "t": batch.column("t").to_pylist(), "band": sizes, "entropy": bits}
 
-    rows = map_slices(picked, "lang string, letters long, entropy double", step).where("entropy is not null").collect()
-    return samples, bounds([tuple(r) for r in rows], {lang: math.log2(len(s)) for lang, s in samples.items()})
+    # texts do not leave their tasks
+    parsed = map_slices(known.select("lang", "text", "t"), "lang string, t long, band int, entropy double", step).where("entropy is not null")
+    rows = parsed.dropDuplicates(["lang", "t"]).groupBy("lang", "band").agg(
+        F.count("*").alias("n"), F.percentile(F.round("entropy", DECIMALS), F.array(F.lit(0.5), F.lit(QUANTILE))).alias("q")).where(F.col("n") >= BAND_DOCS)
+    most: dict[str, dict[int, float]] = {}
+    for r in rows.collect():
+        most.setdefault(r.lang, {})[r.band] = _most(*r.q, math.log2(len(samples[r.lang])))
+    return samples, most
+
+
+def _most(median: float, high: float, apart: float) -> float:
+    return float(max(2 * high - median, (high + apart) / 2))
 
 
 def bounds(rows: list[tuple[str, int, float]], apart: dict[str, float]) -> dict[str, dict[int, float]]:
-    """``language -> length band -> most bits a letter`` from (language, letters, entropy) of labelled texts.
+    """``language -> length band -> most bits a letter`` from (language, letters, entropy) of labelled texts: what
+    ``learn_bounded`` aggregates, over a list.
 
     Halfway from their ``QUANTILE`` to ``apart``, the bits of a text whose letters are phrases each, and at least as far
     beyond the quantile as that is from the median: the tail of odd texts of the language stays in, texts no part of
@@ -143,8 +149,7 @@ def bounds(rows: list[tuple[str, int, float]], apart: dict[str, float]) -> dict[
     most: dict[str, dict[int, float]] = {}
     for (lang, k), bits in bands.items():
         if len(bits) >= BAND_DOCS:
-            high = np.quantile(bits, QUANTILE)
-            most.setdefault(lang, {})[k] = float(max(2 * high - np.median(bits), (high + apart[lang]) / 2))
+            most.setdefault(lang, {})[k] = _most(np.median(bits), np.quantile(bits, QUANTILE), apart[lang])
     return most
 
 

@@ -129,3 +129,21 @@ def test_every_one_of_seventy_languages(spark, monkeypatch):
     assert all(len({c for c in s if c != " "}) >= 4 for s in samples.values())
     fresh = spark.createDataFrame([(k, text(k), None, None, None) for k in range(70)], docs.schema)
     assert {(x["doc_id"], x["lang_pred"]) for x in as_dicts(langid.predict(fresh, samples))} == {(k, f"l{k:02d}") for k in range(70)}
+
+
+def test_language_bounds_read_every_labelled_text(spark):
+    import random
+
+    from pyspark.sql import functions as F
+
+    r = random.Random(11)
+    words = ["".join(r.choice("abcdeinorst") for _ in range(r.randrange(2, 9))) for _ in range(400)]
+    docs = [(i, " ".join(r.choice(words) for _ in range(r.randrange(8, 40))), r.choice("xy")) for i in range(2600)]
+    rows = spark.createDataFrame(docs + [(9000, *docs[0][1:])], "doc_id long, text string, lang string")
+    samples, most = langid.learn_bounded(rows)
+    read = langid._learn(rows)[1]
+    hashed = rows.select("lang", "text", F.xxhash64("text").alias("t")).distinct().collect()
+    found = [(x.lang, langid._parse(x.text, samples)) for x in hashed if x.t not in read]
+    want = langid.bounds([(lang, n, bits[lang]) for lang, (n, bits) in found], {k: math.log2(len(s)) for k, s in samples.items()})
+    assert {lang: sorted(own) for lang, own in most.items()} == {lang: sorted(own) for lang, own in want.items()}
+    assert all(abs(most[lang][k] - v) < 0.002 for lang, own in want.items() for k, v in own.items())
