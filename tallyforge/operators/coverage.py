@@ -34,32 +34,38 @@ def _run_events(lines: Column) -> Column:
     def event(pos: Column, d: int) -> Column:
         return F.struct(pos.cast("int").alias("pos"), F.lit(d).alias("d"))
 
-    return F.concat(F.transform(F.filter(lines, before), lambda x: event(x, 1)), F.transform(F.filter(lines, after), lambda x: event(x + 1, -1)))
+    runs = F.concat(F.transform(F.filter(lines, before), lambda x: event(x, 1)), F.transform(F.filter(lines, after), lambda x: event(x + 1, -1)))
+    # lines without a gap need no look at each of them
+    first, last = F.get(lines, F.lit(0)), F.get(lines, F.size(lines) - 1)
+    return F.when(last - first + 1 == F.size(lines), F.array(event(first, 1), event(last + 1, -1))).otherwise(runs)
 
 
 def merge_coverage(cov: DataFrame, compat: bool = False) -> DataFrame:
     """One row per file of a repo over all tools.
 
     Default: largest raw counts, and a line is uncovered if every report of the file misses it. ``compat``: largest rounded
-    percentages and the union of uncovered lines. A report sends its counts once and two events per run of uncovered
-    lines; events of one place are summed in the tasks, and a running sum over a file's places is the number of
+    percentages and the union of uncovered lines. A report's counts go to one aggregate per file; its lines send two events
+    per run, of which those of one place are summed in the tasks, and a running sum over a file's places is the number of
     reports that miss the lines from there on.
     """
     per = coverage_files(cov) if compat else cov
     stats = [f"{k}_pct" for k in KINDS] if compat else [f"{s}_{k}" for k in KINDS for s in ("total", "covered")]
+    # in structs nulls are equal, so the join keeps a file without a repo or path
+    key = ["_repo", "_path"]
+    named = per.withColumns({"_repo": F.struct("repo"), "_path": F.struct("path")})
+    counts = named.groupBy(*key).agg(F.count(F.lit(1)).alias("_reports"), *(F.max(c).alias(c) for c in stats))
     clean = F.sort_array(F.array_distinct(F.filter(F.coalesce("uncovered_lines", F.array()), lambda x: x.isNotNull())))
-    rows = per.select("repo", "path", *stats, clean.alias("_lines"))
-    report = F.array(F.struct(F.lit(None).cast("int").alias("pos"), F.lit(0).alias("d")))
-    events = rows.select("repo", "path", *stats, F.explode(F.concat(report, _run_events(F.col("_lines")))).alias("_e"))
-    head = F.col("_e.pos").isNull()
-    summed = events.groupBy("repo", "path", F.col("_e.pos").alias("_pos")).agg(
-        F.sum("_e.d").alias("_d"), F.count_if(head).alias("_r"), *(F.max(F.when(head, F.col(c))).alias(c) for c in stats))
-    sweep = W.partitionBy("repo", "path").orderBy("_pos")  # the reports' own row comes first
-    swept = summed.select("repo", "path", "_pos", *stats, F.sum("_d").over(sweep).alias("_depth"),
-                          F.first("_r").over(sweep).alias("_reports"), F.lead("_pos").over(sweep).alias("_next"))
-    missed = F.col("_depth") > 0 if compat else F.col("_depth") == F.col("_reports")
-    lines = F.when(F.col("_pos").isNotNull() & missed, F.sequence("_pos", F.col("_next") - 1))
-    files = swept.groupBy("repo", "path").agg(F.sort_array(F.flatten(F.collect_list(lines))).alias("uncovered_lines"), *(F.max(c).alias(c) for c in stats))
+    events = named.select(*key, clean.alias("_lines")).select(*key, F.explode(_run_events(F.col("_lines"))).alias("_e"))
+    summed = events.groupBy(*key, F.col("_e.pos").alias("_pos")).agg(F.sum("_e.d").alias("_d"))
+    sweep = W.partitionBy(*key).orderBy("_pos")
+    swept = summed.select(*key, "_pos", F.sum("_d").over(sweep).alias("_depth"), F.lead("_pos").over(sweep).alias("_next"))
+    runs = swept.where("_depth > 0").groupBy(*key).agg(F.sort_array(F.collect_list(F.struct("_pos", "_next", "_depth"))).alias("_runs"))
+    files = counts.join(runs, key, "left")
+    missed = F.coalesce("_runs", F.array())
+    if not compat:
+        missed = F.filter(missed, lambda r: r["_depth"] == F.col("_reports"))
+    files = files.withColumn("uncovered_lines", F.flatten(F.transform(missed, lambda r: F.sequence(r["_pos"], r["_next"] - 1)))).withColumns(
+        {"repo": F.col("_repo.repo"), "path": F.col("_path.path")})
     shares = stats if compat else [pct(F.col(f"covered_{k}"), F.col(f"total_{k}"), 0, 100.0).alias(f"{k}_pct") for k in KINDS]
     return files.select("repo", "path", *shares, "uncovered_lines")
 

@@ -117,3 +117,19 @@ def test_lock_files_are_dealt(spark):
 
     plan = lock_files(Tables(spark, "/root/testdata/sf0.001"))._jdf.queryExecution().analyzed().toString()
     assert "RepartitionByExpression [p_partkey" in plan
+
+
+def test_coverage_counts_do_not_travel_with_lines(spark):
+    from tallyforge.operators import coverage as CV
+
+    kinds = ", ".join(f"9 total_{k}, n covered_{k}" for k in CV.KINDS)
+    cov = spark.sql(f"""select repo, path, uncovered_lines, {kinds} from values ('r', 'a', array(3, 1, 2, null, 2), 3), ('r', 'a', array(2, 3, 7), 5),
+        ('r', 'b', null, 1), (null, 'a', array(4), 2), ('r', null, array(9, 5, 6), 7), ('r', null, array(5), 0) as t(repo, path, uncovered_lines, n)""")
+    for compat, want in ((False, {("r", "a"): [2, 3], ("r", "b"): [], (None, "a"): [4], ("r", None): [5]}),
+                         (True, {("r", "a"): [1, 2, 3, 7], ("r", "b"): [], (None, "a"): [4], ("r", None): [5, 6, 9]})):
+        merged = CV.merge_coverage(cov, compat)
+        got = merged.collect()
+        assert len(got) == 4 and {(r.repo, r.path): r.uncovered_lines for r in got} == want
+        assert {(r.repo, r.path): r.lines_pct for r in got}[("r", "a")] == 56.0
+        plan = merged._jdf.queryExecution().optimizedPlan().toString()
+        assert all("total_lines" not in x and "lines_pct" not in x for x in plan.split("\n") if "Aggregate" in x and "_pos" in x)
