@@ -6,8 +6,8 @@ sequence. Bands of ``ROWS`` registers are keys; documents of one key are candida
 
 Candidates are linked without listing all pairs of a key. Each document is first compared with the least document among all
 its keys, then with the least of each key where both still lie in different components; a key whose other members
-still differ is compared block by block, with bounded blocks, all pairs of a block by one matrix product, and yields only a
-spanning forest. Every comparison estimates the Jaccard similarity from the registers, corrected for chance agreement,
+still differ is compared tile by tile: those outside its largest component, in bounded blocks, with all others, the pairs of
+a tile by one matrix product, and yields only a spanning forest. Every comparison estimates the Jaccard similarity from the registers, corrected for chance agreement,
 and confirms on the full sets what comes near.
 """
 
@@ -20,7 +20,7 @@ from functools import cache
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from .encoding import Memo
 from .frames import SLICE_ROWS, arrow, map_slices, settle
@@ -32,8 +32,8 @@ BUCKETS = BANDS * ROWS
 MANTISSA = 4
 #: Estimates more than this below the threshold are not confirmed: over five standard deviations of ``BUCKETS`` registers.
 MARGIN = 0.12
-#: Documents of a key that one task compares with as many others.
-BLOCK = 256
+#: Documents of a key, and shingles of theirs, that one task compares with as many others.
+BLOCK, WEIGHT = 2048, 1 << 20
 _ODD = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0xD6E8FEB86659FD93))
 
 
@@ -155,8 +155,12 @@ def _confirmed(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     return map_slices(met, "a long, b long", step)
 
 
-def forest(sets: list[np.ndarray], labels: list[int]) -> list[tuple[int, int]]:
-    """Edges, as places, that join the linked ones of ``sets``; those of one label count as joined."""
+def forest(sets: list[np.ndarray], labels: list[int], first: int | None = None) -> list[tuple[int, int]]:
+    """Edges, as places, that join the linked ones of ``sets``; those of one label count as joined.
+
+    Only the ``first`` sets (all, if not given) meet the others.
+    """
+    first = len(sets) if first is None else first
     root = list(range(len(sets)))
 
     def find(i: int) -> int:
@@ -165,16 +169,17 @@ def forest(sets: list[np.ndarray], labels: list[int]) -> list[tuple[int, int]]:
             i = root[i]
         return i
 
-    first: dict[int, int] = {}
+    known: dict[int, int] = {}
     for i, label in enumerate(labels):
-        root[i] = first.setdefault(label, i)
+        root[i] = known.setdefault(label, i)
+    group = np.array(root)
     size = np.array([len(s) for s in sets])
     flat, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), size)
     found, place, n = np.unique(flat, return_inverse=True, return_counts=True)
     shared = np.cumsum(n > 1) - 1
     keep = n[place] > 1
     place, owner = shared[place[keep]], owner[keep]
-    both = np.zeros((len(sets), len(sets)), np.float32)
+    both = np.zeros((first, len(sets)), np.float32)
     order = np.argsort(place, kind="stable")
     place, owner = place[order], owner[order]
     width = 2048
@@ -182,11 +187,12 @@ def forest(sets: list[np.ndarray], labels: list[int]) -> list[tuple[int, int]]:
         lo, hi = np.searchsorted(place, [at, at + width])
         m = np.zeros((len(sets), width), np.float32)
         m[owner[lo:hi], place[lo:hi] - at] = 1
-        both += m @ m.T
+        both += m[:first] @ m.T
     exact = both.astype(np.int64)
-    near = 100 * exact >= PERCENT * (size[:, None] + size[None, :] - exact)
+    near = 100 * exact >= PERCENT * (size[:first, None] + size[None, :] - exact)
+    near &= (exact > 0) & (group[:first, None] != group[None, :])
     edges = []
-    for i, j in zip(*np.nonzero(np.triu(near & (exact > 0), 1)), strict=True):
+    for i, j in zip(*np.nonzero(np.triu(near, 1)), strict=True):
         a, b = find(int(i)), find(int(j))
         if a != b:
             root[b] = a
@@ -200,25 +206,48 @@ def _open_keys(members: DataFrame) -> DataFrame:
     keys = rest.where("lo <> hi").select("key")
     size = members.join(keys, "key").groupBy("key").agg(
         F.count("*").alias("n"), F.min("node").alias("first"), F.max("node").alias("last"), F.bit_xor(F.xxhash64("node")).alias("sum"))
-    return size.groupBy("n", "first", "last", "sum").agg(F.min("key").alias("key")).select("key", "n")
+    return size.groupBy("n", "first", "last", "sum").agg(F.min("key").alias("key")).select("key")
+
+
+def _blocks(n: str, weight: str) -> Column:
+    return F.ceil(F.greatest(F.col(n) / BLOCK, F.col(weight) / WEIGHT)).cast("int")
+
+
+def _tiles(members: DataFrame, nodes: DataFrame) -> DataFrame:
+    """``key, i, j, node, label, meets``: who stands together in one task, for the keys that stay open.
+
+    The members of a key's largest component need not meet each other. Those outside it are dealt into blocks, those of
+    it into chunks. Tile ``i, j`` of j >= 0 holds block i and chunk j; tile ``i, -1 - j`` holds blocks i < j. Members that
+    ``meets`` marks meet all of their tile.
+    """
+    mine = members.join(_open_keys(members), "key").select("key", "node", "label").join(nodes.select("node", "n_shingles"), "node")
+    parts = mine.groupBy("key", "label").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("weight"))
+    keys = parts.groupBy("key").agg(
+        F.max(F.struct("n", "weight", "label")).alias("most"), F.sum("n").alias("n"), F.sum("weight").alias("weight"))
+    keys = keys.select(
+        "key", F.col("most.label").alias("main"), F.col("most.n").alias("n_in"), F.col("most.weight").alias("w_in"),
+        (F.col("n") - F.col("most.n")).alias("n_out"), (F.col("weight") - F.col("most.weight")).alias("w_out"))
+    keys = keys.select("key", "main", _blocks("n_in", "w_in").alias("chunks"), _blocks("n_out", "w_out").alias("blocks"))
+    dealt = mine.join(keys, "key").withColumn("out", F.col("label") != F.col("main")).withColumn(
+        "at", F.expr("cast(pmod(xxhash64(node, 'block'), if(out, blocks, chunks)) as int)"))
+    tiles = F.expr("""if(out,
+        concat(transform(sequence(0, chunks - 1), c -> struct(at as i, c as j, true as meets)),
+               transform(filter(sequence(0, blocks - 1), o -> o <> at), o -> struct(least(at, o) as i, -1 - greatest(at, o) as j, at < o as meets))),
+        transform(sequence(0, blocks - 1), o -> struct(o as i, at as j, false as meets)))""")
+    return dealt.select("key", "node", "label", F.explode(tiles).alias("tile")).select("key", "tile.*", "node", "label")
 
 
 def _block_links(members: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Spanning links of the keys that stay open, block against block of a key."""
-    mine = members.join(_open_keys(members), "key").select(
-        "key", "node", "label", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
-    mine = mine.withColumn("block", F.pmod(F.xxhash64("node", F.lit("block")), F.col("blocks")).cast("int"))
-    # a block meets itself and every other once: group (i, j) holds the blocks i <= j
-    met = mine.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
-        "key", "node", "label", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
-    met = met.join(nodes.select("node", "text"), "node")
+    """Spanning links of the keys that stay open, tile by tile."""
+    met = _tiles(members, nodes).join(nodes.select("node", "text"), "node")
 
     def run(group: pa.Table) -> pa.Table:
+        group = group.sort_by([("meets", "descending")])
         nodes_, labels, texts = (group.column(c).to_pylist() for c in ("node", "label", "text"))
         sets: list[np.ndarray] = []
         for at in range(0, len(texts), SLICE_ROWS):
             sets += shingle_sets(texts[at:at + SLICE_ROWS])
-        edges = forest(sets, labels)
+        edges = forest(sets, labels, sum(group.column("meets").to_pylist()))
         return pa.table({"a": [nodes_[i] for i, _ in edges], "b": [nodes_[j] for _, j in edges]}, schema=arrow("a long, b long"))
 
     return met.groupBy("key", "i", "j").applyInArrow(run, "a long, b long")
@@ -257,7 +286,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     leaders = members.select(F.col("node").alias("lead"), F.col("label").alias("lead_label")).distinct()
     open_ = members.join(leaders, "lead").where("label <> lead_label").select(F.col("lead").alias("a"), F.col("node").alias("b")).distinct()
     links = settle(links.union(_confirmed(open_, nodes)), "links")
-    # block by block, where members of a key still differ
+    # tile by tile, where members of a key still differ
     members = settle(_labelled(members, components(links)), "members")
     links = links.union(_block_links(members, nodes))
     found = components(links)

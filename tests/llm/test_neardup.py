@@ -117,6 +117,38 @@ def test_forest_joins_exactly_the_linked():
     assert {i: root[i] for i in range(len(sets))} == want
 
 
+def test_members_of_one_component_do_not_meet_each_other(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "BLOCK", 16)
+    # a key of 320 joined members and 40 others, each alone
+    label = {n: 0 if n < 320 else n for n in range(360)}
+    members = spark.createDataFrame([(7, n, 0, label[n]) for n in label], "key long, node long, lead long, label long")
+    nodes = spark.createDataFrame([(n, 50) for n in label], "node long, n_shingles long")
+    tiles, met = {}, set()
+    for r in neardup._tiles(members, nodes).collect():
+        tiles.setdefault((r["i"], r["j"]), []).append((r["node"], r["meets"]))
+    for tile in tiles.values():
+        met |= {frozenset((a, b)) for a, meets in tile if meets for b, _ in tile if a != b}
+    assert met == {frozenset(p) for p in itertools.combinations(label, 2) if label[p[0]] != label[p[1]]}
+    # 320 in each of 3 blocks, 40 against 20 chunks and 2 other blocks; every block with every block would be 360 * 23
+    assert sum(map(len, tiles.values())) == 320 * 3 + 40 * (20 + 2)
+
+
+def test_forest_of_the_first_against_all():
+    texts = [t for t in cloud(6, 40) if words(t)]
+    sets = neardup.shingle_sets(texts)
+    want = {(i, j) for i, j in itertools.combinations(range(len(sets)), 2) if i < 9 and neardup.linked(sets[i], sets[j])}
+    root = list(range(len(sets)))
+    for i, j in want:
+        lo, hi = sorted((root[i], root[j]))
+        root = [lo if x == hi else x for x in root]
+    got = list(range(len(sets)))
+    for i, j in neardup.forest(sets, list(range(len(sets))), 9):
+        assert (i, j) in want
+        lo, hi = sorted((got[i], got[j]))
+        got = [lo if x == hi else x for x in got]
+    assert got == root
+
+
 @pytest.mark.parametrize("edges", [[], [(1, 1)], [(i, i + 1) for i in range(40)], [(0, i) for i in range(1, 30)] + [(100, 101), (101, 102), (102, 100)]])
 def test_components(spark, edges):
     got = dict(rows(graph.components(spark.createDataFrame(edges, "a long, b long"))))
