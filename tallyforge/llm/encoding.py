@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import os
 import re
+from array import array
 from collections.abc import Callable, Iterable
 from functools import cache
 
@@ -21,9 +22,9 @@ LITERAL = "\x01"
 _RUN = re.compile(r"\s\s")
 _BEYOND_LATIN = re.compile("[^\x00-\xff]")
 #: A stop or comma that another mark precedes belongs to a run of marks.
-_MARKS = re.compile(r"[^\w \n][.,]|_[.,]")
+_MARKS = re.compile(r"[.,](?<![^\W_][.,])(?<![ \n][.,])")
 #: Or stands apart from the word before it.
-_APART = re.compile(r"\W[.,]|_[.,]")
+_APART = re.compile(r"[.,](?<![^\W_][.,])")
 _BEFORE_RUN = re.compile(r"(?<=\S)(?=\s)")
 
 
@@ -71,8 +72,7 @@ class Memo(dict):
             todo = list(dict.fromkeys(self.todo))
             self.todo = []
             self.update(zip(todo, self.fill(todo), strict=True))
-            out = [[self[k] if v is None else v for k, v in zip(ks, vs, strict=True)] if None in vs else vs
-                   for ks, vs in zip(keys, out, strict=True)]
+            out = [list(map(self.__getitem__, ks)) if None in vs else vs for ks, vs in zip(keys, out, strict=True)]
         return out
 
 
@@ -129,6 +129,19 @@ def load(path: str):
     return Tokenizer.from_file(path)
 
 
+def _whole_words(tok, spaced: bool) -> bool:
+    """Whether the model alone gives the library's ids of plain words, tried on words of every letter and length."""
+    if type(tok.model).__name__ != "BPE":
+        return False
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    tried = [(letters * 3)[k:k + n] for k in range(26) for n in (1, 2, 3, 5, 8, 13, 26, 52)] + ["the", "and", "of", "information"]
+    tried += [t.capitalize() for t in tried] + [t.upper() for t in tried] if spaced else []
+    opening = "\u0120" if spaced else ""
+    whole = tok.encode_batch_fast([" " * spaced + t for t in tried], add_special_tokens=False)
+    return all([t.id for t in tok.model.tokenize(opening + word)] == e.ids for word, e in zip(tried, whole, strict=True)) and not any(
+        a.content.isalpha() and a.content.isascii() for a in tok.get_added_tokens_decoder().values())
+
+
 @cache
 def encoder(path: str, spaced: bool) -> Callable[[list[str]], list[bytes]]:
     """``texts -> ids of each as little-endian unsigned 32-bit bytes``, one per worker and vocabulary."""
@@ -141,28 +154,20 @@ def encoder(path: str, spaced: bool) -> Callable[[list[str]], list[bytes]]:
     def alone(units: list[str]) -> list[bytes]:
         return [np.asarray(e.ids, "<u4").tobytes() for e in tok.encode_batch_fast(units, add_special_tokens=False)]
 
-    def words(units: list[str]) -> list[bytes]:
-        # every unit is one word, and a word's last piece is marked
-        ids = np.asarray(tok.encode_batch_fast([" ".join(units)], add_special_tokens=False)[0].ids, "<u4")
-        cuts = [0, *(np.flatnonzero(ends[ids]) + 1).tolist()]
-        raw = ids.tobytes()
-        return [raw[4 * a:4 * b] for a, b in zip(cuts, cuts[1:], strict=False)]
+    # the model alone encodes a word that the vocabulary's normaliser and pre-tokenizer leave whole
+    model = tok.model
+    opening = "\u0120" if spaced else ""
 
-    names = tok.get_vocab()
-    ends = np.zeros(max(names.values()) + 1, bool)
-    ends[[i for name, i in names.items() if name.endswith("</w>")]] = True
+    def words(units: list[str]) -> list[bytes]:
+        return [array("I", [t.id for t in model.tokenize(opening + u)]).tobytes() for u in units]
 
     def fill(keys: list) -> list[bytes]:
-        if not spaced and ends.any():
-            plain = [k for k in keys if k.isalpha() and k.isascii()]
-            known = {}
-            for at in range(0, len(plain), CALL_UNITS):
-                part = plain[at:at + CALL_UNITS]
-                known.update(zip(part, words(part), strict=True))
-            rest = [k for k in keys if k not in known]
-            known.update(zip(rest, marked(rest), strict=True))
-            return [known[k] for k in keys]
-        return marked([unit_text(k) for k in keys] if spaced else keys)
+        # of a vocabulary without blanks only what its normaliser cannot change
+        plain = [k for k in keys if isinstance(k, str) and k.isalpha() and k.isascii() and (spaced or k.islower())] if by_words else []
+        known = dict(zip(plain, words(plain), strict=True))
+        rest = [k for k in keys if k not in known]
+        known.update(zip(rest, marked([unit_text(k) for k in rest] if spaced else rest), strict=True))
+        return [known[k] for k in keys]
 
     def marked(units: list[str]) -> list[bytes]:
         if mark is None or any(mark in u for u in units):
@@ -176,5 +181,6 @@ def encoder(path: str, spaced: bool) -> Callable[[list[str]], list[bytes]]:
             out += [raw[4 * a + 4:4 * b] for a, b in zip(cuts, cuts[1:], strict=False)]
         return out
 
+    by_words = _whole_words(tok, spaced)
     memo, cut = Memo(fill), spaced_units if spaced else blank_units
     return lambda texts: [b"".join(values) for values in memo.take(map(cut, texts))]

@@ -26,6 +26,23 @@ def test_units_give_the_ids_of_the_library(path, spaced):
         encoding.load(path).encode(t, add_special_tokens=False).ids for t in texts]
 
 
+@pytest.mark.parametrize(("path", "spaced"), [(BYTE, True), (WORD, False)])
+def test_plain_words_are_encoded_by_the_model_alone(path, spaced):
+    assert encoding._whole_words(encoding.load(path), spaced)
+    texts = ["Word WORD word \u4e2d Hello", "HELLO \u4e2d a.b", "x" * 300 + " y", ".start ,x _. a_. b.", "don't stop, it's one."]
+    got = encoding.encoder(path, spaced)(texts)
+    assert [np.frombuffer(g, "<u4").tolist() for g in got] == [
+        encoding.load(path).encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_vocabularies_that_split_words_are_not_taken_by_words():
+    from tokenizers import Regex, Tokenizer, pre_tokenizers
+
+    tok = Tokenizer.from_file(BYTE)
+    tok.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.Split(Regex("th"), "isolated"), tok.pre_tokenizer])
+    assert not encoding._whole_words(tok, True)
+
+
 def test_memo_forgets_and_fills_again():
     asked = []
     memo = encoding.Memo(lambda ks: [asked.append(k) or k * 2 for k in ks], limit=2)
