@@ -5,9 +5,10 @@ zeros (4 bits) and the bits after them (4 bits). Empty buckets borrow the regist
 sequence. Bands of ``ROWS`` registers are keys; documents of one key are candidates. Documents of equal sets count once.
 
 Candidates are linked without listing all pairs of a key. Each document is first compared with the least document among all
-its keys, then with the least of each key where both still lie in different components; a key whose other members
-still differ is compared tile by tile: those outside its largest component, in bounded blocks, with all others, the pairs of
-a tile by one matrix product, and yields only a spanning forest. Every comparison estimates the Jaccard similarity from the registers, corrected for chance agreement,
+its keys, then with the least of each key where both still lie in different components; keys whose other members
+still differ are compared tile by tile, those whose least members lie in one component together: the members outside the
+largest component, in bounded blocks, with all others, the pairs of a tile by one matrix product, which yields only a
+spanning forest. Every comparison estimates the Jaccard similarity from the registers, corrected for chance agreement,
 and confirms on the full sets what comes near.
 """
 
@@ -201,12 +202,16 @@ def forest(sets: list[np.ndarray], labels: list[int], first: int | None = None)
 
 
 def _open_keys(members: DataFrame) -> DataFrame:
-    """Keys with members, besides the least, in different components; of keys of the same members one."""
+    """``key, home`` of keys with members, besides the least, in different components; of keys of the same members one.
+
+    The home of a key is the component of its least member.
+    """
     rest = members.where("node <> lead").groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"))
     keys = rest.where("lo <> hi").select("key")
     size = members.join(keys, "key").groupBy("key").agg(
-        F.count("*").alias("n"), F.min("node").alias("first"), F.max("node").alias("last"), F.bit_xor(F.xxhash64("node")).alias("sum"))
-    return size.groupBy("n", "first", "last", "sum").agg(F.min("key").alias("key")).select("key")
+        F.count("*").alias("n"), F.min(F.struct("node", "label")).alias("first"), F.max("node").alias("last"),
+        F.bit_xor(F.xxhash64("node")).alias("sum"))
+    return size.groupBy("n", "first", "last", "sum").agg(F.min("key").alias("key")).select("key", F.col("first.label").alias("home"))
 
 
 def _blocks(n: str, weight: str) -> Column:
@@ -214,27 +219,37 @@ def _blocks(n: str, weight: str) -> Column:
 
 
 def _tiles(members: DataFrame, nodes: DataFrame) -> DataFrame:
-    """``key, i, j, node, label, meets``: who stands together in one task, for the keys that stay open.
+    """``home, key, i, j, node, label, meets``: who stands together in one task, for the keys that stay open.
 
-    The members of a key's largest component need not meet each other. Those outside it are dealt into blocks, those of
-    it into chunks. Tile ``i, j`` of j >= 0 holds block i and chunk j; tile ``i, -1 - j`` holds blocks i < j. Members that
-    ``meets`` marks meet all of their tile.
+    Keys of one home share most of their members, so these stand together once for all of its keys (``key`` null), unless
+    its keys one by one ask for fewer rows and comparisons. The members of the largest component need not meet each other.
+    Those outside it are dealt into blocks, those of it into chunks. Tile ``i, j`` of j >= 0 holds block i and chunk j;
+    tile ``i, -1 - j`` holds blocks i < j. Members that ``meets`` marks meet all of their tile.
     """
-    mine = members.join(_open_keys(members), "key").select("key", "node", "label").join(nodes.select("node", "n_shingles"), "node")
-    parts = mine.groupBy("key", "label").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("weight"))
-    keys = parts.groupBy("key").agg(
+    shared = members.join(_open_keys(members), "key").groupBy("home", "node").agg(
+        F.first("label").alias("label"), F.collect_list("key").alias("keys"))
+    mine = settle(shared.join(nodes.select("node", "n_shingles"), "node"), "open")
+    each = mine.select("home", "node", "label", "n_shingles", F.explode(F.concat(F.array(F.lit(None).cast("long")), "keys")).alias("key"))
+    parts = each.groupBy("home", "key", "label").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("weight"))
+    shapes = parts.groupBy("home", "key").agg(
         F.max(F.struct("n", "weight", "label")).alias("most"), F.sum("n").alias("n"), F.sum("weight").alias("weight"))
-    keys = keys.select(
-        "key", F.col("most.label").alias("main"), F.col("most.n").alias("n_in"), F.col("most.weight").alias("w_in"),
+    shapes = shapes.select(
+        "home", "key", F.col("most.label").alias("main"), F.col("most.n").alias("n_in"), F.col("most.weight").alias("w_in"),
         (F.col("n") - F.col("most.n")).alias("n_out"), (F.col("weight") - F.col("most.weight")).alias("w_out"))
-    keys = keys.select("key", "main", _blocks("n_in", "w_in").alias("chunks"), _blocks("n_out", "w_out").alias("blocks"))
-    dealt = mine.join(keys, "key").withColumn("out", F.col("label") != F.col("main")).withColumn(
+    shapes = shapes.withColumns({"chunks": _blocks("n_in", "w_in"), "blocks": _blocks("n_out", "w_out")})
+    # rows of the tiles, and comparisons, of which a block of them counts as one row
+    shapes = shapes.withColumn("cost", F.expr(f"n_in * blocks + n_out * (chunks + blocks - 1) + n_out * (n_in + n_out) / {BLOCK}"))
+    better = shapes.groupBy("home").agg(F.expr("sum(if(key is null, cost, 0)) <= sum(if(key is null, 0, cost))").alias("together"))
+    shapes = shapes.join(better, "home").where("(key is null) = together").select(
+        F.col("home").alias("its_home"), F.col("key").alias("its_key"), "main", "chunks", "blocks")
+    dealt = each.join(shapes, (F.col("home") == F.col("its_home")) & F.col("key").eqNullSafe(F.col("its_key")))
+    dealt = dealt.withColumn("out", F.col("label") != F.col("main")).withColumn(
         "at", F.expr("cast(pmod(xxhash64(node, 'block'), if(out, blocks, chunks)) as int)"))
     tiles = F.expr("""if(out,
         concat(transform(sequence(0, chunks - 1), c -> struct(at as i, c as j, true as meets)),
                transform(filter(sequence(0, blocks - 1), o -> o <> at), o -> struct(least(at, o) as i, -1 - greatest(at, o) as j, at < o as meets))),
         transform(sequence(0, blocks - 1), o -> struct(o as i, at as j, false as meets)))""")
-    return dealt.select("key", "node", "label", F.explode(tiles).alias("tile")).select("key", "tile.*", "node", "label")
+    return dealt.select("home", "key", "node", "label", F.explode(tiles).alias("tile")).select("home", "key", "tile.*", "node", "label")
 
 
 def _block_links(members: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -250,7 +265,7 @@ def _block_links(members: DataFrame, nodes: DataFrame) -> DataFrame:
         edges = forest(sets, labels, sum(group.column("meets").to_pylist()))
         return pa.table({"a": [nodes_[i] for i, _ in edges], "b": [nodes_[j] for _, j in edges]}, schema=arrow("a long, b long"))
 
-    return met.groupBy("key", "i", "j").applyInArrow(run, "a long, b long")
+    return met.groupBy("home", "key", "i", "j").applyInArrow(run, "a long, b long")
 
 
 def _labelled(members: DataFrame, found: DataFrame) -> DataFrame:

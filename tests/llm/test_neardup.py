@@ -133,6 +133,33 @@ def test_members_of_one_component_do_not_meet_each_other(spark, monkeypatch):
     assert sum(map(len, tiles.values())) == 320 * 3 + 40 * (20 + 2)
 
 
+def test_keys_of_one_home_share_their_rows(spark):
+    # 20 keys of 30 joined members and the same 6 others, each alone, besides one member of its own
+    label = {n: 0 if n < 30 else n for n in range(60)}
+    stands = [(k, n, 0, label[n]) for k in range(20) for n in [*range(36), 36 + k]]
+    members = spark.createDataFrame(stands, "key long, node long, lead long, label long")
+    nodes = spark.createDataFrame([(n, 50) for n in label], "node long, n_shingles long")
+    tiles = neardup._tiles(members, nodes).collect()
+    # 37 rows in each of 20 keys would be 740
+    assert sorted(r["node"] for r in tiles) == list(range(56))
+    assert {r["node"] for r in tiles if r["meets"]} == set(range(30, 56))
+
+
+def test_keys_with_little_in_common_stay_apart(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "BLOCK", 16)
+    stands = [(k, n, 0, n) for k in range(9) for n in [0, *range(1 + 20 * k, 21 + 20 * k)]]
+    members = spark.createDataFrame(stands, "key long, node long, lead long, label long")
+    nodes = spark.createDataFrame([(n, 50) for n in range(181)], "node long, n_shingles long")
+    tiles, met = {}, set()
+    for r in neardup._tiles(members, nodes).collect():
+        tiles.setdefault((r["key"], r["i"], r["j"]), []).append((r["node"], r["meets"]))
+    for tile in tiles.values():
+        met |= {frozenset((a, b)) for a, meets in tile if meets for b, _ in tile if a != b}
+    keys = ([n for k, n, _, _ in stands if k == key] for key in range(9))
+    assert met == {frozenset(p) for ns in keys for p in itertools.combinations(ns, 2)}
+    assert {key for key, _, _ in tiles} == set(range(9))
+
+
 def test_forest_of_the_first_against_all():
     texts = [t for t in cloud(6, 40) if words(t)]
     sets = neardup.shingle_sets(texts)
