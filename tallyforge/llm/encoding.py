@@ -13,6 +13,7 @@ import re
 from array import array
 from collections.abc import Callable, Iterable
 from functools import cache
+from itertools import chain
 
 import numpy as np
 
@@ -47,15 +48,6 @@ class Memo(dict):
     def __init__(self, fill: Callable[[list], Iterable], limit: int = 300_000):
         super().__init__()
         self.fill, self.limit, self.old = fill, limit, {}
-        self.todo: list = []
-
-    def __missing__(self, key):
-        known = self.old.get(key)
-        if known is None:
-            self.todo.append(key)
-        else:
-            self[key] = known
-        return known
 
     def take(self, keys: Iterable[list]) -> list[list]:
         """Values of each list of keys; those not known are filled in one call."""
@@ -68,13 +60,13 @@ class Memo(dict):
             self.old = dict(self)
             self.clear()
         keys = list(keys)
-        out = [list(map(self.__getitem__, ks)) for ks in keys]
-        if self.todo:
-            todo = list(dict.fromkeys(self.todo))
-            self.todo = []
+        todo = [k for k in dict.fromkeys(chain.from_iterable(keys)) if k not in self]
+        if self.old:
+            self.update((k, self.old[k]) for k in todo if k in self.old)
+            todo = [k for k in todo if k not in self]
+        if todo:
             self.update(zip(todo, self.fill(todo), strict=True))
-            out = [list(map(self.__getitem__, ks)) if None in vs else vs for ks, vs in zip(keys, out, strict=True)]
-        return out
+        return [list(map(self.__getitem__, ks)) for ks in keys]
 
 
 class Joints:

@@ -2,6 +2,7 @@
 
 import itertools
 import random
+import sys
 import zlib
 
 import numpy as np
@@ -275,3 +276,14 @@ def test_only_lengths_that_occur_are_tried():
     own = pieces.Transducer(PIECE)
     for last in ("ing", "e", "▁q", "zqj", "\U0001f600"):
         assert own.ends(last) == sorted({len(p) for p in own.pieces if p == last[-len(p):] or len(p) > 3 and p.endswith(last) and len(last) == 3}, reverse=True)
+
+
+def test_a_memo_asks_no_function_for_each_key():
+    memo, calls = encoding.Memo(lambda keys: list(map(len, keys))), []
+    keys = [[f"{i}-{k % 50}" for k in range(100)] for i in range(20)]
+    sys.setprofile(lambda frame, event, arg: calls.append(event) if event == "call" else None)
+    got = memo.take(keys)
+    sys.setprofile(None)
+    assert got == [[len(k) for k in ks] for ks in keys] and len(calls) < 20
+    memo.limit = 10
+    assert memo.take([["0-1", "new"]]) == [[3, 3]] and set(memo) == {"0-1", "new"} and len(memo.old) == 1000
