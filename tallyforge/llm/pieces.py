@@ -82,12 +82,12 @@ class Transducer:
         for p in self.pieces:
             self.lengths.setdefault(p[-3:], set()).add(len(p))
         self.ending: dict[str, list[int]] = {}
-        self.start = {"": ((0, 0.0), "", -1)}
-        self.table = dict(self.start)
+        # the unit last composed, and the state of each of its prefixes: barred arcs, score lost, last piece and its start
+        self.unit, self.states = "", [(0, 0.0, "", 0)]
         self.written = [self._spelled(i) for i in range(self.size)]
         self.follows: dict[tuple[str, str], bool] = {}
         self.joints = Joints(self.rank, self.merged)
-        self.memo = Memo(lambda units: [array("I", self.shortest(u)).tobytes() for u in units])
+        self.memo = Memo(self.composed)
 
     def normalised(self, text: str) -> str:
         """Marker for every blank and one before a text that is not empty."""
@@ -153,51 +153,42 @@ class Transducer:
         if unit[end - 1:end] not in self.pieces:
             yield end - 1, unit[end - 1:end], 0.0
 
-    def lightest(self, unit: str, end: int) -> tuple[tuple[int, float], str, int]:
-        """Weight, last piece and its start of the lightest path to ``end``; those of shorter prefixes are in the table."""
+    def lightest(self, unit: str, end: int) -> tuple[int, float, str, int]:
+        """State of the lightest path to ``end``; those of shorter prefixes are there."""
         top = None
         for start, piece, lost in self.arcs(unit, end):
-            (barred, weight), before, _ = self.table[unit[:start]]
+            barred, weight, before, _ = self.states[start]
             barred += bool(before) and not self.may_follow(before, piece)
-            found = ((barred, weight + lost), piece, start)
-            if self.merges and not barred:
-                # at most one path of a prefix is free of barred arcs: the first that is found ends the search
-                return found
-            if top is None or found[0] < top[0]:
-                top = found
+            if top is None or (barred, weight + lost) < top[:2]:
+                top = barred, weight + lost, piece, start
         return top
 
-    def extend(self, prefix: str) -> None:
-        """Enter a prefix whose shorter ones are in the table."""
-        end, pieces, table, follows = len(prefix), self.pieces, self.table, self.follows
-        last = prefix[-3:]
+    def free(self, unit: str, end: int) -> tuple[int, float, str, int] | None:
+        """State of the one path of merges to ``end`` without barred arcs: the first that is found ends the search."""
+        pieces, states, follows = self.pieces, self.states, self.follows
+        last = unit[end - 3:end] if end > 3 else unit[:end]
         for n in self.ending.get(last) or self.ends(last):
-            if n <= end and (known := pieces.get(piece := prefix[end - n:])):
-                (barred, weight), before, _ = table[prefix[:end - n]]
+            if n <= end and (known := pieces.get(piece := unit[end - n:end])):
+                barred, weight, before, _ = states[end - n]
                 if barred:
                     continue
-                free = not before or follows.get((before, piece))
-                if free or free is None and self.may_follow(before, piece):
-                    table[prefix] = (0, weight - known[1]), piece, end - n
-                    return
-        table[prefix] = self.lightest(prefix, end)
+                fits = not before or follows.get((before, piece))
+                if fits or fits is None and self.may_follow(before, piece):
+                    return 0, weight - known[1], piece, end - n
+        return None
 
     def shortest(self, unit: str) -> list[int]:
-        """Ids along the lightest path of the lattice of one unit; units share the states of their common beginnings."""
-        if len(self.table) > TABLE_LIMIT:
-            self.table = dict(self.start)
-        table = self.table
-        end = len(unit)
-        while unit[:end] not in table:
-            end -= 1
-        for e in range(end + 1, len(unit) + 1):
-            if self.merges:
-                self.extend(unit[:e])
-            else:
-                table[unit[:e]] = self.lightest(unit, e)
+        """Ids along the lightest path of the lattice of one unit; it keeps the states of what it shares with the unit before."""
+        states, n = self.states, min(len(unit), len(self.unit))
+        k = n if unit[:n] == self.unit[:n] else next(k for k in range(n) if unit[k] != self.unit[k])
+        self.unit = unit[:k]
+        del states[k + 1:]
+        for end in range(k + 1, len(unit) + 1):
+            states.append(self.merges and self.free(unit, end) or self.lightest(unit, end))
+        self.unit = unit
         out, at = [], len(unit)
         while at:
-            _, piece, at = table[unit[:at]]
+            _, _, piece, at = states[at]
             known = self.pieces.get(piece)
             if known:
                 out.append(known[0])
@@ -205,6 +196,11 @@ class Transducer:
                 out += self.emitted(piece)[::-1]
         return out[::-1]
 
+    def composed(self, units: list[str]) -> list[bytes]:
+        """Ids of each unit; in their order, as units share the states of their common beginnings."""
+        found = {u: array("I", self.shortest(u)).tobytes() for u in sorted(units)}
+        return [found[u] for u in units]
+
     def emitted(self, piece: str) -> list[int]:
         """Ids of an arc: the piece, else the bytes of its character, else the unknown id."""
         known = self.pieces.get(piece)

@@ -287,3 +287,12 @@ def test_a_memo_asks_no_function_for_each_key():
     assert got == [[len(k) for k in ks] for ks in keys] and len(calls) < 20
     memo.limit = 10
     assert memo.take([["0-1", "new"]]) == [[3, 3]] and set(memo) == {"0-1", "new"} and len(memo.old) == 1000
+
+
+def test_one_unbroken_text_keeps_one_state_a_character():
+    own, text = pieces.Transducer(PIECE), "".join(random.Random(4).choice("abcde") for _ in range(3000))
+    want = sentencepiece.SentencePieceProcessor(model_file=PIECE).encode(text)
+    assert np.frombuffer(own.encode(text), "<u4").tolist() == want
+    assert sum(len(piece) for _, _, piece, _ in own.states) < 16 * len(text)
+    for unit in ("\u2581therefore", "\u2581there", "\u2581thermal", "\u2581x", "\u2581therefore"):
+        assert own.shortest(unit) == pieces.Transducer(PIECE).shortest(unit) and len(own.states) == len(unit) + 1
